@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from gridspark.llm import decontamination, mixing
+from gridspark.llm import decontamination, mixing, quality, secret_scan
 
 QUERIES = {
+    "op1_quality": quality.op1,
+    "op2_secrets": secret_scan.op2,
     "op6_decontamination": decontamination.op6,
     "op8_mixing": mixing.op8,
 }
