@@ -167,3 +167,38 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         labels = after.select("node", "component")
         if not changed:
             return labels
+
+
+def bucket_links(at: DataFrame, fits, verify, what: str, hub_rounds: int = 2) -> DataFrame:
+    """Verified links (u, v) that connect, inside every bucket, all that similar pairs connect.
+
+    ``at`` has (bucket, node, size, and whatever ``fits`` compares); ``fits(a, b)`` is a cheap
+    condition on the fields of two structs; ``verify(pairs)`` keeps the truly similar pairs.
+    Each bucket compares its members with its smallest; members that stay in other components are
+    compared with its largest; pairs then still apart and fitting are compared directly. So a large
+    group of copies costs one comparison a member, and no link is lost to a cap.
+    """
+    item = F.struct("size", "node", *[c for c in at.columns if c not in ("bucket", "node", "size")])
+    buckets = at.groupBy("bucket").agg(F.min(item).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    members = stash(at.join(buckets.select("bucket", "hub"), "bucket").select("bucket", item.alias("item"), "hub"), what + "-members")
+    one, other = F.col("item"), F.col("hub")
+    first = members.where((one["node"] != other["node"]) & fits(one, other)).select(one["node"].alias("u"), other["node"].alias("v"))
+    tested = stash(first.distinct(), what + "-pairs")
+    links = stash(verify(tested), what + "-links")
+    for turn in range(hub_rounds):
+        label = components(links, what + "-classes")
+        named = members.join(label, one["node"] == label["node"], "left").select("bucket", "item", F.coalesce("component", one["node"]).alias("comp"))
+        split = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("item", "comp")).alias("hub")).where("low != high")
+        apart = named.join(split.select("bucket", "hub"), "bucket")
+        if turn + 1 < hub_rounds:
+            pairs = apart.where((F.col("comp") != F.col("hub.comp")) & fits(F.col("item"), F.col("hub.item"))).select(F.col("item.node").alias("u"), F.col("hub.item.node").alias("v"))
+        else:
+            left, right = (apart.select("bucket", F.col("item").alias(f"item{k}"), F.col("comp").alias(f"comp{k}")) for k in (1, 2))
+            near = (F.col("item1.node") < F.col("item2.node")) & (F.col("comp1") != F.col("comp2")) & fits(F.col("item1"), F.col("item2"))
+            pairs = left.join(right, "bucket").where(near).select(F.col("item1.node").alias("u"), F.col("item2.node").alias("v"))
+        ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        fresh = stash(ordered(pairs).distinct().join(ordered(tested), ["u", "v"], "left_anti"), what + "-pairs")
+        if not fresh.limit(1).count():
+            break
+        links, tested = links.unionByName(stash(verify(fresh), what + "-links")), tested.unionByName(fresh)
+    return links

@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import RangeHash, components, mix64, stash, text_blocks, utf8
+from gridspark.llm.common import RangeHash, bucket_links, components, mix64, stash, text_blocks, utf8
 from gridspark.llm.decontamination import words
 
 SHINGLE = 5
 SKETCHES = 24
 PICK = 3
 SIMILARITY = 0.8
-HUB_ROUNDS = 2
 
 _NORMAL = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 _ODD = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -196,40 +195,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = stash(sketched(docs), "omh")
     # equal texts are one node from here on
     nodes = stash(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_words").alias("n_words"), F.min("sketches").alias("sketches")), "omh-nodes")
-    at = nodes.select("node", "n_words", F.explode("sketches").alias("sketch"))
-    buckets = at.groupBy("sketch").agg(F.min(F.struct("n_words", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    fits = F.least("n_words", "hub_words") >= F.lit(similarity) * F.greatest("n_words", "hub_words") - 1e-9
-    members = stash(
-        at.join(buckets.select("sketch", F.col("hub.node").alias("hub"), F.col("hub.n_words").alias("hub_words")), "sketch").select("sketch", "node", "n_words", "hub", "hub_words"), "omh-members"
-    )
+    at = nodes.select(F.explode("sketches").alias("bucket"), "node", F.col("n_words").alias("size"))
+    shared = at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = nodes.select("node", F.col("doc_id").alias("of")).join(at.join(shared, "bucket", "left_semi").select("node").distinct(), "node", "left_semi")
     texts = stash(
         docs.select(F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(nodes.select("node", F.col("doc_id").alias("of")).join(members.select("node").distinct(), "node", "left_semi"), "node")
+        .join(wanted, "node")
         .where(F.col("doc_id").eqNullSafe(F.col("of")))
         .select("node", "text"),
         "omh-texts",
     )
-    tested = stash(members.where(fits & (F.col("node") != F.col("hub"))).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "omh-pairs")
-    links = stash(_verified(tested, texts, similarity), "omh-links")
-    for turn in range(HUB_ROUNDS):
-        label = components(links, "omh-classes")
-        named = members.join(label.withColumnRenamed("component", "comp"), "node", "left").select("sketch", "node", "n_words", F.coalesce("comp", "node").alias("comp"))
-        split = named.groupBy("sketch").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("n_words", "node")).alias("hub")).where("low != high")
-        apart = named.join(split.select("sketch", "hub"), "sketch")
-        if turn + 1 < HUB_ROUNDS:
-            # the other end of the bucket's lengths is the next hub
-            pairs = apart.select("node", "n_words", "comp", F.col("hub.node").alias("hub"), F.col("hub.n_words").alias("hub_words"))
-            hubs = label.select(F.col("node").alias("hub"), F.col("component").alias("hub_comp"))
-            pairs = pairs.join(hubs, "hub", "left").where(fits & (F.col("comp") != F.coalesce("hub_comp", "hub"))).select(F.col("node").alias("u"), F.col("hub").alias("v"))
-        else:
-            # exact rest: members of one bucket in different classes whose lengths fit
-            one, two = (apart.select("sketch", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n_words", "comp"))) for k in (1, 2))
-            near = F.least("n_words1", "n_words2") >= F.lit(similarity) * F.greatest("n_words1", "n_words2") - 1e-9
-            pairs = one.join(two, "sketch").where(near & (F.col("node1") < F.col("node2")) & (F.col("comp1") != F.col("comp2"))).select(F.col("node1").alias("u"), F.col("node2").alias("v"))
-        fresh = pairs.distinct().join(tested, ["u", "v"], "left_anti")
-        fresh = stash(fresh.join(tested.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti"), "omh-pairs")
-        more = stash(_verified(fresh, texts, similarity), "omh-links")
-        links, tested = links.unionByName(more), tested.unionByName(fresh)
+    fits = lambda a, b: F.least(a["size"], b["size"]) >= F.lit(similarity) * F.greatest(a["size"], b["size"]) - 1e-9
+    links = bucket_links(at, fits, lambda pairs: _verified(pairs, texts, similarity), "omh")
     label = components(links, "omh-classes")
     joined = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("class_id"))
