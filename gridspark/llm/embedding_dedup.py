@@ -18,6 +18,7 @@ vectors link with each other even when a vec_id repeats; other columns are ignor
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -36,6 +37,7 @@ CONFIDENCE = 4.0
 SEED = 17
 
 
+@functools.lru_cache(maxsize=256)
 def rotation(dim: int, seed: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
@@ -43,7 +45,7 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 
 def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """(bits of a table, tables): groups of unrelated vectors stay small, recall holds at the threshold itself."""
-    bits = max(6, min(24, math.ceil(math.log2(max(n, 2))) - 3))
+    bits = max(4, min(24, math.ceil(math.log2(max(n, 2))) - 7))
     hit = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
@@ -63,7 +65,8 @@ def _codes(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
 
 
 def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
-    x = flat.reshape(-1, dim)
+    x = flat.astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(1)[:, None]  # squares of tiny or huge components stay finite
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -88,8 +91,10 @@ def _pairs(a: np.ndarray, b: np.ndarray, qa: np.ndarray, qb: np.ndarray, thresho
 def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept."""
     x = F.col("embedding")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind, width = ("float", 4) if kind == "array<float>" else ("double", 8)
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast(f"array<{kind}>").alias("embedding"))
     good = F.coalesce(F.forall(x, finite) & F.exists(x, lambda v: v != 0), F.lit(False))
     rows = rows.select("vec_id", F.when(good, x).alias("embedding"), F.when(good, F.xxhash64(x)).alias("h"))
     nodes = rows.where("h IS NOT NULL").groupBy("h", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
@@ -107,15 +112,15 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
                 ends = np.cumsum(sizes)
                 for dim in np.unique(sizes):
                     at = np.flatnonzero(sizes == dim)
-                    unit = _unit(np.concatenate([flat[ends[k] - dim : ends[k]] for k in at]), int(dim))
-                    got = _codes(unit, bits, tables, seed)
+                    own = np.concatenate([flat[ends[k] - dim : ends[k]] for k in at]).reshape(-1, dim)
+                    got = _codes(_unit(own, int(dim)), bits, tables, seed)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("node").take(pa.array(at)), part.column("copies").take(pa.array(at)), pa.array([v.tobytes() for v in unit], pa.binary()), pa.array([v.tobytes() for v in got.astype(np.int32)], pa.binary()), pa.array(list(got), pa.list_(pa.int64()))],
-                        names=["node", "copies", "unit", "codes", "keys"],
+                        [part.column("node").take(pa.array(at)), part.column("copies").take(pa.array(at)), pa.array([v.tobytes() for v in own], pa.binary()), pa.array([v.tobytes() for v in got.astype(np.int32)], pa.binary()), pa.array(list(got), pa.list_(pa.int64()))],
+                        names=["node", "copies", "vector", "codes", "keys"],
                     )
 
-    coded = stash(nodes.select("node", "copies", "embedding").mapInArrow(keys, "node long, copies long, unit binary, codes binary, keys array<long>"), "codes")
-    at = coded.select("node", F.octet_length("unit").alias("bytes"), F.posexplode("keys").alias("t", "key"))
+    coded = stash(nodes.select("node", "copies", "embedding").mapInArrow(keys, "node long, copies long, vector binary, codes binary, keys array<long>"), "codes")
+    at = coded.select("node", F.octet_length("vector").alias("bytes"), F.posexplode("keys").alias("t", "key"))
     groups = at.groupBy("t", "key", "bytes").agg(F.count("*").alias("n")).where("n > 1")
     sized = at.join(groups, ["t", "key", "bytes"])
     parts = F.ceil(F.col("n") / block).cast("int")
@@ -123,14 +128,14 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     # block pairs (low, high) of a group: a vector goes to each pair that its block is in
     spread = mine.select("node", "t", "key", "bytes", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
     tasks = spread.select("node", "t", F.xxhash64("t", "key", "bytes", F.least("p", "o"), F.greatest("p", "o")).alias("task"), "key", "bytes", F.least("p", "o").alias("low"), F.greatest("p", "o").alias("high"), "p")
-    full = tasks.join(coded.select("node", "copies", "unit", "codes"), "node")
+    full = tasks.join(coded.select("node", "copies", "vector", "codes"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         low, high, p = (np.asarray(table.column(c)) for c in ("low", "high", "p"))
         t = table.column("t")[0].as_py()
         ids, copies = np.asarray(table.column("node")), np.asarray(table.column("copies"))
-        dim = table.column("bytes")[0].as_py() // 8
-        x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(-1, dim)
+        dim = table.column("bytes")[0].as_py() // width
+        x = _unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32 if width == 4 else np.float64), dim)
         q = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int32).reshape(len(ids), -1)[:, :t]
         r = rotation(dim, seed)
         one, two = np.flatnonzero(p == low), np.flatnonzero(p == high)
