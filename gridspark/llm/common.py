@@ -141,36 +141,39 @@ class RangeHash:
 
 
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
-    """Connected components of ``edges`` (u long, v long): rows (node, component = its smallest node).
-
-    Labels fall to the least neighbouring label and then jump to their label's label, so a round
-    squares what a label has reached. Every round ends in a written table; only one changed-row
-    count reaches the driver. Joins on hub nodes are plain equi-joins that adaptive skew handling
-    may split, and the reduction before each shuffle is a partial ``min``.
+    """Connected components of ``edges`` (u, v): rows (node, component = its smallest node).
+
+    Each round gives every node its smallest neighbour as parent, follows parents once more, and
+    contracts the edges to what still joins different trees. Nodes that aren't the smallest of
+    their neighbours vanish, so at least half of them do and few rounds are needed; a round's
+    joins see every edge once. Rounds end in written tables; only "any edge left?" reaches the
+    driver. Hub nodes are plain equi-joins that adaptive skew handling may split, and the
+    reduction before each shuffle is a partial ``min``.
     """
-    edges = stash(edges.where("u != v").select("u", "v").distinct(), what + "-edges")
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    labels = stash(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), what)
+    edges = stash(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), what + "-edges")
+    label = None
     while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("v"), "component"), "v")
-            .groupBy(F.col("u").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("component").alias("next"))
-        after = stash(
-            lower.join(jump, "low").select("node", "was", F.least("low", "next").alias("component")), what
-        )
-        changed = after.where("component != was").limit(1).count()
-        drop_stash(labels)
-        labels = after.select("node", "component")
-        if not changed:
-            return labels
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parent = stash(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("parent")), what + "-parents")
+        upper = parent.select(F.col("node").alias("up"), F.col("parent").alias("root"))
+        step = stash(parent.join(upper, F.col("parent") == F.col("up")).select("node", "root"), what + "-roots")
+        if label is None:
+            label = step.select("node", F.col("root").alias("component"))
+        else:
+            label = label.join(step.withColumnRenamed("node", "was"), F.col("component") == F.col("was"), "left").select("node", F.coalesce("root", "component").alias("component"))
+        label = stash(label, what)
+        first = edges.join(step.select(F.col("node").alias("a"), F.col("root").alias("x")), F.col("u") == F.col("a"))
+        second = first.join(step.select(F.col("node").alias("b"), F.col("root").alias("y")), F.col("v") == F.col("b"))
+        left = stash(second.where("x != y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), what + "-edges")
+        drop_stash(parent)
+        drop_stash(edges)
+        edges = left
+        if not edges.limit(1).count():
+            return label
 
 
 def bucket_links(at: DataFrame, fits, verify, what: str, hub_rounds: int = 2) -> DataFrame:
-    """Verified links (u, v) that connect, inside every bucket, all that similar pairs connect.
+    """(node, component) of what similar pairs of a bucket connect; nodes without a link are not listed.
 
     ``at`` has (bucket, node, size, and whatever ``fits`` compares); ``fits(a, b)`` is a cheap
     condition on the fields of two structs; ``verify(pairs)`` keeps the truly similar pairs.
@@ -184,9 +187,8 @@ def bucket_links(at: DataFrame, fits, verify, what: str, hub_rounds: int = 2) ->
     one, other = F.col("item"), F.col("hub")
     first = members.where((one["node"] != other["node"]) & fits(one, other)).select(one["node"].alias("u"), other["node"].alias("v"))
     tested = stash(first.distinct(), what + "-pairs")
-    links = stash(verify(tested), what + "-links")
+    label = components(verify(tested), what + "-classes")
     for turn in range(hub_rounds):
-        label = components(links, what + "-classes")
         named = members.join(label, one["node"] == label["node"], "left").select("bucket", "item", F.coalesce("component", one["node"]).alias("comp"))
         split = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("item", "comp")).alias("hub")).where("low != high")
         apart = named.join(split.select("bucket", "hub"), "bucket")
@@ -200,5 +202,6 @@ def bucket_links(at: DataFrame, fits, verify, what: str, hub_rounds: int = 2) ->
         fresh = stash(ordered(pairs).distinct().join(ordered(tested), ["u", "v"], "left_anti"), what + "-pairs")
         if not fresh.limit(1).count():
             break
-        links, tested = links.unionByName(stash(verify(fresh), what + "-links")), tested.unionByName(fresh)
-    return links
+        label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(verify(fresh)), what + "-classes")
+        tested = tested.unionByName(fresh)
+    return label

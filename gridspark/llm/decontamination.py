@@ -205,8 +205,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, ite
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns kept."""
-    dirty = contamination(docs, benchmark, size, items_a_pass).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    """The rows of ``docs`` without benchmark passages, all columns kept.
+
+    A row goes when it is contaminated (two items or more) or when a full window of ``size`` words
+    of any item is in it; an item shorter than a window alone, which may be any phrase, isn't enough.
+    """
+    hits = contamination(docs, benchmark, size, items_a_pass)
+    dirty = hits.where(F.col("contaminated") | (F.col("n_hit") >= size)).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
     return docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__row")), "left_anti")
 
 

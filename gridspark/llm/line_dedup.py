@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import bucket_links, components, mix64, powers, stash, text_blocks, utf8
+from gridspark.llm.common import bucket_links, mix64, powers, stash, text_blocks, utf8
 from gridspark.llm.near_dedup import word_hashes
 
 DISTANCE = 3
@@ -138,8 +138,7 @@ def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SI
         near = F.call_function("levenshtein", F.col("a"), F.col("b"), most)
         return both.where(near >= 0).select("u", "v")
 
-    links = bucket_links(at, fits, verify, "lines")
-    label = components(links, "lines")
+    label = bucket_links(at, fits, verify, "lines")
     # of a group the node with the first occurrence stays
     named = label.join(nodes.select(node, "first"), "node")
     best = named.groupBy("component").agg(F.min("first").alias("best"))

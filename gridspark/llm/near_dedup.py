@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import RangeHash, bucket_links, components, mix64, stash, text_blocks, utf8
+from gridspark.llm.common import RangeHash, bucket_links, mix64, stash, text_blocks, utf8
 from gridspark.llm.decontamination import words
 
 SHINGLE = 5
@@ -206,8 +206,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         "omh-texts",
     )
     fits = lambda a, b: F.least(a["size"], b["size"]) >= F.lit(similarity) * F.greatest(a["size"], b["size"]) - 1e-9
-    links = bucket_links(at, fits, lambda pairs: _verified(pairs, texts, similarity), "omh")
-    label = components(links, "omh-classes")
+    label = bucket_links(at, fits, lambda pairs: _verified(pairs, texts, similarity), "omh")
     joined = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     named = joined.join(least, "component").select("node", "component", "class_id")
