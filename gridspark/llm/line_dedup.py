@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import bucket_links, mix64, powers, stash, text_blocks, utf8
-from gridspark.llm.near_dedup import word_hashes
+from gridspark.llm.near_dedup import _NORMAL, word_hashes
 
 DISTANCE = 3
 SIMILARITY = 0.9
@@ -52,32 +52,37 @@ def line_keys(raw: np.ndarray, line_offsets: np.ndarray) -> tuple[np.ndarray, ..
         h2 = np.add.reduceat(np.append(mix64(w + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0)), np.minimum(at[:-1], len(w))) if len(n) else np.zeros(0, np.uint64)
         h1, h2 = mix64(h1 + n.astype(np.uint64)), mix64(h2 ^ n.astype(np.uint64))
         pairs = mix64(w[:-1] * np.uint64(3) + w[1:]) if len(w) > 1 else np.zeros(0, np.uint64)
+    return n, h1, h2, _simhash(w, pairs, at, n)
+
+
+_LANES = np.uint64(0x0001000100010001)
+
+
+def _simhash(w: np.ndarray, pairs: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Majority bits over the words and word pairs of every line.
+
+    A 64-bit sum holds four 16-bit counters, so sixteen shifted sums count all bits; lines of more
+    words than a counter holds are counted bit by bit.
+    """
     sim = np.zeros(len(n), np.uint64)
-    step = 1 << 15  # words at a time: their bits are a byte each
-    lo = 0
-    while lo < len(n):
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + step, side="right")) - 1)
-        hi = min(hi, len(n))
-        a, z = at[lo], at[hi]
-        if z > a:
-            votes = np.zeros((hi - lo, 64), np.int32)
-            busy = np.flatnonzero(n[lo:hi] > 0)
-            starts = at[lo:hi][busy] - a
-            bits = np.unpackbits(w[a:z].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int16)
-            votes[busy] = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            total = n[lo:hi].astype(np.int64)
-            if z - a > 1:
-                inner = pairs[a : z - 1].copy()
-                bits = np.unpackbits(inner.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int16)
-                last = at[lo + 1 : hi] - a - 1  # the pair that would cross into the next line
-                bits[last[(last >= 0) & (last < len(bits))]] = 0
-                bits = np.concatenate([bits, np.zeros((1, 64), np.int16)])
-                votes[busy] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-                total = 2 * total - 1
-            ones = (2 * votes > total[:, None]).astype(np.uint8)
-            sim[lo:hi] = np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
-        lo = hi
-    return n, h1, h2, sim
+    busy = np.flatnonzero(n > 0)
+    if not len(busy):
+        return sim
+    starts = at[:-1][busy]
+    both = np.append(pairs, np.uint64(0))
+    both[np.append(starts[1:], len(w)) - 1] = 0  # the pair that would cross into the next line
+    total = (2 * n[busy] - 1).astype(np.int64)
+    votes = np.zeros((len(busy), 64), np.int64)
+    for bit in range(16):
+        shift = np.uint64(bit)
+        sums = np.add.reduceat(((w >> shift) & _LANES) + ((both >> shift) & _LANES), starts)
+        votes[:, bit::16] = sums.view(np.uint16).reshape(-1, 4)
+    for k in np.flatnonzero(total > 60_000).tolist():
+        own = np.concatenate([x[starts[k] : starts[k] + n[busy[k]]] for x in (w, both)])
+        votes[k] = [int(((own >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
+    ones = (2 * votes > total[:, None]).astype(np.uint8)
+    sim[busy] = np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
+    return sim
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -105,6 +110,80 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
 
 
+def _tables(distance: int) -> list:
+    return list(combinations(_BLOCKS, len(_BLOCKS) - distance))
+
+
+#: Lines of which the keys of one table are searched together, about.
+SHARD_LINES = 100_000
+
+
+def with_neighbours(fuzzy: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """h1 of the lines (h1, sim) that have another line within ``distance`` bits; few more, none less.
+
+    For every table of blocks, lines travel as packed (sim, h1) of 16 bytes to the shard of their
+    key. In a shard they are sorted by key; runs of equal keys are compared at growing lags, and a run
+    too long for that counts as a whole.
+    """
+    tables = _tables(distance)
+    shards = max(1, -(-fuzzy.count() // SHARD_LINES))
+
+    def keys_of(sim: np.ndarray, chosen) -> np.ndarray:
+        key = np.zeros(len(sim), np.uint64)
+        for low, wide in chosen:
+            key = (key << np.uint64(wide)) | ((sim >> np.uint64(low)) & np.uint64((1 << wide) - 1))
+        return key
+
+    def packs(h1: list, sim: list):
+        both = np.stack([np.concatenate(sim), np.concatenate(h1)], 1)
+        t, s, out = [], [], []
+        for k, chosen in enumerate(tables):
+            shard = (mix64(keys_of(both[:, 0], chosen)) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            edges = np.searchsorted(shard[order], np.arange(shards + 1))
+            for j in np.flatnonzero(np.diff(edges)).tolist():
+                t.append(k)
+                s.append(j)
+                out.append(both[order[edges[j] : edges[j + 1]]].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(s, pa.int32()), pa.array(out, pa.binary())], names=["t", "shard", "packed"])
+
+    def send(batches):
+        h1, sim, n = [], [], 0
+        for b in batches:
+            h1.append(np.asarray(b.column("h1")).view(np.uint64))
+            sim.append(np.asarray(b.column("sim")).view(np.uint64))
+            n += b.num_rows
+            if n >= 50_000:
+                yield packs(h1, sim)
+                h1, sim, n = [], [], 0
+        if n:
+            yield packs(h1, sim)
+
+    def search(table: pa.Table) -> pa.Table:
+        both = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint64).reshape(-1, 2)
+        key = keys_of(both[:, 0], tables[table.column("t")[0].as_py()])
+        order = np.argsort(key, kind="stable")
+        key, sim = key[order], both[order, 0]
+        hit = np.zeros(len(key), bool)
+        live, lag = np.arange(len(key)), 1
+        while lag <= 64:
+            live = live[live + lag < len(key)]
+            live = live[key[live] == key[live + lag]]
+            if not len(live):
+                break
+            close = np.bitwise_count(sim[live] ^ sim[live + lag]) <= distance
+            hit[live[close]] = True
+            hit[live[close] + lag] = True
+            lag += 1
+        else:
+            # runs longer than the lags: all of each
+            hit |= np.isin(key, key[live])
+        return pa.table({"h1": pa.array(both[order[hit], 1].view(np.int64))})
+
+    packed = fuzzy.select("h1", "sim").mapInArrow(send, "t int, shard int, packed binary")
+    return packed.groupBy("t", "shard").applyInArrow(search, "h1 long")
+
+
 def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, row, lines): the line numbers that stay, of all lines with words."""
     nodes = stash(
@@ -115,12 +194,14 @@ def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SI
     )
     node = F.struct("h1", "h2").alias("node")
     keys = []
-    for k, chosen in enumerate(combinations(_BLOCKS, len(_BLOCKS) - distance)):
+    for k, chosen in enumerate(_tables(distance)):
         key = F.lit(k).cast("long")
         for low, wide in chosen:
             key = F.shiftleft(key, wide).bitwiseOR(F.shiftrightunsigned("sim", low).bitwiseAND((1 << wide) - 1))
         keys.append(key)
     fuzzy = nodes.where(F.col("n_words") >= FUZZY_WORDS)
+    near = stash(with_neighbours(fuzzy, distance), "line-candidates")
+    fuzzy = fuzzy.join(near.distinct(), "h1", "left_semi")
     at = fuzzy.select(F.explode(F.array(*keys)).alias("bucket"), node, F.col("n_words").alias("size"), "sim")
     fits = lambda a, b: (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= distance) & (F.least(a["size"], b["size"]) >= F.lit(0.8) * F.greatest(a["size"], b["size"]))
 
@@ -156,7 +237,8 @@ def _cut(docs: DataFrame, kept: DataFrame, drop_emptied: bool) -> DataFrame:
         for b in text_blocks(batches, "text"):
             raw, offsets = utf8(b.column("text"))
             at, first = lines_of(raw, offsets)
-            busy = np.diff(word_hashes(raw, at)[1]) > 0
+            letters = np.concatenate([[0], np.cumsum(_NORMAL[raw] != 32)])
+            busy = np.diff(letters[at]) > 0
             texts, n_lines, n_kept = b.column("text").to_pylist(), [], []
             for k, stay in enumerate(b.column("__lines").to_pylist()):
                 worded = busy[first[k] : first[k + 1]]
