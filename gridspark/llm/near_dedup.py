@@ -58,9 +58,7 @@ def sketch(w: np.ndarray) -> np.ndarray:
             h = mix64(h * np.uint64(3) + w[i : i + n])
         order = np.argsort(h, kind="stable")
         s = h[order]
-        first = np.ones(n, bool)
-        first[1:] = s[1:] != s[:-1]
-        label = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        label = _labels(s)
         labelled = h.copy()
         again = label > 0
         labelled[order[again]] = mix64(s[again] + label[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -80,6 +78,8 @@ def sketch(w: np.ndarray) -> np.ndarray:
 
 
 _SKETCHED = "node binary, doc_id long, n_words int, sketches array<long>"
+#: 64-bit words of the bitmaps whose differences bound the edit distance from below.
+BAG = 64
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -97,6 +97,33 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select(F.unhex(F.md5(text)).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, _SKETCHED)
 
 
+def _labels(ordered: np.ndarray) -> np.ndarray:
+    """How often each value of a sorted array came before."""
+    first = np.ones(len(ordered), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    at = np.arange(len(ordered))
+    return at - np.maximum.accumulate(np.where(first, at, 0))
+
+
+def bags(texts: DataFrame) -> DataFrame:
+    """(node, detail): a bitmap of occurrence-labelled words for every row of (node, text)."""
+
+    def run(batches):
+        for b in text_blocks(batches, "text"):
+            h, first = word_hashes(*utf8(b.column("text")))
+            out = np.zeros((b.num_rows, BAG * 64), np.uint8)
+            for k in range(b.num_rows):
+                w = np.sort(h[first[k] : first[k + 1]])
+                with np.errstate(over="ignore"):
+                    labelled = mix64(w + _labels(w).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                out[k, (labelled % np.uint64(BAG * 64)).astype(np.int64)] = 1
+            flat = np.packbits(out, axis=1, bitorder="little").view(np.int64).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BAG), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column("node"), lists], names=["node", "detail"])
+
+    return texts.mapInArrow(run, "node binary, detail array<long>")
+
+
 def edit_distance(a: list, b: list, most: int) -> int:
     """Levenshtein distance of two sequences, or ``most`` + 1 if it is larger.
 
@@ -206,7 +233,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         "omh-texts",
     )
     fits = lambda a, b: F.least(a["size"], b["size"]) >= F.lit(similarity) * F.greatest(a["size"], b["size"]) - 1e-9
-    label = bucket_links(at, fits, lambda pairs: _verified(pairs, texts, similarity), "omh")
+    # an edit takes one labelled word away and brings one: what one text has and the other lacks is a lower bound
+    more = lambda a, b: F.aggregate(F.zip_with(a["detail"], b["detail"], lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda t, x: t + x)
+    most = lambda a, b: F.floor((1 - F.lit(similarity)) * F.greatest(a["size"], b["size"]) + 1e-9)
+    possible = lambda a, b: (more(a, b) <= most(a, b)) & (more(b, a) <= most(a, b))
+    label = bucket_links(at, fits, lambda pairs: _verified(pairs, texts, similarity), "omh", detail=bags(texts), possible=possible)
     joined = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     named = joined.join(least, "component").select("node", "component", "class_id")
