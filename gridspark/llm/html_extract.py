@@ -175,7 +175,6 @@ def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST_PAG
     """
     rows = pages.select(_host(F.col("url")).alias("host"), "html", F.xxhash64("page_id", "html").alias("page"))
     hosts = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
-    rows = rows.join(hosts.select("host"), "host", "left_semi")
 
     def run(batches):
         for b in text_blocks(batches, "html"):
@@ -205,8 +204,14 @@ def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST_PAG
 def extract(pages: DataFrame, support: float = SUPPORT, least: int = LEAST_PAGES) -> DataFrame:
     """Rows (page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html)."""
     known = stash(templates(pages, support, least), "templates").withColumnRenamed("host", "__host")
-    rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(known, F.col("host") == F.col("__host"), "left")
+    marked = F.rlike(F.coalesce("html", F.lit("")), F.lit(r"(?i)<(?:article|main)\b"))
+    rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
+    # a page with explicit content is read where it is; only the others travel to meet their host's template
+    bare = rows.where(~marked).join(known, F.col("host") == F.col("__host"), "left").select("page_id", "url", "html", "host", "tokens")
+    return _texts(rows.where(marked).withColumn("tokens", F.lit(None).cast("array<long>"))).unionByName(_texts(bare))
 
+
+def _texts(rows: DataFrame) -> DataFrame:
     def run(batches):
         for b in text_blocks(batches, "html"):
             texts, cache = [], {}
