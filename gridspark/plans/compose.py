@@ -103,7 +103,7 @@ class FittedChain(FittedGridder):
         names = self._names(names)
         parts = []
         for k, model in enumerate(self.models):
-            own = [f"__step{k}_{j}" for j in range(len(names))]
+            own = [f"__{name}_{k}" for name in names]
             df = model.transform(df, coords, own)
             parts.append(own)
         total = {name: sum((F.col(p[j]) for p in parts[1:]), F.col(parts[0][j])) for j, name in enumerate(names)}

@@ -89,6 +89,13 @@ def _triangulated(frame: SpatialFrame, rescale: bool):
         scale = np.where(extent > 0, extent, 1.0)
     points = (rows[:, :2] - shift) / scale
     triangles, near = delaunay(points)
+    # slivers that doubles can't tell from a line hold no interior: without them, no division by their area
+    a, b, c = (points[triangles[:, k]] for k in range(3))
+    area = (b - a)[:, 0] * (c - a)[:, 1] - (c - a)[:, 0] * (b - a)[:, 1]
+    size = np.maximum(np.maximum(((b - a) ** 2).sum(1), ((c - b) ** 2).sum(1)), ((a - c) ** 2).sum(1))
+    solid = area > 1e-12 * size
+    number = np.append(np.where(solid, np.cumsum(solid) - 1, -1), -1)
+    triangles, near = triangles[solid], number[near[solid]]
     return points, rows[:, 2], triangles, near, shift, scale
 
 
