@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import bucket_links, mix64, powers, stash, text_blocks, utf8
-from gridspark.llm.near_dedup import _NORMAL, word_hashes
+from gridspark.llm.near_dedup import _NORMAL, edit_distance, word_hashes
 
 DISTANCE = 3
 SIMILARITY = 0.9
@@ -215,9 +215,17 @@ def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SI
         # repeated rows give a node several times
         texts = stash(found.select(F.col("w.node").alias("node"), F.lower(F.get("lines", F.col("w.line"))).alias("line")).dropDuplicates(["node"]), "line-texts")
         both = pairs.join(texts.select(F.col("node").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("line").alias("b")), "v")
-        most = F.floor((1 - F.lit(similarity)) * F.greatest(F.length("a"), F.length("b")) + 1e-9).cast("int")
-        near = F.call_function("levenshtein", F.col("a"), F.col("b"), most)
-        return both.where(near >= 0).select("u", "v")
+
+        def compare(batches):
+            for b in batches:
+                keep = []
+                for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                    most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+                    keep.append(edit_distance(x, y, most) <= most)
+                yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+        pair = "struct<h1: bigint, h2: bigint>"
+        return both.select("u", "v", "a", "b").mapInArrow(compare, f"u {pair}, v {pair}")
 
     label = bucket_links(at, fits, verify, "lines")
     # of a group the node with the first occurrence stays
