@@ -172,14 +172,14 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
             return label
 
 
-def bucket_links(at: DataFrame, fits, verify, what: str, hub_rounds: int = 2, detail: DataFrame | None = None, possible=None) -> DataFrame:
+def bucket_links(at: DataFrame, fits, verify, what: str, hub_rounds: int = 2, rest=None) -> DataFrame:
     """(node, component) of what similar pairs of a bucket connect; nodes without a link are not listed.
 
     ``at`` has (bucket, node, size, and whatever ``fits`` compares); ``fits(a, b)`` is a cheap
     condition on the fields of two structs; ``verify(pairs)`` keeps the truly similar pairs.
     Each bucket compares its members with its smallest; members that stay in other components are
-    compared with its largest; pairs then still apart and fitting are compared directly, those
-    that ``possible(a, b)`` on ``detail`` (node, detail) rules out left aside. So a large
+    compared with its largest; pairs then still apart and fitting are compared directly, or those
+    of them that ``rest(apart)`` finds in (bucket, item, comp). So a large
     group of copies costs one comparison a member, and no link is lost to a cap.
     """
     item = F.struct("size", "node", *[c for c in at.columns if c not in ("bucket", "node", "size")])
@@ -193,16 +193,13 @@ def bucket_links(at: DataFrame, fits, verify, what: str, hub_rounds: int = 2, de
         named = members.join(label, one["node"] == label["node"], "left").select("bucket", "item", F.coalesce("component", one["node"]).alias("comp"))
         split = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("item", "comp")).alias("hub")).where("low != high")
         apart = named.join(split.select("bucket", "hub"), "bucket")
-        if turn + 1 < hub_rounds:
+        if turn + 1 == hub_rounds and rest is not None:
+            pairs = rest(apart.select("bucket", "item", "comp"))
+        elif turn + 1 < hub_rounds:
             pairs = apart.where((F.col("comp") != F.col("hub.comp")) & fits(F.col("item"), F.col("hub.item"))).select(F.col("item.node").alias("u"), F.col("hub.item.node").alias("v"))
         else:
-            named = apart.select("bucket", "item", "comp", F.lit(None).alias("detail"))
-            if detail is not None:
-                named = apart.select("bucket", "item", "comp").join(detail.withColumnRenamed("node", "__node"), F.col("item.node") == F.col("__node")).drop("__node")
-            left, right = (named.select("bucket", *(F.col(c).alias(f"{c}{k}") for c in ("item", "comp", "detail"))) for k in (1, 2))
+            left, right = (apart.select("bucket", F.col("item").alias(f"item{k}"), F.col("comp").alias(f"comp{k}")) for k in (1, 2))
             near = (F.col("item1.node") < F.col("item2.node")) & (F.col("comp1") != F.col("comp2")) & fits(F.col("item1"), F.col("item2"))
-            if detail is not None:
-                near = near & possible(F.struct("item1.*", F.col("detail1").alias("detail")), F.struct("item2.*", F.col("detail2").alias("detail")))
             pairs = left.join(right, "bucket").where(near).select(F.col("item1.node").alias("u"), F.col("item2.node").alias("v"))
         ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         fresh = stash(ordered(pairs).distinct().join(ordered(tested), ["u", "v"], "left_anti"), what + "-pairs")

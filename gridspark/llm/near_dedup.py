@@ -184,7 +184,8 @@ def edit_distance(a: list, b: list, most: int) -> int:
         xn = (hn << 1) & full
         vp = (xn | ~(d0 | xp)) & full
         vn = d0 & xp
-        if score > 2 * most:
+        # values never fall along a diagonal, and change by one at most beside it
+        if score > most + n - m:
             return most + 1
     return score if score <= most else most + 1
 
@@ -195,6 +196,54 @@ def similar(a: list, b: list, least: float = SIMILARITY) -> bool:
     return longer > 0 and edit_distance(a, b, most) <= most
 
 
+#: Members of a bucket that a task compares with those of one other block of it.
+BLOCK = 512
+
+
+def _possible(apart: DataFrame, texts: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of a bucket's members in different components that the bitmaps don't rule out.
+
+    An edit takes one labelled word away and brings one, so what one text has and the other lacks is
+    a lower bound of the distance: what it rules out can't be similar. Large buckets are cut into
+    blocks, a task compares two of them, and a pair that shares several buckets comes out of the first.
+    """
+    members = apart.select("bucket", F.col("item.node").alias("node"), F.col("item.size").alias("size"), "comp")
+    counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    mine = members.join(counts, "bucket").withColumn("p", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
+    spread = mine.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    detail = bags(texts.join(apart.select(F.col("item.node").alias("node")).distinct(), "node", "left_semi")).join(nodes.select("node", "sketches"), "node")
+    full = spread.select("bucket", "node", "size", "comp", "p", F.least("p", "o").alias("low"), F.greatest("p", "o").alias("high")).join(detail, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        flat = lambda c, w: np.asarray(table.column(c).combine_chunks().flatten()).view(np.uint64).reshape(-1, w)
+        bag, sketches = flat("detail", BAG), flat("sketches", SKETCHES)
+        size, p = (np.asarray(table.column(c)) for c in ("size", "p"))
+        node, comp = table.column("node").to_pylist(), np.unique(table.column("comp").to_pylist(), return_inverse=True)[1]
+        bucket = np.array([table.column("bucket")[0].as_py()], np.int64).view(np.uint64)[0]
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        one, two = np.flatnonzero(p == low), np.flatnonzero(p == high)
+        u, v = [], []
+        for i in one.tolist():
+            j = two[two > i] if low == high else two
+            longer = np.maximum(size[j], size[i])
+            j = j[(comp[j] != comp[i]) & (np.minimum(size[j], size[i]) >= least * longer - 1e-9)]
+            if not len(j):
+                continue
+            most = np.floor((1 - least) * np.maximum(size[j], size[i]) + 1e-9)
+            ok = (np.bitwise_count(bag[i] & ~bag[j]).sum(1) <= most) & (np.bitwise_count(bag[j] & ~bag[i]).sum(1) <= most)
+            j = j[ok]
+            if len(j):
+                equal = sketches[j] == sketches[i]
+                j = j[sketches[i][equal.argmax(1)] == bucket]
+            for k in j.tolist():
+                a, b = sorted((node[i], node[k]))
+                u.append(a)
+                v.append(b)
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    return full.groupBy("bucket", "low", "high").applyInArrow(compare, "u binary, v binary")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) whose texts are similar; ``texts`` holds (node, text) of all nodes in pairs."""
     left = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
@@ -233,11 +282,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         "omh-texts",
     )
     fits = lambda a, b: F.least(a["size"], b["size"]) >= F.lit(similarity) * F.greatest(a["size"], b["size"]) - 1e-9
-    # an edit takes one labelled word away and brings one: what one text has and the other lacks is a lower bound
-    more = lambda a, b: F.aggregate(F.zip_with(a["detail"], b["detail"], lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda t, x: t + x)
-    most = lambda a, b: F.floor((1 - F.lit(similarity)) * F.greatest(a["size"], b["size"]) + 1e-9)
-    possible = lambda a, b: (more(a, b) <= most(a, b)) & (more(b, a) <= most(a, b))
-    label = bucket_links(at, fits, lambda pairs: _verified(pairs, texts, similarity), "omh", detail=bags(texts), possible=possible)
+    label = bucket_links(at, fits, lambda pairs: _verified(pairs, texts, similarity), "omh", rest=lambda apart: _possible(apart, texts, nodes, similarity))
     joined = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     named = joined.join(least, "component").select("node", "component", "class_id")

@@ -61,7 +61,8 @@ def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     w_start = np.flatnonzero(edge[: len(raw)])
     stop = np.zeros(len(raw) + 1, bool)
     stop[1:-1] = word[:-1] & ~word[1:]
-    stop[-1:] = word[-1:]
+    if len(word):
+        stop[-1] = word[-1]
     stop[offsets[1:]] |= np.append(False, word)[offsets[1:]]
     w_end = np.flatnonzero(stop)
     owner = np.searchsorted(starts, w_start, side="right") - 1

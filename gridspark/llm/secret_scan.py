@@ -204,7 +204,9 @@ def trained(seed: int = 5, n: int = 2400, epochs: int = 8) -> CharNet:
         b -= 0.1 * (p - truth).mean()
     net.scale, net.shift = float(a), float(b)
     p = net.probability(x[cut:])
-    net.threshold = max(FLOOR, float(np.quantile(p[truth == 1], 1 - RECALL)))
+    # no higher than recall allows, and no higher than it takes to pass over the held-out look-alikes
+    clean = float(p[truth == 0].max()) + 0.01
+    net.threshold = max(FLOOR, min(clean, float(np.quantile(p[truth == 1], 1 - RECALL))))
     return net
 
 
