@@ -211,9 +211,21 @@ def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SI
         places = where.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("node", "line")).alias("wanted"))
         if where.count() <= BROADCAST_LINES:
             places = F.broadcast(places)
-        found = _keyed(docs).join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+        found = _keyed(docs).join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))).select("text", "wanted")
+
+        def pick(batches):
+            for b in text_blocks(batches, "text"):
+                h1, h2, lines = [], [], []
+                for text, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
+                    parts = text.split("\n")
+                    for w in wanted:
+                        h1.append(w["node"]["h1"])
+                        h2.append(w["node"]["h2"])
+                        lines.append(parts[w["line"]].lower())
+                yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(lines, pa.string())], names=["h1", "h2", "line"])
+
         # repeated rows give a node several times
-        texts = stash(found.select(F.col("w.node").alias("node"), F.lower(F.get("lines", F.col("w.line"))).alias("line")).dropDuplicates(["node"]), "line-texts")
+        texts = stash(found.mapInArrow(pick, "h1 long, h2 long, line string").select(node, "line").dropDuplicates(["node"]), "line-texts")
         both = pairs.join(texts.select(F.col("node").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("line").alias("b")), "v")
 
         def compare(batches):
