@@ -197,7 +197,7 @@ def similar(a: list, b: list, least: float = SIMILARITY) -> bool:
 
 
 #: Members of a bucket that a task compares with those of one other block of it.
-BLOCK = 512
+BLOCK = 4096
 
 
 def _possible(apart: DataFrame, texts: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
