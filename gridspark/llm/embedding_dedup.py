@@ -88,6 +88,17 @@ def _pairs(a: np.ndarray, b: np.ndarray, qa: np.ndarray, qb: np.ndarray, thresho
     return out
 
 
+def union(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Join the trees of linked nodes in place: afterwards ``root`` holds every node's smallest node."""
+    while len(u):
+        a, b = root[u], root[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (upper := root[root]).tolist() != root.tolist():
+            root[:] = upper
+
+
 def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept."""
     x = F.col("embedding")
@@ -140,18 +151,19 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         r = rotation(dim, seed)
         one, two = np.flatnonzero(p == low), np.flatnonzero(p == high)
         same = low[0] == high[0]
-        degree, least = np.zeros(len(ids), np.int64), ids.copy()
+        degree, root, by_rank = np.zeros(len(ids), np.int64), np.arange(len(ids)), np.sort(ids)
+        rank = np.searchsorted(by_rank, ids)
         for s in range(0, len(one), 512):
             a = one[s : s + 512]
             hit = _pairs(x[a], x[two], q[a], q[two], threshold, r)
             if same:
                 hit[ids[a][:, None] == ids[two][None]] = False
             degree[a] += hit @ copies[two]
-            least[a] = np.minimum(least[a], np.where(hit, ids[two][None], ids[a][:, None]).min(1)) if len(two) else least[a]
             if not same:
                 degree[two] += copies[a] @ hit
-                least[two] = np.minimum(least[two], np.where(hit, ids[a][:, None], ids[two][None]).min(0))
-        return pa.table({"node": ids, "degree": degree, "least": least}).filter(pa.array(degree > 0))
+            i, j = np.nonzero(hit)
+            union(root, rank[a[i]], rank[two[j]])
+        return pa.table({"node": ids, "degree": degree, "least": by_rank[root[rank]]}).filter(pa.array(degree > 0))
 
     found = stash(full.groupBy("task", "t", "key", "bytes", "low", "high").applyInArrow(compare, "node long, degree long, least long"), "links")
     degree = found.groupBy("node").agg(F.sum("degree").alias("degree"))
