@@ -103,6 +103,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) ->
         store.move(temporary, final)
         yield pa.RecordBatch.from_pydict({"path": [final], "bytes": [size], "records": [n]})
 
+    store, at = open_store(folder)
+    store.create_dir(at, recursive=True)  # also where there is no partition to write
     written = revisits(pages, least).mapInArrow(run, "path string, bytes long, records long")
     return written.sparkSession.createDataFrame(written.collect(), written.schema)  # a row per archive
 
