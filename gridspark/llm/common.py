@@ -204,7 +204,7 @@ def bucket_links(at: DataFrame, fits, verify, what: str, hub_rounds: int = 2, re
         ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         fresh = stash(ordered(pairs).distinct().join(ordered(tested), ["u", "v"], "left_anti"), what + "-pairs")
         if not fresh.limit(1).count():
-            break
+            continue  # nothing fits these hubs; the next round still looks at what stays apart
         label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(verify(fresh)), what + "-classes")
         tested = tested.unionByName(fresh)
     return label

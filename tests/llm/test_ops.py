@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridspark.llm import common, decontamination, embedding_dedup, html_extract, line_dedup, mixing, near_dedup, quality, repeat_removal, secret_scan, warc
 
@@ -61,6 +62,14 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_bucket_links_past_hubs_that_fit_nothing(spark):
+    # b and c are alike; neither the smallest nor the largest of the bucket fits anything
+    at = spark.createDataFrame([(1, "a", 1), (1, "b", 10), (1, "c", 11), (1, "d", 99)], "bucket long, node string, size int")
+    fits = lambda a, b: F.least(a["size"], b["size"]) >= 0.8 * F.greatest(a["size"], b["size"])
+    got = common.bucket_links(at, fits, lambda pairs: pairs, "test").collect()
+    assert {r.node: r.component for r in got} == {"b": "b", "c": "b"}
+
+
 def test_range_hash_equals_on_equal_bytes():
     raw = np.frombuffer(b"abcabcabc", np.uint8)
     h = common.RangeHash(raw)
@@ -154,6 +163,23 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 2])
+def test_embedding_chains_are_one_component(spark, block):
+    # 0 - 2 - 1 - 3: neighbours link, the others don't; the smallest neighbour alone would leave 1 and 3 apart
+    angle = np.deg2rad([0, 40, 20, 60])
+    x = np.stack([np.cos(angle), np.sin(angle)] + [np.zeros(4)] * 6, 1)
+    got = _rows(embedding_dedup.links(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), recall=0.9999, block=block), "vec_id")
+    assert [got[k].n_links for k in range(4)] == [1, 2, 2, 1]
+    assert [got[k].component_id for k in range(4)] == [0] * 4
+    root = np.arange(60)
+    u, v = np.array([(a, b) for a, b in [(k, k + 7) for k in range(0, 50, 3)] + [(59, 2), (59, 40)]]).T
+    embedding_dedup.union(root, u, v)
+    want = list(range(60))
+    for a, b in list(zip(u.tolist(), v.tolist(), strict=True)) * 60:
+        want[a] = want[b] = min(want[a], want[b])
+    assert root.tolist() == want
+
+
 # --- 4 pages ---
 
 
