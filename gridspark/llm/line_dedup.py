@@ -1,9 +1,11 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line per group.
 
-A line is normalised to its lower-cased words. Equal normalised lines are one node; nodes whose
-64-bit SimHashes (over words and word pairs) differ in at most ``DISTANCE`` bits agree on at least
-two of five blocks, so every pair of blocks is a join key; pairs within the distance are kept when
-the edit similarity of their lines reaches ``SIMILARITY``. Of each connected group only the first
+A line is normalised to its lower-cased words. Equal normalised lines are one node. Nodes whose
+64-bit SimHashes (over the line's ``GRAM``-byte grams) differ in at most ``DISTANCE`` bits agree on
+at least two of five blocks, so every pair of blocks is a join key. At edit similarity 0.9 most
+SimHashes are further apart than pigeonhole blocks can reach, so ``SKETCHES`` min-hash keys over the
+same grams are join keys too. Pairs that share a key and are within ``REACH`` bits are kept when the
+edit similarity of their lines reaches ``SIMILARITY``. Of each connected group only the first
 occurrence stays, by (doc_id, text hash, line number).
 
 Defined results: lines without words always stay; a null text stays null; rows equal in doc_id and
@@ -19,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import bucket_links, mix64, powers, stash, text_blocks, utf8
+from gridspark.llm.common import RangeHash, bucket_links, mix64, powers, stash, text_blocks, utf8
 from gridspark.llm.near_dedup import _NORMAL, edit_distance, word_hashes
 
 DISTANCE = 3
 SIMILARITY = 0.9
+#: Bytes of a gram; min-hash keys of a line, each of the least gram in every one of ``BINS`` bins.
+GRAM, SKETCHES, BINS = 6, 10, 4
+#: SimHash bits that candidates may differ in: lines of edit similarity 0.9 differ in 13 on average at worst.
+REACH = 20
 #: Shorter lines are compared for equality only: a changed word is too much of them.
 FUZZY_WORDS = 6
 #: Candidate lines up to this number are broadcast to fetch their texts; more are joined by shuffle.
@@ -51,34 +57,58 @@ def line_keys(raw: np.ndarray, line_offsets: np.ndarray) -> tuple[np.ndarray, ..
         h1 = np.add.reduceat(pad * np.append(p[place], np.uint64(0)), np.minimum(at[:-1], len(w))) if len(n) else np.zeros(0, np.uint64)
         h2 = np.add.reduceat(np.append(mix64(w + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0)), np.minimum(at[:-1], len(w))) if len(n) else np.zeros(0, np.uint64)
         h1, h2 = mix64(h1 + n.astype(np.uint64)), mix64(h2 ^ n.astype(np.uint64))
-        pairs = mix64(w[:-1] * np.uint64(3) + w[1:]) if len(w) > 1 else np.zeros(0, np.uint64)
-    return n, h1, h2, _simhash(w, pairs, at, n)
+    return n, h1, h2, _simhash(*line_grams(raw, line_offsets))
+
+
+def line_grams(raw: np.ndarray, line_offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams of every line, without its line break, and where each line's begin (n + 1 numbers)."""
+    start, end = line_offsets[:-1], line_offsets[1:].copy()
+    full = end > start
+    end[full] -= raw[end[full] - 1] == 10
+    n = np.maximum(0, end - start - GRAM + 1)
+    at = np.concatenate([[0], np.cumsum(n)])
+    return RangeHash(_NORMAL[raw]).windows(GRAM)[np.arange(at[-1]) + np.repeat(start - at[:-1], n)], at
+
+
+_ODD = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def min_keys(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The min-hash keys of every line (lines x ``SKETCHES``, 32 bits each)."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    mixed = np.zeros((SKETCHES, len(at) - 1), np.uint64)
+    dealt = (grams >> np.uint64(20)) % np.uint64(BINS)
+    with np.errstate(over="ignore"):
+        for c in range(BINS):
+            mine = np.flatnonzero(dealt == c)
+            own, values = owner[mine], grams[mine]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            for k in range(SKETCHES if len(mine) else 0):
+                mixed[k, own[first]] += mix64(np.minimum.reduceat(values * _ODD[k], first) + np.uint64(c))
+    return (mix64(mixed) >> np.uint64(32)).astype(np.uint32).T
 
 
 _LANES = np.uint64(0x0001000100010001)
 
 
-def _simhash(w: np.ndarray, pairs: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Majority bits over the words and word pairs of every line.
+def _simhash(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Majority bits over the grams of every line.
 
     A 64-bit sum holds four 16-bit counters, so sixteen shifted sums count all bits; lines of more
     words than a counter holds are counted bit by bit.
     """
+    n = np.diff(at)
     sim = np.zeros(len(n), np.uint64)
     busy = np.flatnonzero(n > 0)
     if not len(busy):
         return sim
-    starts = at[:-1][busy]
-    both = np.append(pairs, np.uint64(0))
-    both[np.append(starts[1:], len(w)) - 1] = 0  # the pair that would cross into the next line
-    total = (2 * n[busy] - 1).astype(np.int64)
+    starts, total = at[:-1][busy], n[busy]
     votes = np.zeros((len(busy), 64), np.int64)
     for bit in range(16):
-        shift = np.uint64(bit)
-        sums = np.add.reduceat(((w >> shift) & _LANES) + ((both >> shift) & _LANES), starts)
+        sums = np.add.reduceat((grams >> np.uint64(bit)) & _LANES, starts)
         votes[:, bit::16] = sums.view(np.uint16).reshape(-1, 4)
     for k in np.flatnonzero(total > 60_000).tolist():
-        own = np.concatenate([x[starts[k] : starts[k] + n[busy[k]]] for x in (w, both)])
+        own = grams[starts[k] : starts[k] + total[k]]
         votes[k] = [int(((own >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
     ones = (2 * votes > total[:, None]).astype(np.uint8)
     sim[busy] = np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
@@ -86,7 +116,7 @@ def _simhash(w: np.ndarray, pairs: np.ndarray, at: np.ndarray, n: np.ndarray) ->
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line, n_words, h1, h2, sim) of every line with words."""
+    """(doc_id, row, line, n_words, h1, h2, sim, keys) of every line with words; null keys where it is compared for equality only."""
 
     def run(batches):
         for b in text_blocks(batches, "text"):
@@ -98,12 +128,16 @@ def _lines(docs: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(b.num_rows), count)[keep]
             number = (np.arange(len(n)) - np.repeat(first[:-1], count))[keep]
             take = pa.array(owner)
+            grams = line_grams(raw, at)
+            fuzzy = np.flatnonzero(n[keep] >= FUZZY_WORDS)
+            ends = np.concatenate([[0], np.cumsum(n[keep] >= FUZZY_WORDS)]).astype(np.int32) * SKETCHES
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(min_keys(*grams)[keep[fuzzy]]).view(np.int32).ravel()), mask=pa.array(n[keep] < FUZZY_WORDS))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(take), b.column("row").take(take), pa.array(number.astype(np.int32)), pa.array(n[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (h1, h2, sim))],
-                names=["doc_id", "row", "line", "n_words", "h1", "h2", "sim"],
+                [b.column("doc_id").take(take), b.column("row").take(take), pa.array(number.astype(np.int32)), pa.array(n[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (h1, h2, sim)), keys],
+                names=["doc_id", "row", "line", "n_words", "h1", "h2", "sim", "keys"],
             )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, row long, line int, n_words int, h1 long, h2 long, sim long")
+    return _keyed(docs).mapInArrow(run, "doc_id long, row long, line int, n_words int, h1 long, h2 long, sim long, keys array<int>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -121,8 +155,9 @@ SHARD_LINES = 100_000
 def with_neighbours(fuzzy: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """h1 of the lines (h1, sim) that have another line within ``distance`` bits; few more, none less.
 
-    For every table of blocks, lines travel as packed (sim, h1) of 16 bytes to the shard of their
-    key. In a shard they are sorted by key; runs of equal keys are compared at growing lags, and a run
+    Where ``fuzzy`` has ``keys`` too, also of those that share one with a line within ``REACH`` bits.
+    For every table of blocks or keys, lines travel as packed (sim, h1) of 16 bytes, with their key if
+    the SimHash doesn't hold it, to the shard of their key. In a shard they are sorted by key; runs of equal keys are compared at growing lags, and a run
     too long for that counts as a whole.
     """
     tables = _tables(distance)
@@ -134,34 +169,45 @@ def with_neighbours(fuzzy: DataFrame, distance: int = DISTANCE) -> DataFrame:
             key = (key << np.uint64(wide)) | ((sim >> np.uint64(low)) & np.uint64((1 << wide) - 1))
         return key
 
-    def packs(h1: list, sim: list):
+    sketched = "keys" in fuzzy.columns
+
+    def packs(h1: list, sim: list, keys: list):
         both = np.stack([np.concatenate(sim), np.concatenate(h1)], 1)
-        t, s, out = [], [], []
-        for k, chosen in enumerate(tables):
-            shard = (mix64(keys_of(both[:, 0], chosen)) % np.uint64(shards)).astype(np.int64)
+        given = np.concatenate(keys) if sketched else np.zeros((len(both), 0), np.uint32)
+        t, s, out, own = [], [], [], []
+        for k in range(len(tables) + given.shape[1]):
+            blocks = k < len(tables)
+            key = keys_of(both[:, 0], tables[k]) if blocks else given[:, k - len(tables)]
+            shard = (mix64(key.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
             for j in np.flatnonzero(np.diff(edges)).tolist():
+                mine = order[edges[j] : edges[j + 1]]
                 t.append(k)
                 s.append(j)
-                out.append(both[order[edges[j] : edges[j + 1]]].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(s, pa.int32()), pa.array(out, pa.binary())], names=["t", "shard", "packed"])
+                out.append(both[mine].tobytes())
+                own.append(b"" if blocks else key[mine].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(s, pa.int32()), pa.array(out, pa.binary()), pa.array(own, pa.binary())], names=["t", "shard", "packed", "keys"])
 
     def send(batches):
-        h1, sim, n = [], [], 0
+        h1, sim, keys, n = [], [], [], 0
         for b in batches:
             h1.append(np.asarray(b.column("h1")).view(np.uint64))
             sim.append(np.asarray(b.column("sim")).view(np.uint64))
+            if sketched:
+                keys.append(np.asarray(b.column("keys").flatten()).view(np.uint32).reshape(-1, SKETCHES))
             n += b.num_rows
             if n >= 50_000:
-                yield packs(h1, sim)
-                h1, sim, n = [], [], 0
+                yield packs(h1, sim, keys)
+                h1, sim, keys, n = [], [], [], 0
         if n:
-            yield packs(h1, sim)
+            yield packs(h1, sim, keys)
 
     def search(table: pa.Table) -> pa.Table:
         both = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint64).reshape(-1, 2)
-        key = keys_of(both[:, 0], tables[table.column("t")[0].as_py()])
+        t = table.column("t")[0].as_py()
+        key = keys_of(both[:, 0], tables[t]) if t < len(tables) else np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
+        reach = REACH if sketched else distance
         order = np.argsort(key, kind="stable")
         key, sim = key[order], both[order, 0]
         hit = np.zeros(len(key), bool)
@@ -171,7 +217,7 @@ def with_neighbours(fuzzy: DataFrame, distance: int = DISTANCE) -> DataFrame:
             live = live[key[live] == key[live + lag]]
             if not len(live):
                 break
-            close = np.bitwise_count(sim[live] ^ sim[live + lag]) <= distance
+            close = np.bitwise_count(sim[live] ^ sim[live + lag]) <= reach
             hit[live[close]] = True
             hit[live[close] + lag] = True
             lag += 1
@@ -180,7 +226,7 @@ def with_neighbours(fuzzy: DataFrame, distance: int = DISTANCE) -> DataFrame:
             hit |= np.isin(key, key[live])
         return pa.table({"h1": pa.array(both[order[hit], 1].view(np.int64))})
 
-    packed = fuzzy.select("h1", "sim").mapInArrow(send, "t int, shard int, packed binary")
+    packed = fuzzy.select("h1", "sim", *(["keys"] if sketched else [])).mapInArrow(send, "t int, shard int, packed binary, keys binary")
     return packed.groupBy("t", "shard").applyInArrow(search, "h1 long")
 
 
@@ -189,7 +235,7 @@ def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SI
     nodes = stash(
         _lines(docs)
         .groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.min("sim").alias("sim"), F.min("n_words").alias("n_words")),
+        .agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.min("sim").alias("sim"), F.min("n_words").alias("n_words"), F.min("keys").alias("keys")),
         "lines",
     )
     node = F.struct("h1", "h2").alias("node")
@@ -199,11 +245,11 @@ def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SI
         for low, wide in chosen:
             key = F.shiftleft(key, wide).bitwiseOR(F.shiftrightunsigned("sim", low).bitwiseAND((1 << wide) - 1))
         keys.append(key)
-    fuzzy = nodes.where(F.col("n_words") >= FUZZY_WORDS)
+    fuzzy = nodes.where("keys IS NOT NULL")
     near = stash(with_neighbours(fuzzy, distance), "line-candidates")
     fuzzy = fuzzy.join(near.distinct(), "h1", "left_semi")
-    at = fuzzy.select(F.explode(F.array(*keys)).alias("bucket"), node, F.col("n_words").alias("size"), "sim")
-    fits = lambda a, b: (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= distance) & (F.least(a["size"], b["size"]) >= F.lit(0.8) * F.greatest(a["size"], b["size"]))
+    at = fuzzy.select(F.explode(F.concat(F.array(*keys), F.transform("keys", lambda k, i: (i + 1).cast("long") * F.lit(1 << 34) + k))).alias("bucket"), node, F.col("n_words").alias("size"), "sim")
+    fits = lambda a, b: F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= REACH
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select("u").union(pairs.select(F.col("v").alias("u"))).distinct()

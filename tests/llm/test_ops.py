@@ -388,6 +388,29 @@ def test_fuzzy_lines_and_their_candidates(spark):
     assert {r.h1 for r in line_dedup.with_neighbours(df).collect()} >= want
 
 
+def test_fuzzy_lines_at_the_similarity_asked_for(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(3000)]
+    rows, pairs = [], 0
+    for n in (8, 20, 40, 80):
+        for _ in range(50):
+            line = rng.choices(words, k=n)
+            most = int(0.1 * len(" ".join(line)))
+            near = list(line)
+            for k in rng.sample(range(n), n):
+                new = [*near[:k], rng.choice(words), *near[k + 1 :]]
+                if line_dedup.edit_distance(" ".join(line), " ".join(new), most) <= most:
+                    near = new
+                if len(set(zip(range(n), near)) - set(zip(range(n), line))) >= max(1, n // 14):
+                    break
+            if near != line:
+                pairs += 1
+                rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(near))]
+    kept = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert pairs > 150 and kept >= set(range(0, len(rows), 2))
+    assert len(rows) - len(kept) >= 0.97 * pairs
+
+
 # --- 10 near duplicates ---
 
 
