@@ -110,8 +110,8 @@ def windows_of(items: list[tuple], size: int = WINDOW) -> dict[bytes, list[int]]
 
 _HITS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 HITS = "doc_id long, row long, n_words long, starts array<int>, ends array<int>, items array<string>"
-DIGEST = "doc_id long, row long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
+DIGEST = "doc_id long, row long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, full boolean"
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("full", pa.bool_())])
 
 
 class Scanner:
@@ -149,16 +149,17 @@ class Scanner:
         return n_words, starts, ends, ids
 
 
-def _digest(starts: list | None, ends: list | None, ids: list | None) -> tuple[int, int, str, bool]:
+def _digest(starts: list | None, ends: list | None, ids: list | None, size: int) -> tuple[int, int, str, bool, bool]:
     total, reach, names = 0, -1, sorted(set(ids or ()))
     for a, z in sorted(zip(starts or (), ends or (), strict=True)):
         total += max(0, z - max(a, reach))
         reach = max(reach, z)
-    return total, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), len(names) >= 2
+    full = any(z - a == size for a, z in zip(starts or (), ends or (), strict=True))
+    return total, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), len(names) >= 2, full
 
 
-def _digests(b: pa.RecordBatch, n_words, starts, ends, ids) -> pa.RecordBatch:
-    digest = list(zip(*map(_digest, starts, ends, ids), strict=True)) or [[], [], [], []]
+def _digests(b: pa.RecordBatch, size: int, n_words, starts, ends, ids) -> pa.RecordBatch:
+    digest = list(zip(*(_digest(*hit, size) for hit in zip(starts, ends, ids, strict=True)), strict=True)) or [[], [], [], [], []]
     return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n_words, pa.int64()), *(pa.array(x, t) for x, t in zip(digest, _DIGEST.types[3:], strict=True))], schema=_DIGEST)
 
 
@@ -172,8 +173,9 @@ def _passes(benchmark: DataFrame, items_a_pass: int) -> Iterator[list[tuple[str,
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, row, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per row of ``docs`` (doc_id, text): doc_id, row, n_words, n_hit, n_items, items_sha256, contaminated, full.
 
+    ``full`` says that an occurrence has ``size`` words, not only that the hits have as many together.
     ``row`` is xxhash64 of the text and tells apart rows that share a doc_id. The benchmark is
     searched in passes of ``items_a_pass`` items: one pass (the usual case) is a single map over the
     documents without a shuffle; with more, each pass's hits are written and merged per document.
@@ -186,7 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, ite
             scanner = Scanner(items, size)
             for b in text_blocks(batches, "text", BLOCK_BYTES):
                 hits = scanner.hits(b)
-                yield _digests(b, *hits) if whole else pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *(pa.array(x, t) for x, t in zip(hits, _HITS.types[2:], strict=True))], schema=_HITS)
+                yield _digests(b, size, *hits) if whole else pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *(pa.array(x, t) for x, t in zip(hits, _HITS.types[2:], strict=True))], schema=_HITS)
 
         if passes == 1:
             return rows.mapInArrow(scan, DIGEST)
@@ -199,7 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, ite
 
     def digest(batches):
         for b in batches:
-            yield _digests(b, *(b.column(c).to_pylist() for c in ("n_words", "starts", "ends", "items")))
+            yield _digests(b, size, *(b.column(c).to_pylist() for c in ("n_words", "starts", "ends", "items")))
 
     return merged.select("doc_id", "row", "n_words", "starts", "ends", "items").mapInArrow(digest, DIGEST)
 
@@ -211,10 +213,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, ite
     of any item is in it; an item shorter than a window alone, which may be any phrase, isn't enough.
     """
     hits = contamination(docs, benchmark, size, items_a_pass)
-    dirty = hits.where(F.col("contaminated") | (F.col("n_hit") >= size)).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    dirty = hits.where(F.col("contaminated") | F.col("full")).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
     return docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__row")), "left_anti")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contamination(docs, items).drop("row")
+    return contamination(docs, items).drop("row", "full")

@@ -281,6 +281,18 @@ def test_decontaminate_keeps_clean_rows(spark, odd):
     assert out.columns == odd.columns and out.count() == len(ODD) and out.where("doc_id = 9").count() == 0
 
 
+@pytest.mark.parametrize("a_pass", [1, 1000])
+def test_short_items_alone_drop_nothing_however_often(spark, a_pass):
+    long = " ".join(f"w{k} the end of" for k in range(20))
+    d = spark.createDataFrame([(1, long), (2, long + " one two three four five six seven eight")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "the end"), (2, "one two three four five six seven eight nine")], "item_id long, text string")
+    for items in (b.where("item_id = 1"), b):
+        got = {r.doc_id for r in decontamination.decontaminate(d, items, items_a_pass=a_pass).collect()}
+        assert got == ({1, 2} if items is not b else {1})
+    d = d.where("doc_id = 1")
+    assert decontamination.contamination(d, b).first().n_hit == 40 and decontamination.decontaminate(d, b, items_a_pass=a_pass).count() == 1
+
+
 # --- 7 repeats ---
 
 
