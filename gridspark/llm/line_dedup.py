@@ -30,8 +30,8 @@ SIMILARITY = 0.9
 GRAM, SKETCHES, BINS = 6, 10, 4
 #: SimHash bits that candidates may differ in: lines of edit similarity 0.9 differ in 13 on average at worst.
 REACH = 20
-#: Shorter lines are compared for equality only: a changed word is too much of them.
-FUZZY_WORDS = 6
+#: Lines of fewer grams are compared for equality only: under 10 characters no edit is allowed, so the shorter of two has 9.
+LEAST_GRAMS = 9 - GRAM + 1
 #: Candidate lines up to this number are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_LINES = 200_000
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -116,7 +116,7 @@ def _simhash(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line, n_words, h1, h2, sim, keys) of every line with words; null keys where it is compared for equality only."""
+    """(doc_id, row, line, n_chars, h1, h2, sim, keys) of every line with words; null keys where it is compared for equality only."""
 
     def run(batches):
         for b in text_blocks(batches, "text"):
@@ -129,15 +129,16 @@ def _lines(docs: DataFrame) -> DataFrame:
             number = (np.arange(len(n)) - np.repeat(first[:-1], count))[keep]
             take = pa.array(owner)
             grams = line_grams(raw, at)
-            fuzzy = np.flatnonzero(n[keep] >= FUZZY_WORDS)
-            ends = np.concatenate([[0], np.cumsum(n[keep] >= FUZZY_WORDS)]).astype(np.int32) * SKETCHES
-            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(min_keys(*grams)[keep[fuzzy]]).view(np.int32).ravel()), mask=pa.array(n[keep] < FUZZY_WORDS))
+            chars = np.concatenate([[0], np.cumsum(((raw & 0xC0) != 0x80) & (raw != 10))])
+            fuzzy = np.diff(grams[1])[keep] >= LEAST_GRAMS
+            ends = np.concatenate([[0], np.cumsum(fuzzy)]).astype(np.int32) * SKETCHES
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(min_keys(*grams)[keep[fuzzy]]).view(np.int32).ravel()), mask=pa.array(~fuzzy))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(take), b.column("row").take(take), pa.array(number.astype(np.int32)), pa.array(n[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (h1, h2, sim)), keys],
-                names=["doc_id", "row", "line", "n_words", "h1", "h2", "sim", "keys"],
+                [b.column("doc_id").take(take), b.column("row").take(take), pa.array(number.astype(np.int32)), pa.array(np.diff(chars[at])[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (h1, h2, sim)), keys],
+                names=["doc_id", "row", "line", "n_chars", "h1", "h2", "sim", "keys"],
             )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, row long, line int, n_words int, h1 long, h2 long, sim long, keys array<int>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, row long, line int, n_chars int, h1 long, h2 long, sim long, keys array<int>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -152,12 +153,14 @@ def _tables(distance: int) -> list:
 SHARD_LINES = 100_000
 
 
-def with_neighbours(fuzzy: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """h1 of the lines (h1, sim) that have another line within ``distance`` bits; few more, none less.
+def with_neighbours(fuzzy: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
+    """(h1, bucket) of the lines (h1, sim) that have another line within ``distance`` bits; few more, none less.
 
-    Where ``fuzzy`` has ``keys`` too, also of those that share one with a line within ``REACH`` bits.
-    For every table of blocks or keys, lines travel as packed (sim, h1) of 16 bytes, with their key if
-    the SimHash doesn't hold it, to the shard of their key. In a shard they are sorted by key; runs of equal keys are compared at growing lags, and a run
+    Where ``fuzzy`` has ``keys`` and ``n_chars`` too, also of those that share one with a line within
+    ``REACH`` bits; lines whose lengths rule the similarity out are no neighbours then. The bucket is the
+    table and key that both lines of such a pair have.
+    For every table of blocks or keys, lines travel as packed (sim, h1) of 16 bytes, with their length and
+    their key if the SimHash doesn't hold it, to the shard of their key. In a shard they are sorted by key; runs of equal keys are compared at growing lags, and a run
     too long for that counts as a whole.
     """
     tables = _tables(distance)
@@ -171,10 +174,17 @@ def with_neighbours(fuzzy: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     sketched = "keys" in fuzzy.columns
 
-    def packs(h1: list, sim: list, keys: list):
+    #: lengths as logarithms in two bytes, and how far apart those of similar lines can be
+    def log_length(n: np.ndarray) -> np.ndarray:
+        return np.minimum(np.log2(np.maximum(n, 1)) * 2000, 65535).astype(np.uint16)
+
+    apart = int(np.log2(1 / similarity) * 2000) + 2 if sketched else 1 << 16
+
+    def packs(h1: list, sim: list, keys: list, long: list):
         both = np.stack([np.concatenate(sim), np.concatenate(h1)], 1)
         given = np.concatenate(keys) if sketched else np.zeros((len(both), 0), np.uint32)
-        t, s, out, own = [], [], [], []
+        length = np.concatenate(long)
+        t, s, out, own, size = [], [], [], [], []
         for k in range(len(tables) + given.shape[1]):
             blocks = k < len(tables)
             key = keys_of(both[:, 0], tables[k]) if blocks else given[:, k - len(tables)]
@@ -187,21 +197,23 @@ def with_neighbours(fuzzy: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 s.append(j)
                 out.append(both[mine].tobytes())
                 own.append(b"" if blocks else key[mine].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(s, pa.int32()), pa.array(out, pa.binary()), pa.array(own, pa.binary())], names=["t", "shard", "packed", "keys"])
+                size.append(length[mine].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(s, pa.int32()), pa.array(out, pa.binary()), pa.array(own, pa.binary()), pa.array(size, pa.binary())], names=["t", "shard", "packed", "keys", "lengths"])
 
     def send(batches):
-        h1, sim, keys, n = [], [], [], 0
+        h1, sim, keys, long, n = [], [], [], [], 0
         for b in batches:
             h1.append(np.asarray(b.column("h1")).view(np.uint64))
             sim.append(np.asarray(b.column("sim")).view(np.uint64))
             if sketched:
                 keys.append(np.asarray(b.column("keys").flatten()).view(np.uint32).reshape(-1, SKETCHES))
+            long.append(log_length(np.asarray(b.column("n_chars"))) if sketched else np.zeros(b.num_rows, np.uint16))
             n += b.num_rows
             if n >= 50_000:
-                yield packs(h1, sim, keys)
-                h1, sim, keys, n = [], [], [], 0
+                yield packs(h1, sim, keys, long)
+                h1, sim, keys, long, n = [], [], [], [], 0
         if n:
-            yield packs(h1, sim, keys)
+            yield packs(h1, sim, keys, long)
 
     def search(table: pa.Table) -> pa.Table:
         both = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint64).reshape(-1, 2)
@@ -210,6 +222,7 @@ def with_neighbours(fuzzy: DataFrame, distance: int = DISTANCE) -> DataFrame:
         reach = REACH if sketched else distance
         order = np.argsort(key, kind="stable")
         key, sim = key[order], both[order, 0]
+        length = np.frombuffer(b"".join(table.column("lengths").to_pylist()), np.uint16)[order].astype(np.int32)
         hit = np.zeros(len(key), bool)
         live, lag = np.arange(len(key)), 1
         while lag <= 64:
@@ -218,16 +231,18 @@ def with_neighbours(fuzzy: DataFrame, distance: int = DISTANCE) -> DataFrame:
             if not len(live):
                 break
             close = np.bitwise_count(sim[live] ^ sim[live + lag]) <= reach
+            close &= np.abs(length[live] - length[live + lag]) <= apart
             hit[live[close]] = True
             hit[live[close] + lag] = True
             lag += 1
         else:
             # runs longer than the lags: all of each
             hit |= np.isin(key, key[live])
-        return pa.table({"h1": pa.array(both[order[hit], 1].view(np.int64))})
+        bucket = key[hit].astype(np.int64) + (t << 34)
+        return pa.table({"h1": pa.array(both[order[hit], 1].view(np.int64)), "bucket": pa.array(bucket)})
 
-    packed = fuzzy.select("h1", "sim", *(["keys"] if sketched else [])).mapInArrow(send, "t int, shard int, packed binary, keys binary")
-    return packed.groupBy("t", "shard").applyInArrow(search, "h1 long")
+    packed = fuzzy.select("h1", "sim", *(["keys", "n_chars"] if sketched else [])).mapInArrow(send, "t int, shard int, packed binary, keys binary, lengths binary")
+    return packed.groupBy("t", "shard").applyInArrow(search, "h1 long, bucket long")
 
 
 def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
@@ -235,21 +250,17 @@ def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SI
     nodes = stash(
         _lines(docs)
         .groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.min("sim").alias("sim"), F.min("n_words").alias("n_words"), F.min("keys").alias("keys")),
+        .agg(F.min(F.struct("doc_id", "row", "line", "n_chars", "sim", "keys")).alias("l"))
+        .select("h1", "h2", F.struct("l.doc_id", "l.row", "l.line").alias("first"), "l.n_chars", "l.sim", "l.keys"),
         "lines",
     )
     node = F.struct("h1", "h2").alias("node")
-    keys = []
-    for k, chosen in enumerate(_tables(distance)):
-        key = F.lit(k).cast("long")
-        for low, wide in chosen:
-            key = F.shiftleft(key, wide).bitwiseOR(F.shiftrightunsigned("sim", low).bitwiseAND((1 << wide) - 1))
-        keys.append(key)
-    fuzzy = nodes.where("keys IS NOT NULL")
-    near = stash(with_neighbours(fuzzy, distance), "line-candidates")
-    fuzzy = fuzzy.join(near.distinct(), "h1", "left_semi")
-    at = fuzzy.select(F.explode(F.concat(F.array(*keys), F.transform("keys", lambda k, i: (i + 1).cast("long") * F.lit(1 << 34) + k))).alias("bucket"), node, F.col("n_words").alias("size"), "sim")
-    fits = lambda a, b: F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= REACH
+    near = stash(with_neighbours(nodes.where("keys IS NOT NULL"), distance, similarity), "line-candidates")
+    at = near.join(nodes, "h1").select("bucket", node, F.col("n_chars").alias("size"), "sim")
+
+    def fits(a, b):
+        longer = F.greatest(a["size"], b["size"])
+        return (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= REACH) & (F.least(a["size"], b["size"]) >= similarity * longer - 1)
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select("u").union(pairs.select(F.col("v").alias("u"))).distinct()

@@ -423,6 +423,17 @@ def test_fuzzy_lines_at_the_similarity_asked_for(spark):
     assert len(rows) - len(kept) >= 0.97 * pairs
 
 
+def test_fuzzy_short_lines(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        owner = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(4))
+        rows += [(2 * k, f"{owner} 2019"), (2 * k + 1, f"{owner} 2023")]
+    rows += [(200, "a b c d"), (201, "a b c e")]
+    kept = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= {*range(0, 120, 2), 200, 201} and len(kept) <= 62 + 6
+
+
 # --- 10 near duplicates ---
 
 
