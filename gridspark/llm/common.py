@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,18 @@ def drop_stash(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession, *used: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more, and let Spark drop the shuffles that nothing refers to.
+
+    Shuffle files go when the driver's collectors find that no plan refers to them; without a
+    call they stay until the heap fills up, which on a driver with little to do is never.
+    """
+    for df in used:
+        drop_stash(df)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array (null: empty) and the n + 1 offsets of its rows."""
     if isinstance(col, pa.ChunkedArray):
@@ -98,7 +111,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Another base: hashes of 128 bits take both.
+SECOND_BASE = 0x9FB21C651E98DF25
 _VALUES = mix64(np.arange(256, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(77))
 _powers: dict[int, np.ndarray] = {}
 
@@ -119,11 +133,11 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
 class RangeHash:
     """64-bit hashes of any byte ranges of one buffer from a single prefix sum."""
 
-    def __init__(self, raw: np.ndarray):
+    def __init__(self, raw: np.ndarray, base: int = _BASE):
         with np.errstate(over="ignore"):
             self.sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(_VALUES[raw] * powers(len(raw)), out=self.sums[1:])
-        self.back = powers(len(raw) + 1, _INVERSE)
+            np.cumsum(_VALUES[raw] * powers(len(raw), base), out=self.sums[1:])
+        self.back = powers(len(raw) + 1, pow(base, -1, 1 << 64))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -172,39 +186,160 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
             return label
 
 
-def bucket_links(at: DataFrame, fits, verify, what: str, hub_rounds: int = 2, rest=None) -> DataFrame:
+#: Rows whose keys are searched together, about, and rows whose keys are packed together.
+SHARD_ROWS, PACK_ROWS = 100_000, 1 << 16
+
+
+def shared_keys(rows: DataFrame, columns, names: list[str], wide: bool, what: str) -> DataFrame:
+    """A written table (h, bucket) of the rows that share a key with another row.
+
+    ``columns(batch)`` gives (table, indexes of rows, their keys) for every table; ``names`` are what it
+    reads beside the row's hash ``h``. Keys of a table have 64 bits if ``wide``, else 32. They travel
+    packed with the hash, to the shard of their key, where sorting finds the runs. Where rows of one
+    pack share a key they are listed at once, and one of them goes to the shard for all, so a
+    key that a third of all rows have is no larger there than the number of packs.
+    """
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    kind = np.dtype([("key", "<u8" if wide else "<u4"), ("h", "<i8"), ("known", "u1")])
+
+    def pack(b: pa.RecordBatch) -> pa.RecordBatch:
+        h = np.asarray(b.column("h"))
+        out: dict[str, list] = {"t": [], "shard": [], "packed": []}
+
+        def add(t: int, shard: int, part: np.ndarray) -> None:
+            for c, x in (("t", t), ("shard", shard), ("packed", part.tobytes())):
+                out[c].append(x)
+
+        for t, mine, key in columns(b):
+            order = np.argsort(key, kind="stable")
+            row = np.zeros(len(key), kind)
+            row["key"], row["h"] = key[order], h[mine[order]]
+            new = np.append(True, row["key"][1:] != row["key"][:-1])
+            row["known"] = twin = ~(new & np.append(new[1:], True))
+            if twin.any():
+                add(t, -1 - int(row["h"][0]) % shards, row[twin])
+            row = row[new]
+            shard = (mix64(row["key"].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            row = row[order]
+            edges = np.searchsorted(shard[order], np.arange(shards + 1))
+            for j in np.flatnonzero(np.diff(edges)).tolist():
+                add(t, j, row[edges[j] : edges[j + 1]])
+        return pa.RecordBatch.from_arrays([pa.array(out["t"], pa.int32()), pa.array(out["shard"], pa.int32()), pa.array(out["packed"], pa.binary())], names=["t", "shard", "packed"])
+
+    def send(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= PACK_ROWS:
+                yield pack(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held, n = [], 0
+        if n:
+            yield pack(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    def search(table: pa.Table) -> pa.Table:
+        row = np.frombuffer(b"".join(table.column("packed").to_pylist()), kind)
+        t = table.column("t")[0].as_py()
+        if table.column("shard")[0].as_py() >= 0:
+            row = row[np.argsort(row["key"], kind="stable")]
+            same = row["key"][1:] == row["key"][:-1]
+            row = row[(np.append(False, same) | np.append(same, False)) & (row["known"] == 0)]
+        bucket = row["key"].astype(np.int64) + (0 if wide else t << 34)
+        return pa.table({"h": pa.array(row["h"].copy()), "bucket": pa.array(bucket)})
+
+    packed = rows.select("h", *names).mapInArrow(send, "t int, shard int, packed binary")
+    return stash(packed.groupBy("t", "shard").applyInArrow(search, "h long, bucket long"), what)
+
+
+#: Members of a bucket that a task compares with those of one other block of it.
+BLOCK = 4096
+
+
+def bucket_links(at: DataFrame, fits, verify, close, what: str, detail: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """(node, component) of what similar pairs of a bucket connect; nodes without a link are not listed.
 
     ``at`` has (bucket, node, size, and whatever ``fits`` compares); ``fits(a, b)`` is a cheap
-    condition on the fields of two structs; ``verify(pairs)`` keeps the truly similar pairs.
-    Each bucket compares its members with its smallest; members that stay in other components are
-    compared with its largest; pairs then still apart and fitting are compared directly, or those
-    of them that ``rest(apart)`` finds in (bucket, item, comp). So a large
-    group of copies costs one comparison a member, and no link is lost to a cap.
+    condition on the fields of two structs; ``verify(pairs)`` keeps the truly similar pairs (u, v).
+
+    1. Every node meets the smallest of its buckets' smallest members: one pair a node, so a group of
+       copies that shares many buckets costs one comparison a member.
+    2. Members of buckets that still hold several components meet their bucket's smallest member.
+    3. Of what is then still apart, every pair of a bucket that ``close`` doesn't rule out is compared.
+
+    Nothing is capped: the third turn is exact, and a task of it holds two blocks of a bucket at most.
     """
-    item = F.struct("size", "node", *[c for c in at.columns if c not in ("bucket", "node", "size")])
-    buckets = at.groupBy("bucket").agg(F.min(item).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    extra = [c for c in at.columns if c not in ("bucket", "node", "size")]
+    item = F.struct("size", "node", *extra)
+    buckets = at.groupBy("bucket").agg(F.min(item).alias("hub"), F.max("node").alias("last"), F.min("node").alias("first")).where("first != last")
     members = stash(at.join(buckets.select("bucket", "hub"), "bucket").select("bucket", item.alias("item"), "hub"), what + "-members")
-    one, other = F.col("item"), F.col("hub")
-    first = members.where((one["node"] != other["node"]) & fits(one, other)).select(one["node"].alias("u"), other["node"].alias("v"))
-    tested = stash(first.distinct(), what + "-pairs")
+    one, hub = F.col("item"), F.col("hub")
+    ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    met = members.where((one["node"] != hub["node"]) & fits(one, hub)).groupBy(one["node"].alias("u")).agg(F.min(F.struct(hub["size"], hub["node"]))["node"].alias("v"))
+    tested = stash(ordered(met).distinct(), what + "-pairs")
     label = components(verify(tested), what + "-classes")
-    for turn in range(hub_rounds):
-        named = members.join(label, one["node"] == label["node"], "left").select("bucket", "item", F.coalesce("component", one["node"]).alias("comp"))
-        split = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("item", "comp")).alias("hub")).where("low != high")
-        apart = named.join(split.select("bucket", "hub"), "bucket")
-        if turn + 1 == hub_rounds and rest is not None:
-            pairs = rest(apart.select("bucket", "item", "comp"))
-        elif turn + 1 < hub_rounds:
-            pairs = apart.where((F.col("comp") != F.col("hub.comp")) & fits(F.col("item"), F.col("hub.item"))).select(F.col("item.node").alias("u"), F.col("hub.item.node").alias("v"))
-        else:
-            left, right = (apart.select("bucket", F.col("item").alias(f"item{k}"), F.col("comp").alias(f"comp{k}")) for k in (1, 2))
-            near = (F.col("item1.node") < F.col("item2.node")) & (F.col("comp1") != F.col("comp2")) & fits(F.col("item1"), F.col("item2"))
-            pairs = left.join(right, "bucket").where(near).select(F.col("item1.node").alias("u"), F.col("item2.node").alias("v"))
-        ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        fresh = stash(ordered(pairs).distinct().join(ordered(tested), ["u", "v"], "left_anti"), what + "-pairs")
-        if not fresh.limit(1).count():
-            continue  # nothing fits these hubs; the next round still looks at what stays apart
-        label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(verify(fresh)), what + "-classes")
-        tested = tested.unionByName(fresh)
+
+    def merge(label: DataFrame, pairs: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+        fresh = stash(ordered(pairs).distinct().join(tested, ["u", "v"], "left_anti"), what + "-pairs")
+        links = stash(verify(fresh), what + "-links")
+        if not links.limit(1).count():
+            return label, tested.unionByName(fresh)
+        merged = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), what + "-classes")
+        drop_stash(links)
+        return merged, tested.unionByName(fresh)
+
+    def apart(rows: DataFrame, label: DataFrame) -> DataFrame:
+        """The members of buckets with several components, each with its own and the smallest member's."""
+        named = rows.select("bucket", "item").join(label, one["node"] == label["node"], "left").select("bucket", "item", F.coalesce("component", one["node"]).alias("comp"))
+        split = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("item", "comp")).alias("hub")).where("low != high")
+        return stash(named.join(split.select("bucket", "hub"), "bucket"), what + "-apart")
+
+    second = apart(members, label)
+    drop_stash(members)
+    pairs = second.where((F.col("comp") != F.col("hub.comp")) & fits(one, F.col("hub.item"))).select(one["node"].alias("u"), F.col("hub.item.node").alias("v"))
+    label, tested = merge(label, pairs, tested)
+    third = apart(second, label)
+    drop_stash(second)
+    label, _ = merge(label, block_pairs(third.select("bucket", "item.*", "comp"), close, detail, block), tested)
+    drop_stash(third)
     return label
+
+
+def block_pairs(members: DataFrame, close, detail: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """Pairs (u, v) of a bucket's members in different components that ``close`` does not rule out.
+
+    ``members`` has (bucket, node, size, comp, ...), ``detail`` more columns for each node.
+    ``close(table, i, j)`` gets a task's columns as arrays and says which rows ``j`` row ``i`` may be
+    similar to. Large buckets are cut into blocks by hash and a task compares two blocks.
+    """
+    counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    mine = members.join(counts, "bucket").withColumn("p", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
+    spread = mine.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.withColumns({"low": F.least("p", "o"), "high": F.greatest("p", "o")}).drop("o", "parts")
+    full = spread if detail is None else spread.join(detail, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_pylist()
+        data = {}
+        for name in table.column_names:
+            column = table.column(name).combine_chunks()
+            if name in ("node", "comp"):
+                continue
+            if pa.types.is_list(column.type):
+                data[name] = np.asarray(column.flatten()).reshape(len(node), -1)
+            else:
+                data[name] = np.asarray(column)
+        comp = np.unique(table.column("comp").to_pylist(), return_inverse=True)[1]
+        p, low, high = data["p"], data["low"][0], data["high"][0]
+        left, right = np.flatnonzero(p == low), np.flatnonzero(p == high)
+        u, v = [], []
+        for i in left.tolist():
+            j = right[right > i] if low == high else right
+            j = j[comp[j] != comp[i]]
+            if len(j):
+                j = j[close(data, i, j)]
+            u += [node[i]] * len(j)
+            v += [node[k] for k in j.tolist()]
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    return full.groupBy("bucket", "low", "high").applyInArrow(compare, "u binary, v binary")

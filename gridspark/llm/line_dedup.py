@@ -1,15 +1,23 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line per group.
 
-A line is normalised to its lower-cased words. Equal normalised lines are one node. Nodes whose
-64-bit SimHashes (over the line's ``GRAM``-byte grams) differ in at most ``DISTANCE`` bits agree on
-at least two of five blocks, so every pair of blocks is a join key. At edit similarity 0.9 most
-SimHashes are further apart than pigeonhole blocks can reach, so ``SKETCHES`` min-hash keys over the
-same grams are join keys too. Pairs that share a key and are within ``REACH`` bits are kept when the
-edit similarity of their lines reaches ``SIMILARITY``. Of each connected group only the first
-occurrence stays, by (doc_id, text hash, line number).
+A line is normalised to its lower-cased words, one space between them. Equal normalised lines are
+one node, by 128 bits of hash. Two nodes are similar when 1 - edit distance / longer length of the
+normalised lines is at least ``SIMILARITY``, in code points. Candidates share a key:
+
+* 64-bit SimHashes (over the line's ``GRAM``-byte grams) that differ in at most ``DISTANCE`` bits agree
+  on at least two of five blocks, so every pair of blocks is a key.
+* At an edit similarity of 0.9 most SimHashes are further apart than pigeonhole blocks reach, so
+  ``SKETCHES`` min-hash keys over the same grams are keys too.
+* Lines of at most ``SHORT`` characters also have ``SHORT_SKETCHES`` keys over shorter grams, and those
+  where one edit is all that the similarity allows have their halves from either end: one edit leaves
+  one half untouched, so no such pair is missed.
+
+Candidates within ``REACH`` bits of SimHash (short lines: any) are verified. Of each connected group
+only the first occurrence stays, by (doc_id, text hash, line number).
 
 Defined results: lines without words always stay; a null text stays null; rows equal in doc_id and
-text count as one document and keep the same lines; columns other than ``text`` are untouched.
+text count as one document and keep the same lines; a null doc_id is a document like any other;
+columns other than ``text`` are untouched.
 """
 
 from __future__ import annotations
@@ -18,22 +26,25 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridspark.llm.common import RangeHash, bucket_links, mix64, powers, stash, text_blocks, utf8
-from gridspark.llm.near_dedup import _NORMAL, edit_distance, word_hashes
+from gridspark.llm.common import SECOND_BASE, RangeHash, bucket_links, mix64, release, shared_keys, stash, text_blocks, utf8
+from gridspark.llm.decontamination import words
+from gridspark.llm.near_dedup import _NORMAL, edit_distance
 
 DISTANCE = 3
 SIMILARITY = 0.9
 #: Bytes of a gram; min-hash keys of a line, each of the least gram in every one of ``BINS`` bins.
-GRAM, SKETCHES, BINS = 6, 10, 4
+GRAM, SKETCHES, BINS = 6, 12, 4
+#: Lines of at most so many characters have further keys of shorter grams in fewer bins.
+SHORT, SHORT_GRAM, SHORT_SKETCHES, SHORT_BINS = 54, 4, 8, 3
 #: SimHash bits that candidates may differ in: lines of edit similarity 0.9 differ in 13 on average at worst.
 REACH = 20
-#: Lines of fewer grams are compared for equality only: under 10 characters no edit is allowed, so the shorter of two has 9.
-LEAST_GRAMS = 9 - GRAM + 1
-#: Candidate lines up to this number are broadcast to fetch their texts; more are joined by shuffle.
-BROADCAST_LINES = 200_000
+#: Lines of more characters are verified by the bit-parallel distance, whose cost grows slower with the band.
+LONG = 4096
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
@@ -42,60 +53,91 @@ def lines_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     breaks = np.flatnonzero(raw == 10) + 1
     starts = np.sort(np.concatenate([offsets[:-1], breaks]), kind="stable")
     # a break at a text's very end starts an empty line there, before the next text's first line
-    first = np.arange(len(offsets) - 1) + np.searchsorted(np.sort(breaks), offsets[:-1], side="right")
+    first = np.arange(len(offsets) - 1) + np.searchsorted(breaks, offsets[:-1], side="right")
     return np.append(starts, len(raw)), np.append(first, len(starts))
 
 
-def line_keys(raw: np.ndarray, line_offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(n words, hash, second hash, simhash) of every line."""
-    w, at = word_hashes(raw, line_offsets)
-    n = np.diff(at)
-    with np.errstate(over="ignore"):
-        place = np.arange(len(w)) - np.repeat(at[:-1], n)
-        p = powers(int(n.max()) + 1 if len(n) else 1)
-        pad = np.append(w, np.uint64(0))
-        h1 = np.add.reduceat(pad * np.append(p[place], np.uint64(0)), np.minimum(at[:-1], len(w))) if len(n) else np.zeros(0, np.uint64)
-        h2 = np.add.reduceat(np.append(mix64(w + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0)), np.minimum(at[:-1], len(w))) if len(n) else np.zeros(0, np.uint64)
-        h1, h2 = mix64(h1 + n.astype(np.uint64)), mix64(h2 ^ n.astype(np.uint64))
-    return n, h1, h2, _simhash(*line_grams(raw, line_offsets))
-
-
-def line_grams(raw: np.ndarray, line_offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all grams of every line, without its line break, and where each line's begin (n + 1 numbers)."""
-    start, end = line_offsets[:-1], line_offsets[1:].copy()
+def normalised(line: str) -> str:
+    return b" ".join(words(line.encode("utf-8", "surrogatepass"))).decode("utf-8", "surrogatepass")
+
+
+def normal_lines(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The normalised bytes of all lines in a row, and where each line's begin and end in them."""
+    z = _NORMAL[raw]
+    word = z != 32
+    keep = word.copy()
+    keep[1:] |= word[:-1]  # the first separator after a word
+    inside = at[:-1][at[:-1] < len(raw)]
+    keep[inside] = word[inside]
+    count = np.concatenate([[0], np.cumsum(keep)])
+    z = z[keep]
+    start, end = count[at[:-1]], count[at[1:]].copy()
     full = end > start
-    end[full] -= raw[end[full] - 1] == 10
-    n = np.maximum(0, end - start - GRAM + 1)
-    at = np.concatenate([[0], np.cumsum(n)])
-    return RangeHash(_NORMAL[raw]).windows(GRAM)[np.arange(at[-1]) + np.repeat(start - at[:-1], n)], at
+    end[full] -= z[end[full] - 1] == 32
+    return z, start, end
 
 
-_ODD = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
+def gram_hashes(z: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all ``size``-byte grams (8 at most) of a byte array."""
+    n = max(0, len(z) - size + 1)
+    padded = np.concatenate([z, np.zeros(8, np.uint8)])
+    h = np.ndarray((n,), "<u8", padded, strides=(1,)) & np.uint64((1 << (8 * size)) - 1)
+    h = h * np.uint64(0x9E3779B97F4A7C15)  # integer arrays wrap around
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
 
 
-def min_keys(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The min-hash keys of every line (lines x ``SKETCHES``, 32 bits each)."""
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    mixed = np.zeros((SKETCHES, len(at) - 1), np.uint64)
-    dealt = (grams >> np.uint64(20)) % np.uint64(BINS)
-    with np.errstate(over="ignore"):
-        for c in range(BINS):
-            mine = np.flatnonzero(dealt == c)
-            own, values = owner[mine], grams[mine]
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            for k in range(SKETCHES if len(mine) else 0):
-                mixed[k, own[first]] += mix64(np.minimum.reduceat(values * _ODD[k], first) + np.uint64(c))
+def line_grams(z: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams of every line, and where each line's begin (n + 1 numbers)."""
+    n = np.maximum(0, end - start - size + 1)
+    at = np.concatenate([[0], np.cumsum(n)])
+    return gram_hashes(z, size)[np.arange(at[-1]) + np.repeat(start - at[:-1], n)], at
+
+
+def min_keys(grams: np.ndarray, at: np.ndarray, sketches: int = SKETCHES, bins: int = BINS) -> np.ndarray:
+    """The min-hash keys of every line (lines x ``sketches``, 32 bits each)."""
+    owner = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+    mixed = np.zeros((sketches, len(at) - 1), np.uint64)
+    dealt = (grams >> np.uint64(20)) % np.uint64(bins)
+    odd = mix64(np.arange(1, sketches + 1, dtype=np.uint64) + np.uint64(1000 * bins)) | np.uint64(1)
+    for c in range(bins):
+        mine = np.flatnonzero(dealt == np.uint64(c))
+        own, values = owner[mine], grams[mine]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        for k in range(sketches if len(mine) else 0):
+            mixed[k, own[first]] += mix64(np.minimum.reduceat(values * odd[k], first) + np.uint64(c))
     return (mix64(mixed) >> np.uint64(32)).astype(np.uint32).T
 
 
+def half_keys(z: np.ndarray, start: np.ndarray, end: np.ndarray, hashed: RangeHash) -> np.ndarray:
+    """Keys (lines x 4) that lines share with any other one edit away: the halves from either end.
+
+    Of two strings one edit apart, the shorter of m characters, the common start or the common end
+    has m // 2 characters at least; a line can be either, so its m is its length or one less.
+    """
+    lead = np.flatnonzero((z & 0xC0) != 0x80)
+    first, last = np.searchsorted(lead, start), np.searchsorted(lead, end)
+    place = np.append(lead, len(z))
+    out = np.zeros((len(start), 4), np.uint32)
+    for k, shorter in enumerate((0, 1)):
+        m = np.maximum(last - first - shorter, 0)
+        for side, (a, b) in enumerate(((start, place[first + m // 2]), (place[last - m // 2], end))):
+            with np.errstate(over="ignore"):
+                # of a line's last half the end is its last character's, not the separator's
+                out[:, 2 * side + k] = mix64(hashed(a, np.maximum(a, b)) + m.astype(np.uint64)) >> np.uint64(32)
+    return out
+
+
 _LANES = np.uint64(0x0001000100010001)
 
 
-def _simhash(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+def simhash(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Majority bits over the grams of every line.
 
     A 64-bit sum holds four 16-bit counters, so sixteen shifted sums count all bits; lines of more
-    words than a counter holds are counted bit by bit.
+    grams than a counter holds are counted bit by bit.
     """
     n = np.diff(at)
     sim = np.zeros(len(n), np.uint64)
@@ -115,30 +157,62 @@ def _simhash(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sim
 
 
+#: Characters of lines whose similarity allows one edit, and no more, with a line one shorter.
+_ONE_EDIT = (9, 19)
+#: The table that a line's key at each place belongs to, after those of pigeonhole blocks.
+_PLACES = [*range(SKETCHES + SHORT_SKETCHES), *[SKETCHES + SHORT_SKETCHES] * 2, *[SKETCHES + SHORT_SKETCHES + 1] * 2]
+
+
+def line_keys(raw: np.ndarray, at: np.ndarray) -> dict:
+    """Of all lines with words: index, 128-bit node, characters, SimHash, and keys with their offsets."""
+    z, start, end = normal_lines(raw, at)
+    index = np.flatnonzero(end > start)
+    start, end = start[index], end[index]
+    chars = np.concatenate([[0], np.cumsum((z & 0xC0) != 0x80)])
+    n = chars[end] - chars[start]
+    hashed = RangeHash(z)
+    node = np.stack([hashed(start, end), RangeHash(z, SECOND_BASE)(start, end)], 1) if len(index) else np.zeros((0, 2), np.uint64)
+    grams = line_grams(z, start, end, GRAM)
+    short = np.flatnonzero((n >= _ONE_EDIT[0]) & (n <= SHORT))
+    tiny = np.flatnonzero((n >= _ONE_EDIT[0]) & (n <= _ONE_EDIT[1]))
+    width = np.where(n >= _ONE_EDIT[0], SKETCHES, 0)
+    width[short] += SHORT_SKETCHES
+    width[tiny] += 4
+    offsets = np.concatenate([[0], np.cumsum(width)])
+    keys = np.zeros(offsets[-1], np.uint32)
+    put = lambda lines, first, values: keys.__setitem__(offsets[lines][:, None] + first + np.arange(values.shape[1]), values)
+    fuzzy = np.flatnonzero(n >= _ONE_EDIT[0])
+    put(fuzzy, 0, min_keys(*grams)[fuzzy])
+    put(short, SKETCHES, min_keys(*line_grams(z, start[short], end[short], SHORT_GRAM), SHORT_SKETCHES, SHORT_BINS))
+    put(tiny, SKETCHES + SHORT_SKETCHES, half_keys(z, start[tiny], end[tiny], hashed))
+    return {"index": index, "node": node, "n": n, "sim": simhash(*grams), "keys": keys, "offsets": offsets}
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line, n_chars, h1, h2, sim, keys) of every line with words; null keys where it is compared for equality only."""
+    """(doc_id, row, line, n_chars, node, h, sim, keys) of every line with words; no keys where it is compared for equality only."""
 
     def run(batches):
         for b in text_blocks(batches, "text"):
             raw, offsets = utf8(b.column("text"))
             at, first = lines_of(raw, offsets)
-            n, h1, h2, sim = line_keys(raw, at)
-            count = np.diff(first)
-            keep = np.flatnonzero(n > 0)
-            owner = np.repeat(np.arange(b.num_rows), count)[keep]
-            number = (np.arange(len(n)) - np.repeat(first[:-1], count))[keep]
-            take = pa.array(owner)
-            grams = line_grams(raw, at)
-            chars = np.concatenate([[0], np.cumsum(((raw & 0xC0) != 0x80) & (raw != 10))])
-            fuzzy = np.diff(grams[1])[keep] >= LEAST_GRAMS
-            ends = np.concatenate([[0], np.cumsum(fuzzy)]).astype(np.int32) * SKETCHES
-            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(min_keys(*grams)[keep[fuzzy]]).view(np.int32).ravel()), mask=pa.array(~fuzzy))
+            k = line_keys(raw, at)
+            owner = np.searchsorted(first, k["index"], side="right") - 1
+            take, count = pa.array(owner), len(owner)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(take), b.column("row").take(take), pa.array(number.astype(np.int32)), pa.array(np.diff(chars[at])[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (h1, h2, sim)), keys],
-                names=["doc_id", "row", "line", "n_chars", "h1", "h2", "sim", "keys"],
+                [
+                    b.column("doc_id").take(take),
+                    b.column("row").take(take),
+                    pa.array((k["index"] - first[owner]).astype(np.int32)),
+                    pa.array(k["n"].astype(np.int32)),
+                    pa.BinaryArray.from_buffers(pa.binary(), count, [None, pa.py_buffer((np.arange(count + 1) * 16).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(k["node"]))]),
+                    pa.array(k["node"][:, 0].view(np.int64).copy()),
+                    pa.array(k["sim"].view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(k["offsets"].astype(np.int32)), pa.array(k["keys"].view(np.int32))),
+                ],
+                names=["doc_id", "row", "line", "n_chars", "node", "h", "sim", "keys"],
             )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, row long, line int, n_chars int, h1 long, h2 long, sim long, keys array<int>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, row long, line int, n_chars int, node binary, h long, sim long, keys array<int>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -149,159 +223,104 @@ def _tables(distance: int) -> list:
     return list(combinations(_BLOCKS, len(_BLOCKS) - distance))
 
 
-#: Lines of which the keys of one table are searched together, about.
-SHARD_LINES = 100_000
+def block_keys(distance: int = DISTANCE):
+    """The columns of pigeonhole blocks for ``shared_keys``."""
 
+    def columns(b: pa.RecordBatch):
+        sim = np.asarray(b.column("sim")).view(np.uint64)
+        for t, chosen in enumerate(_tables(distance)):
+            key = np.zeros(len(sim), np.uint64)
+            for low, wide in chosen:
+                key = (key << np.uint64(wide)) | ((sim >> np.uint64(low)) & np.uint64((1 << wide) - 1))
+            yield t, np.arange(len(sim)), key
 
-def with_neighbours(fuzzy: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
-    """(h1, bucket) of the lines (h1, sim) that have another line within ``distance`` bits; few more, none less.
+    return columns
 
-    Where ``fuzzy`` has ``keys`` and ``n_chars`` too, also of those that share one with a line within
-    ``REACH`` bits; lines whose lengths rule the similarity out are no neighbours then. The bucket is the
-    table and key that both lines of such a pair have.
-    For every table of blocks or keys, lines travel as packed (sim, h1) of 16 bytes, with their length and
-    their key if the SimHash doesn't hold it, to the shard of their key. In a shard they are sorted by key; runs of equal keys are compared at growing lags, and a run
-    too long for that counts as a whole.
-    """
-    tables = _tables(distance)
-    shards = max(1, -(-fuzzy.count() // SHARD_LINES))
-
-    def keys_of(sim: np.ndarray, chosen) -> np.ndarray:
-        key = np.zeros(len(sim), np.uint64)
-        for low, wide in chosen:
-            key = (key << np.uint64(wide)) | ((sim >> np.uint64(low)) & np.uint64((1 << wide) - 1))
-        return key
-
-    sketched = "keys" in fuzzy.columns
-
-    #: lengths as logarithms in two bytes, and how far apart those of similar lines can be
-    def log_length(n: np.ndarray) -> np.ndarray:
-        return np.minimum(np.log2(np.maximum(n, 1)) * 2000, 65535).astype(np.uint16)
-
-    apart = int(np.log2(1 / similarity) * 2000) + 2 if sketched else 1 << 16
-
-    def packs(h1: list, sim: list, keys: list, long: list):
-        both = np.stack([np.concatenate(sim), np.concatenate(h1)], 1)
-        given = np.concatenate(keys) if sketched else np.zeros((len(both), 0), np.uint32)
-        length = np.concatenate(long)
-        t, s, out, own, size = [], [], [], [], []
-        for k in range(len(tables) + given.shape[1]):
-            blocks = k < len(tables)
-            key = keys_of(both[:, 0], tables[k]) if blocks else given[:, k - len(tables)]
-            shard = (mix64(key.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            for j in np.flatnonzero(np.diff(edges)).tolist():
-                mine = order[edges[j] : edges[j + 1]]
-                t.append(k)
-                s.append(j)
-                out.append(both[mine].tobytes())
-                own.append(b"" if blocks else key[mine].tobytes())
-                size.append(length[mine].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(s, pa.int32()), pa.array(out, pa.binary()), pa.array(own, pa.binary()), pa.array(size, pa.binary())], names=["t", "shard", "packed", "keys", "lengths"])
-
-    def send(batches):
-        h1, sim, keys, long, n = [], [], [], [], 0
+
+def own_keys(b: pa.RecordBatch):
+    """The columns of the lines' own keys for ``shared_keys``."""
+    lists = b.column("keys")
+    begin, size = np.asarray(lists.offsets)[:-1], np.diff(np.asarray(lists.offsets))
+    flat = np.asarray(lists.values).view(np.uint32)
+    for place, t in enumerate(_PLACES):
+        mine = np.flatnonzero(size > place)
+        if len(mine):
+            yield 100 + t, mine, flat[begin[mine] + place]
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of ``nodes`` (node, first): the normalised line, from the document that has it first."""
+    places = nodes.groupBy(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__row")).agg(F.collect_list(F.struct("node", "first.line")).alias("wanted"))
+    found = _keyed(docs).join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))).select("text", "wanted")
+
+    def pick(batches):
+        for b in text_blocks(batches, "text"):
+            raw, offsets = utf8(b.column("text"))
+            at, first = lines_of(raw, offsets)
+            z, start, end = normal_lines(raw, at)
+            wanted = b.column("wanted")
+            count = np.diff(np.asarray(wanted.offsets))
+            items = wanted.flatten()
+            line = np.asarray(items.field("line")) + np.repeat(first[:-1], count)
+            size = end[line] - start[line]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            data = z[np.arange(ends[-1]) + np.repeat(start[line] - ends[:-1], size)]
+            text = pa.LargeStringArray.from_buffers(len(line), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+            yield pa.RecordBatch.from_arrays([items.field("node"), text.cast(pa.string())], names=["node", "text"])
+
+    # repeated rows give a node several times
+    return found.mapInArrow(pick, "node binary, text string").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (u, v) whose normalised lines (node, text) are similar."""
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    both = both.withColumn("longer", F.greatest(F.char_length("a"), F.char_length("b")))
+    most = f"cast(floor((1 - {similarity}D) * longer + 1e-9D) as int)"
+    near = both.where("longer <= " + str(LONG)).where(F.expr(f"levenshtein(a, b, {most}) >= 0")).select("u", "v")
+
+    def compare(batches):
         for b in batches:
-            h1.append(np.asarray(b.column("h1")).view(np.uint64))
-            sim.append(np.asarray(b.column("sim")).view(np.uint64))
-            if sketched:
-                keys.append(np.asarray(b.column("keys").flatten()).view(np.uint32).reshape(-1, SKETCHES))
-            long.append(log_length(np.asarray(b.column("n_chars"))) if sketched else np.zeros(b.num_rows, np.uint16))
-            n += b.num_rows
-            if n >= 50_000:
-                yield packs(h1, sim, keys, long)
-                h1, sim, keys, long, n = [], [], [], [], 0
-        if n:
-            yield packs(h1, sim, keys, long)
-
-    def search(table: pa.Table) -> pa.Table:
-        both = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint64).reshape(-1, 2)
-        t = table.column("t")[0].as_py()
-        key = keys_of(both[:, 0], tables[t]) if t < len(tables) else np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
-        reach = REACH if sketched else distance
-        order = np.argsort(key, kind="stable")
-        key, sim = key[order], both[order, 0]
-        length = np.frombuffer(b"".join(table.column("lengths").to_pylist()), np.uint16)[order].astype(np.int32)
-        hit = np.zeros(len(key), bool)
-        live, lag = np.arange(len(key)), 1
-        while lag <= 64:
-            live = live[live + lag < len(key)]
-            live = live[key[live] == key[live + lag]]
-            if not len(live):
-                break
-            close = np.bitwise_count(sim[live] ^ sim[live + lag]) <= reach
-            close &= np.abs(length[live] - length[live + lag]) <= apart
-            hit[live[close]] = True
-            hit[live[close] + lag] = True
-            lag += 1
-        else:
-            # runs longer than the lags: all of each
-            hit |= np.isin(key, key[live])
-        bucket = key[hit].astype(np.int64) + (t << 34)
-        return pa.table({"h1": pa.array(both[order[hit], 1].view(np.int64)), "bucket": pa.array(bucket)})
-
-    packed = fuzzy.select("h1", "sim", *(["keys", "n_chars"] if sketched else [])).mapInArrow(send, "t int, shard int, packed binary, keys binary, lengths binary")
-    return packed.groupBy("t", "shard").applyInArrow(search, "h1 long, bucket long")
+            keep = []
+            for x, y, n in zip(*(b.column(c).to_pylist() for c in ("a", "b", "longer")), strict=True):
+                most = int((1 - similarity) * n + 1e-9)
+                keep.append(edit_distance(x, y, most) <= most)
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    far = both.where("longer > " + str(LONG)).select("u", "v", "a", "b", "longer").mapInArrow(compare, "u binary, v binary")
+    return near.unionByName(far)
 
 
 def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, row, lines): the line numbers that stay, of all lines with words."""
-    nodes = stash(
-        _lines(docs)
-        .groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "row", "line", "n_chars", "sim", "keys")).alias("l"))
-        .select("h1", "h2", F.struct("l.doc_id", "l.row", "l.line").alias("first"), "l.n_chars", "l.sim", "l.keys"),
-        "lines",
-    )
-    node = F.struct("h1", "h2").alias("node")
-    near = stash(with_neighbours(nodes.where("keys IS NOT NULL"), distance, similarity), "line-candidates")
-    at = near.join(nodes, "h1").select("bucket", node, F.col("n_chars").alias("size"), "sim")
+    spark = docs.sparkSession
+    place = F.struct("doc_id", "row", "line")
+    nodes = stash(_lines(docs).groupBy("node").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n_chars", "h", "sim", "keys")]), "lines")
+    fuzzy = nodes.where(F.size("keys") > 0)
+    near = [shared_keys(fuzzy, keys, [c], False, "line-candidates") for keys, c in ((block_keys(distance), "sim"), (own_keys, "keys"))]
+    release(spark)
+    near = near[0].unionByName(near[1])
+    at = near.join(nodes.select("h", "node", "n_chars", "sim"), "h").select("bucket", "node", F.col("n_chars").alias("size"), "sim")
+    texts = stash(_texts(docs, nodes.join(near.select("h").distinct(), "h", "left_semi").select("node", "first")), "line-texts")
+    release(spark)
 
     def fits(a, b):
         longer = F.greatest(a["size"], b["size"])
-        return (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= REACH) & (F.least(a["size"], b["size"]) >= similarity * longer - 1)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select("u").union(pairs.select(F.col("v").alias("u"))).distinct()
-        where = stash(nodes.join(wanted, (F.col("h1") == F.col("u.h1")) & (F.col("h2") == F.col("u.h2")), "left_semi").select(node, F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"), F.col("first.line").alias("line")), "line-places")
-        places = where.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("node", "line")).alias("wanted"))
-        if where.count() <= BROADCAST_LINES:
-            places = F.broadcast(places)
-        found = _keyed(docs).join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))).select("text", "wanted")
-
-        def pick(batches):
-            for b in text_blocks(batches, "text"):
-                h1, h2, lines = [], [], []
-                for text, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
-                    parts = text.split("\n")
-                    for w in wanted:
-                        h1.append(w["node"]["h1"])
-                        h2.append(w["node"]["h2"])
-                        lines.append(parts[w["line"]].lower())
-                yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(lines, pa.string())], names=["h1", "h2", "line"])
-
-        # repeated rows give a node several times
-        texts = stash(found.mapInArrow(pick, "h1 long, h2 long, line string").select(node, "line").dropDuplicates(["node"]), "line-texts")
-        both = pairs.join(texts.select(F.col("node").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("line").alias("b")), "v")
-
-        def compare(batches):
-            for b in batches:
-                keep = []
-                for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
-                    most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
-                    keep.append(edit_distance(x, y, most) <= most)
-                yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-        pair = "struct<h1: bigint, h2: bigint>"
-        return both.select("u", "v", "a", "b").mapInArrow(compare, f"u {pair}, v {pair}")
-
-    label = bucket_links(at, fits, verify, "lines")
+        return ((longer <= SHORT) | (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= REACH)) & (F.least(a["size"], b["size"]) >= similarity * longer - 1e-9)
+
+    def close(data, i, j):
+        size, sim = data["size"], data["sim"].view(np.uint64)
+        longer = np.maximum(size[j], size[i])
+        return ((longer <= SHORT) | (np.bitwise_count(sim[j] ^ sim[i]) <= REACH)) & (np.minimum(size[j], size[i]) >= similarity * longer - 1e-9)
+
+    label = bucket_links(at, fits, lambda pairs: verified(pairs, texts, similarity), close, "lines")
     # of a group the node with the first occurrence stays
-    named = label.join(nodes.select(node, "first"), "node")
+    named = label.join(nodes.select("node", "first"), "node")
     best = named.groupBy("component").agg(F.min("first").alias("best"))
-    gone = named.join(best, "component").where("first != best").select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"))
-    return nodes.join(gone, ["h1", "h2"], "left_anti").groupBy("first.doc_id", "first.row").agg(F.collect_list("first.line").alias("lines"))
+    gone = stash(named.join(best, "component").where("first != best").select("node"), "lines-gone")
+    kept = stash(nodes.select("node", "first").join(gone, "node", "left_anti").groupBy("first.doc_id", "first.row").agg(F.collect_list("first.line").alias("lines")), "lines-kept")
+    release(spark, nodes, texts, gone, label)
+    return kept
 
 
 def _cut(docs: DataFrame, kept: DataFrame, drop_emptied: bool) -> DataFrame:
@@ -312,29 +331,28 @@ def _cut(docs: DataFrame, kept: DataFrame, drop_emptied: bool) -> DataFrame:
 
     def run(batches):
         for b in text_blocks(batches, "text"):
-            raw, offsets = utf8(b.column("text"))
+            text = b.column("text")
+            raw, offsets = utf8(text)
             at, first = lines_of(raw, offsets)
             letters = np.concatenate([[0], np.cumsum(_NORMAL[raw] != 32)])
             busy = np.diff(letters[at]) > 0
-            texts, n_lines, n_kept = b.column("text").to_pylist(), [], []
-            for k, stay in enumerate(b.column("__lines").to_pylist()):
-                worded = busy[first[k] : first[k + 1]]
-                keep = ~worded
-                keep[stay or []] = True
-                n_lines.append(int(worded.sum()))
-                n_kept.append(int((worded & keep).sum()))
-                if not keep.all() and texts[k] is not None:
-                    parts = texts[k].split("\n")
-                    texts[k] = "\n".join(p for p, s in zip(parts, keep, strict=True) if s)
-            out = pa.RecordBatch.from_arrays(
-                [*(pa.array(texts, b.schema.field(c).type) if c == "text" else b.column(c) for c in names), pa.array(n_lines, pa.int64()), pa.array(n_kept, pa.int64())],
-                names=[*names, "__n_lines", "__n_kept"],
-            )
-            if drop_emptied:
-                out = out.filter(pa.array([k > 0 or n == 0 for n, k in zip(n_lines, n_kept, strict=True)], pa.bool_()))
-            yield out
-
-    from pyspark.sql import types as T
+            n = len(busy)
+            keep = ~busy
+            lists = b.column("__lines")
+            count = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            keep[np.asarray(lists.flatten()) + np.repeat(first[:-1], count)] = True
+            total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[first])
+            n_lines, n_kept = total(busy), total(busy & keep)
+            stay = np.repeat(keep, np.diff(at))
+            # the last line that stays of a text whose very last line goes loses its line break
+            last = np.maximum.accumulate(np.where(keep, np.arange(n), -1))[first[1:] - 1]
+            cut = (last >= first[:-1]) & (last < first[1:] - 1)
+            stay[at[last[cut] + 1] - 1] = False
+            ends = np.concatenate([[0], np.cumsum(stay)])[offsets].astype(np.int64)
+            valid = np.packbits(np.asarray(text.is_valid()), bitorder="little")
+            texts = pa.LargeStringArray.from_buffers(b.num_rows, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw[stay])), pa.py_buffer(valid)).cast(text.type)
+            out = pa.RecordBatch.from_arrays([*(texts if c == "text" else b.column(c) for c in names), pa.array(n_lines, pa.int64()), pa.array(n_kept, pa.int64())], names=[*names, "__n_lines", "__n_kept"])
+            yield out.filter(pa.array((n_kept > 0) | (n_lines == 0))) if drop_emptied else out
 
     return joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_kept", T.LongType())]))
 

@@ -5,28 +5,34 @@ functions samples the ``PICK`` smallest labelled shingles and keeps them in text
 sketches speak for small edit distance. Documents that share a sketch are candidates; a banded
 bit-parallel alignment of their words decides: edit similarity 1 - distance / longer length >= 0.8.
 
-Equal texts collapse first. A bucket of equal sketches compares its members with one hub, and
-again with another hub where members stayed apart; pairs of a bucket that are then still in
-different classes are compared directly, so no bucket has a cap and none emits all its pairs.
+The number of sketches follows from the recall asked for at the threshold itself: where one word in
+five is another, a third of the shingles stay, 0.2 of all are shared, two that are in order
+agree with 0.039, and one of 80 sketches with 0.96 (less for short texts, whose edits vary more).
+
+Equal texts collapse first. Of the members of a bucket of equal sketches each is compared with one
+hub, and what then stays in different classes pair by pair, in blocks, behind a bitmap bound
+(``common.bucket_links``): no bucket has a cap and none emits all its pairs.
 
 Defined results: null is the empty text; equal texts (empty ones too) are one class; a text of
-fewer than five words is one shingle; a text without words has only its equal copies; repeated rows
-share a class; other columns are kept or ignored.
+fewer than five words is one shingle; a text without words has only its equal copies; the smallest
+doc_id of a class is its id, null if all are; of a class the document of that id stays (null ids last,
+then the smallest text hash), and rows equal in doc_id and text are one document: the query marks all
+of them, the pipeline keeps one row; other columns are kept or ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import RangeHash, bucket_links, mix64, stash, text_blocks, utf8
+from gridspark.llm.common import RangeHash, bucket_links, mix64, release, shared_keys, stash, text_blocks, utf8
 from gridspark.llm.decontamination import words
 
 SHINGLE = 5
-SKETCHES = 24
-PICK = 3
+SKETCHES = 80
+PICK = 2
 SIMILARITY = 0.8
 
 _NORMAL = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
@@ -67,9 +73,12 @@ def sketch(w: np.ndarray) -> np.ndarray:
         step = max(1, (1 << 22) // n)
         for a in range(0, SKETCHES, step):
             values = labelled[None] * _ODD[a : a + step, None]
-            values ^= values >> np.uint64(29)
-            at = np.argpartition(values, k - 1, axis=1)[:, :k] if n > k else np.tile(np.arange(n), (values.shape[0], 1))
-            at = np.sort(at, axis=1)
+            at = np.empty((len(values), k), np.int64)
+            for j in range(k):
+                at[:, j] = values.argmin(1)
+                if j + 1 < k:
+                    values[np.arange(len(values)), at[:, j]] = ~np.uint64(0)
+            at.sort(axis=1)
             mixed = np.arange(a, a + len(at), dtype=np.uint64)
             for j in range(k):
                 mixed = mix64(mixed * np.uint64(5) + labelled[at[:, j]])
@@ -77,24 +86,42 @@ def sketch(w: np.ndarray) -> np.ndarray:
     return out
 
 
-_SKETCHED = "node binary, doc_id long, n_words int, sketches array<long>"
+_SKETCHED = "node binary, h long, doc_id long, n_words int, sketches array<long>"
 #: 64-bit words of the bitmaps whose differences bound the edit distance from below.
 BAG = 64
 
 
+def _noded(docs: DataFrame) -> DataFrame:
+    """(node = md5 of the text, doc_id, text) of every row."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.unhex(F.md5(text)).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """(node = md5 of the text, doc_id, n_words, sketches) for every row; null sketches without words."""
+    """(node, h = its first 64 bits, doc_id, n_words, sketches) for every row; no sketches without words."""
 
     def run(batches):
         for b in text_blocks(batches, "text"):
-            h, first = word_hashes(*utf8(b.column("text")))
-            out = [sketch(h[first[k] : first[k + 1]]).view(np.int64).tolist() if first[k + 1] > first[k] else None for k in range(b.num_rows)]
+            w, first = word_hashes(*utf8(b.column("text")))
+            full = np.flatnonzero(np.diff(first))
+            flat = np.concatenate([sketch(w[first[k] : first[k + 1]]) for k in full]) if len(full) else np.zeros(0, np.uint64)
+            ends = np.concatenate([[0], np.cumsum(np.diff(first) > 0)]).astype(np.int32) * SKETCHES
+            h = [int.from_bytes(x[:8], "little", signed=True) for x in b.column("node").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("node"), b.column("doc_id"), pa.array(np.diff(first), pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["node", "doc_id", "n_words", "sketches"]
+                [b.column("node"), pa.array(h, pa.int64()), b.column("doc_id"), pa.array(np.diff(first), pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
+                names=["node", "h", "doc_id", "n_words", "sketches"],
             )
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.unhex(F.md5(text)).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, _SKETCHED)
+    return _noded(docs).mapInArrow(run, _SKETCHED)
+
+
+def sketch_keys(b: pa.RecordBatch):
+    """The sketches of every table, for ``shared_keys``."""
+    lists = b.column("sketches")
+    mine = np.flatnonzero(np.diff(np.asarray(lists.offsets)))
+    keys = np.asarray(lists.flatten()).view(np.uint64).reshape(-1, SKETCHES)
+    for t in range(SKETCHES if len(mine) else 0):
+        yield t, mine, keys[:, t]
 
 
 def _labels(ordered: np.ndarray) -> np.ndarray:
@@ -196,54 +223,6 @@ def similar(a: list, b: list, least: float = SIMILARITY) -> bool:
     return longer > 0 and edit_distance(a, b, most) <= most
 
 
-#: Members of a bucket that a task compares with those of one other block of it.
-BLOCK = 4096
-
-
-def _possible(apart: DataFrame, texts: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v) of a bucket's members in different components that the bitmaps don't rule out.
-
-    An edit takes one labelled word away and brings one, so what one text has and the other lacks is
-    a lower bound of the distance: what it rules out can't be similar. Large buckets are cut into
-    blocks, a task compares two of them, and a pair that shares several buckets comes out of the first.
-    """
-    members = apart.select("bucket", F.col("item.node").alias("node"), F.col("item.size").alias("size"), "comp")
-    counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    mine = members.join(counts, "bucket").withColumn("p", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
-    spread = mine.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    detail = bags(texts.join(apart.select(F.col("item.node").alias("node")).distinct(), "node", "left_semi")).join(nodes.select("node", "sketches"), "node")
-    full = spread.select("bucket", "node", "size", "comp", "p", F.least("p", "o").alias("low"), F.greatest("p", "o").alias("high")).join(detail, "node")
-
-    def compare(table: pa.Table) -> pa.Table:
-        flat = lambda c, w: np.asarray(table.column(c).combine_chunks().flatten()).view(np.uint64).reshape(-1, w)
-        bag, sketches = flat("detail", BAG), flat("sketches", SKETCHES)
-        size, p = (np.asarray(table.column(c)) for c in ("size", "p"))
-        node, comp = table.column("node").to_pylist(), np.unique(table.column("comp").to_pylist(), return_inverse=True)[1]
-        bucket = np.array([table.column("bucket")[0].as_py()], np.int64).view(np.uint64)[0]
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        one, two = np.flatnonzero(p == low), np.flatnonzero(p == high)
-        u, v = [], []
-        for i in one.tolist():
-            j = two[two > i] if low == high else two
-            longer = np.maximum(size[j], size[i])
-            j = j[(comp[j] != comp[i]) & (np.minimum(size[j], size[i]) >= least * longer - 1e-9)]
-            if not len(j):
-                continue
-            most = np.floor((1 - least) * np.maximum(size[j], size[i]) + 1e-9)
-            ok = (np.bitwise_count(bag[i] & ~bag[j]).sum(1) <= most) & (np.bitwise_count(bag[j] & ~bag[i]).sum(1) <= most)
-            j = j[ok]
-            if len(j):
-                equal = sketches[j] == sketches[i]
-                j = j[sketches[i][equal.argmax(1)] == bucket]
-            for k in j.tolist():
-                a, b = sorted((node[i], node[k]))
-                u.append(a)
-                v.append(b)
-        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
-
-    return full.groupBy("bucket", "low", "high").applyInArrow(compare, "u binary, v binary")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) whose texts are similar; ``texts`` holds (node, text) of all nodes in pairs."""
     left = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
@@ -264,44 +243,55 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, node (md5 of the text), n_words, component, class_id.
+    """One row per row of ``docs`` (doc_id, text): doc_id, node (md5 of the text), component, class_id, kept.
 
-    ``class_id`` is the smallest doc_id of the row's class of near copies.
+    ``class_id`` is the smallest doc_id of the row's class of near copies, ``kept`` says that the row
+    is the document that stays of its class.
     """
-    rows = stash(sketched(docs), "omh")
+    spark = docs.sparkSession
     # equal texts are one node from here on
-    nodes = stash(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_words").alias("n_words"), F.min("sketches").alias("sketches")), "omh-nodes")
-    at = nodes.select(F.explode("sketches").alias("bucket"), "node", F.col("n_words").alias("size"))
-    shared = at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = nodes.select("node", F.col("doc_id").alias("of")).join(at.join(shared, "bucket", "left_semi").select("node").distinct(), "node", "left_semi")
-    texts = stash(
-        docs.select(F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(wanted, "node")
-        .where(F.col("doc_id").eqNullSafe(F.col("of")))
-        .select("node", "text"),
-        "omh-texts",
-    )
+    nodes = stash(sketched(docs).groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("h", "n_words", "sketches")]), "omh-nodes")
+    near = shared_keys(nodes.where(F.size("sketches") > 0), sketch_keys, ["sketches"], True, "omh-candidates")
+    at = near.join(nodes.select("h", "node", "n_words"), "h").select("bucket", "node", F.col("n_words").alias("size"))
+    wanted = nodes.join(near.select("h").distinct(), "h", "left_semi").select("node", F.col("doc_id").alias("of"))
+    texts = stash(_noded(docs).join(wanted, "node").where(F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "text").dropDuplicates(["node"]), "omh-texts")
+    release(spark)
     fits = lambda a, b: F.least(a["size"], b["size"]) >= F.lit(similarity) * F.greatest(a["size"], b["size"]) - 1e-9
-    label = bucket_links(at, fits, lambda pairs: _verified(pairs, texts, similarity), "omh", rest=lambda apart: _possible(apart, texts, nodes, similarity))
+
+    def close(data, i, j):
+        """What one text has and the other lacks is a lower bound of the distance: it rules pairs out."""
+        size, bag = data["size"], data["detail"].view(np.uint64)
+        longer = np.maximum(size[j], size[i])
+        most = np.floor((1 - similarity) * longer + 1e-9)
+        apart = lambda a, b: np.bitwise_count(a & ~b).sum(1)
+        return (longer - np.minimum(size[j], size[i]) <= most) & (apart(bag[i], bag[j]) <= most) & (apart(bag[j], bag[i]) <= most)
+
+    label = bucket_links(at, fits, lambda pairs: _verified(pairs, texts, similarity), close, "omh", bags(texts))
     joined = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = joined.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    named = joined.join(least, "component").select("node", "component", "class_id")
-    return rows.select("node", "doc_id", "n_words").join(named, "node").select("doc_id", "node", "n_words", "component", "class_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    best = joined.groupBy("component").agg(F.min(place).alias("best")).select("component", F.col("best.doc_id").alias("class_id"), F.col("best.node").alias("first"))
+    named = stash(joined.select("node", "component").join(best, "component"), "omh-named")
+    release(spark, nodes, near, texts, label)
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("first"))
+    return _noded(docs).select("node", "doc_id").join(named, "node").select("doc_id", "node", "component", "class_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class of near copies (that of the smallest doc_id), all columns kept."""
-    same = stash(classes(docs, similarity), "omh-classified")
-    first = same.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = first.groupBy("component").agg(F.first("doc_id").alias("__id"), F.min("node").alias("__node"), F.count("*").alias("n"))
+    """One row of each class of near copies, all columns kept.
+
+    Of repeated rows that one stays whose columns, as JSON, have the least hash.
+    """
+    kept = classes(docs, similarity).where("kept").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"))
+    kept = stash(kept.groupBy("__id", "__node").agg((F.count("*") > 1).alias("__again")), "omh-kept")
     node = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    joined = docs.join(kept.select("__id", "__node"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (node == F.col("__node")))
-    if first.groupBy("doc_id", "node").count().where("count > 1").limit(1).count():
-        # repeated rows: number them, and keep the first
-        again = Window.partitionBy("__id", "__node").orderBy(F.lit(0))
-        joined = joined.withColumn("__n", F.row_number().over(again)).where("__n = 1").drop("__n")
-    return joined.drop("__id", "__node")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (node == F.col("__node"))
+    joined = docs.join(kept, same)
+    if not kept.where("__again").limit(1).count():
+        return joined.select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    once = joined.where("__again").groupBy("__id", "__node").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("__row"))
+    return joined.where("NOT __again").select(*docs.columns).unionByName(once.select("__row.*"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "kept")

@@ -64,10 +64,47 @@ def test_components(spark):
 
 def test_bucket_links_past_hubs_that_fit_nothing(spark):
     # b and c are alike; neither the smallest nor the largest of the bucket fits anything
-    at = spark.createDataFrame([(1, "a", 1), (1, "b", 10), (1, "c", 11), (1, "d", 99)], "bucket long, node string, size int")
+    rows = [(1, b"a", 1), (1, b"b", 10), (1, b"c", 11), (1, b"d", 99), (2, b"d", 99)]
+    at = spark.createDataFrame(rows, "bucket long, node binary, size int")
     fits = lambda a, b: F.least(a["size"], b["size"]) >= 0.8 * F.greatest(a["size"], b["size"])
-    got = common.bucket_links(at, fits, lambda pairs: pairs, "test").collect()
-    assert {r.node: r.component for r in got} == {"b": "b", "c": "b"}
+    close = lambda data, i, j: np.minimum(data["size"][j], data["size"][i]) >= 0.8 * np.maximum(data["size"][j], data["size"][i])
+    got = common.bucket_links(at, fits, lambda pairs: pairs, close, "test").collect()
+    assert {bytes(r.node): bytes(r.component) for r in got} == {b"b": b"b", b"c": b"b"}
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_bucket_links_are_the_links_of_all_pairs(spark, block):
+    rng = random.Random(6)
+    nodes = {f"{k:03}".encode(): rng.randrange(1, 400) for k in range(120)}
+    at = [(b, n, nodes[n]) for b in range(12) for n in rng.sample(sorted(nodes), 25)] + [(99, n, v) for n, v in nodes.items() if v < 60]
+    alike = lambda x, y: abs(x - y) <= 2
+    label = {n: n for n in nodes}
+    for b, n, v in at:
+        for c, m, w in at:
+            if b == c and alike(v, w):
+                low, high = sorted((label[n], label[m]))
+                label = {k: low if x == high else x for k, x in label.items()}
+    fits = lambda a, b: F.abs(a["size"] - b["size"]) <= 50
+    close = lambda data, i, j: np.abs(data["size"][j] - data["size"][i]) <= 20
+    sizes = spark.createDataFrame(list(nodes.items()), "node binary, size int")
+    verify = lambda pairs: pairs.join(sizes.toDF("u", "a"), "u").join(sizes.toDF("v", "b"), "v").where("abs(a - b) <= 2").select("u", "v")
+    got = common.bucket_links(spark.createDataFrame(at, "bucket long, node binary, size int"), fits, verify, close, "test", block=block).collect()
+    got = {bytes(r.node): bytes(r.component) for r in got}
+    assert {n: got.get(n, n) for n in nodes} == label
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_shared_keys(spark, wide):
+    rng = random.Random(8)
+    rows = [(k, [rng.choice([7, rng.randrange(50), rng.randrange(1 << 31)]) for _ in range(3)]) for k in range(400)]
+    columns = lambda b: ((t, np.arange(b.num_rows), np.asarray(b.column("keys").flatten()).reshape(-1, 3)[:, t].astype(np.uint64)) for t in range(3))
+    df = spark.createDataFrame(rows, "h long, keys array<long>").repartition(5)
+    got = sorted((r.h, r.bucket) for r in common.shared_keys(df, columns, ["keys"], wide, "test").collect())
+    want = set()
+    for t in range(3):
+        count = collections.Counter(keys[t] for _, keys in rows)
+        want |= {(h, t, keys[t]) for h, keys in rows if count[keys[t]] > 1}
+    assert got == sorted((h, key if wide else (t << 34) + key) for h, t, key in want)
 
 
 def test_range_hash_equals_on_equal_bytes():
@@ -367,37 +404,92 @@ def test_sainte_lague_against_the_definition(spark):
 # --- 9 lines ---
 
 
-def test_line_dedup(spark, odd, docs):
-    out = _rows(line_dedup.op9(spark, SF))
-    seen = set()
-    for r in docs.orderBy("doc_id").collect():
-        for line in out[r.doc_id].text.split("\n"):
-            w = tuple(near_dedup.words(line.encode()))
-            assert not w or w not in seen
-            if w:
-                seen.add(w)
-    everything = {w for r in docs.collect() for line in r.text.split("\n") if (w := tuple(near_dedup.words(line.encode())))}
-    assert seen <= everything and len(seen) > 0.97 * len(everything)
+def _kept_lines(rows):
+    """By brute force: each text with the lines that stay."""
+    first, order = {}, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    for i, text in order:
+        for k, line in enumerate((text or "").split("\n")):
+            if n := line_dedup.normalised(line):
+                first.setdefault(n, (i, k))
+    lines = sorted(first, key=len)
+    label = {n: n for n in lines}
+    count = {n: collections.Counter(n) for n in lines}
+    for j, b in enumerate(lines):
+        most = int(0.1 * len(b) + 1e-9)
+        for a in reversed(lines[:j]):
+            if len(b) - len(a) > most or not most:
+                break
+            if (count[b] - count[a]).total() <= most and near_dedup.edit_distance(a, b, most) <= most:
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if x == high else x for k, x in label.items()} if low != high else label
+    best = {}
+    for n in lines:
+        best[label[n]] = min(best.get(label[n], first[n]), first[n], key=lambda p: (p[0] is not None, p))
+    stay = set(best.values())
+    return {i: None if t is None else "\n".join(line for k, line in enumerate(t.split("\n")) if not line_dedup.normalised(line) or (i, k) in stay) for i, t in rows}
+
+
+def test_line_dedup_against_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want, got = _kept_lines(rows), _rows(line_dedup.op9(spark, SF))
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(r.n_lines >= r.n_kept == sum(bool(line_dedup.normalised(x)) for x in (r.text or "").split("\n")) for r in got.values())
+
+
+def test_line_dedup_odd_tables(spark, odd):
     kept = line_dedup.dedup_lines(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 5").first().text == "Ünïcode ж words\nand lines\n"
     assert kept.where("doc_id = 1").first().text is None and line_dedup.dedup_lines(odd.limit(0)).count() == 0
+    assert kept.where("doc_id = 4").count() == 2 and kept.where("doc_id IS NULL").first().text == "no id here at all"
+    names = spark.createDataFrame([(k, f"{'x' * k} same line here\n\nend", "a", 1) for k in range(3)] + [(7, "SAME line, here!\n\nend", "b", 2)], "doc_id long, text string, row string, lines int")
+    got = _rows(line_dedup.dedup_lines(names))
+    assert line_dedup.dedup_lines(names).columns == names.columns
+    assert got[0].text == " same line here\n\nend" and 7 not in got
 
 
-def test_fuzzy_lines_and_their_candidates(spark):
+def test_line_keys_of_pigeonhole_blocks(spark):
     rng = random.Random(3)
-    long = " ".join(f"word{rng.randrange(500)}" for _ in range(120))
-    near = long.replace("word", "word", 1) + " extra"
-    d = spark.createDataFrame([(1, long), (2, near), (3, " ".join(f"term{rng.randrange(500)}" for _ in range(120)))], "doc_id long, text string")
-    raw, at = common.utf8(__import__("pyarrow").array([long, near]))
-    sims = line_dedup.line_keys(raw, at)[3]
-    close = int(np.bitwise_count(sims[0] ^ sims[1])) <= line_dedup.DISTANCE
-    assert (line_dedup.dedup_lines(d).count() == 2) == close
     values = [rng.getrandbits(64) for _ in range(300)]
     values += [v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in values[:40]] + [values[0] ^ (1 << k) for k in range(64)]
     signed = lambda v: v - (1 << 64) if v >> 63 else v
-    df = spark.createDataFrame([(k, signed(v)) for k, v in enumerate(values)], "h1 long, sim long")
-    want = {i for i, a in enumerate(values) for j, b in enumerate(values) if i != j and (a ^ b).bit_count() <= line_dedup.DISTANCE}
-    assert {r.h1 for r in line_dedup.with_neighbours(df).collect()} >= want
+    df = spark.createDataFrame([(k, signed(v)) for k, v in enumerate(values)], "h long, sim long")
+    found = collections.defaultdict(set)
+    for r in common.shared_keys(df, line_dedup.block_keys(), ["sim"], False, "test").collect():
+        found[r.h].add(r.bucket)
+    near = [(i, j) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and (a ^ b).bit_count() <= line_dedup.DISTANCE]
+    assert len(near) > 100 and all(found[i] & found[j] for i, j in near)
+
+
+def test_one_edit_in_a_short_line_always_shares_a_half():
+    rng = random.Random(4)
+    for _ in range(400):
+        a = "".join(rng.choice("abcdé ж") for _ in range(rng.randrange(9, 20))).replace(" ", "x")
+        k = rng.randrange(len(a))
+        b = rng.choice([a[:k] + "q" + a[k + 1 :], a[:k] + a[k + 1 :], a[:k] + "ü" + a[k:]])
+        if not 10 <= max(len(a), len(b)) <= 19 or min(len(a), len(b)) < 9:
+            continue
+        sets = []
+        for x in (a, b):
+            raw = np.frombuffer(x.encode(), np.uint8)
+            z, start, end = line_dedup.normal_lines(raw, np.array([0, len(raw)]))
+            keys = line_dedup.half_keys(z, start, end, common.RangeHash(z))[0]
+            sets.append({("start", k) for k in keys[:2].tolist()} | {("end", k) for k in keys[2:].tolist()})
+        assert sets[0] & sets[1], (a, b)
+
+
+def test_recall_of_lines_with_a_changed_letter(spark):
+    rng = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows, sizes = [], (2, 3, 6, 10, 15, 25, 40, 80)
+    for n in sizes:
+        for _ in range(60):
+            line = " ".join("".join(rng.choices(letters, k=rng.randrange(3, 9))) for _ in range(n)).ljust(10, "z")
+            k = rng.choice([k for k, c in enumerate(line) if c != " "])
+            rows += [(len(rows), line), (len(rows) + 1, line[:k] + rng.choice([c for c in letters if c != line[k]]) + line[k + 1 :])]
+    kept = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= set(range(0, len(rows), 2))
+    for j, n in enumerate(sizes):
+        assert sum(i in kept for i in range(120 * j + 1, 120 * j + 120, 2)) <= 3, n
 
 
 def test_fuzzy_lines_at_the_similarity_asked_for(spark):
@@ -481,11 +573,34 @@ def test_near_duplicates_against_brute_force(spark):
     assert [got[k].class_id for k in range(len(texts))] == label
 
 
+def test_recall_of_near_duplicates_up_to_the_threshold(spark):
+    rng = random.Random(60)
+    rows, kinds = [], [(n, share) for n in (60, 200) for share in (0.05, 0.1, 0.15, 0.19)]
+    for n, share in kinds:
+        for _ in range(80):
+            t = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            c = list(t)
+            for j in rng.sample(range(n), int(share * n)):
+                c[j] = f"v{rng.randrange(5000)}"
+            rows += [(len(rows), " ".join(t)), (len(rows) + 1, " ".join(c))]
+    got = _rows(near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    for j, kind in enumerate(kinds):
+        assert np.mean([got[k + 1].class_id == k for k in range(160 * j, 160 * j + 160, 2)]) >= 0.9, kind
+
+
 def test_near_duplicates_odd_tables(spark, odd):
     kept = near_dedup.keep_one(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 4").count() == 1 and kept.where("doc_id = 3").count() == 1
     assert kept.where("coalesce(text, '') = ''").count() == 1
     assert near_dedup.classes(odd.limit(0)).count() == 0
+    got = near_dedup.classes(odd).collect()
+    assert len(got) == len(ODD) and [(r.class_id, r.kept) for r in got if r.doc_id in (1, 2)].count((1, True)) == 1
+    assert [(r.class_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] and [r.kept for r in got if r.doc_id == 4] == [True, True]
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (1, "a b c d e f g", "x"), (None, "a b c d e f g", "w"), (None, "z z", "v"), (None, "z z", "u")]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = near_dedup.keep_one(clash)
+    assert kept.columns == clash.columns and sorted(r.text for r in kept.collect()) == ["a b c d e f g", "z z"]
+    assert kept.collect() == near_dedup.keep_one(clash.repartition(3)).collect() or kept.orderBy("text").collect() == near_dedup.keep_one(clash.repartition(3)).orderBy("text").collect()
 
 
 # --- pipeline ---
