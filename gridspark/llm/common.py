@@ -305,41 +305,64 @@ def bucket_links(at: DataFrame, fits, verify, close, what: str, detail: DataFram
     return label
 
 
+#: Members of small buckets that one task of ``block_pairs`` looks at, about, and the largest small bucket.
+TASK_MEMBERS, SMALL = 20_000, 256
+
+
 def block_pairs(members: DataFrame, close, detail: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs (u, v) of a bucket's members in different components that ``close`` does not rule out.
 
     ``members`` has (bucket, node, size, comp, ...), ``detail`` more columns for each node.
-    ``close(table, i, j)`` gets a task's columns as arrays and says which rows ``j`` row ``i`` may be
-    similar to. Large buckets are cut into blocks by hash and a task compares two blocks.
+    ``close(table, i, j)`` gets a task's columns as arrays and says for which k row ``i[k]`` may be
+    similar to row ``j[k]``. Small buckets share a task; large ones are cut into blocks by hash,
+    and a task compares two blocks.
     """
-    counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    mine = members.join(counts, "bucket").withColumn("p", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
+    counts = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    mine = members.join(counts.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"), (F.col("n") > SMALL).alias("large")), "bucket")
+    mine = mine.withColumn("p", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
     spread = mine.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.withColumns({"low": F.least("p", "o"), "high": F.greatest("p", "o")}).drop("o", "parts")
+    spread = spread.withColumns({"low": F.least("p", "o"), "high": F.greatest("p", "o")})
+    tasks = max(1, members.count() // TASK_MEMBERS)
+    task = F.when(F.col("large"), F.xxhash64("bucket", "low", "high")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
+    spread = spread.withColumn("task", task).drop("o", "parts", "large")
     full = spread if detail is None else spread.join(detail, "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_pylist()
+        table = table.sort_by([("bucket", "ascending"), ("low", "ascending"), ("high", "ascending"), ("node", "ascending")])
         data = {}
         for name in table.column_names:
             column = table.column(name).combine_chunks()
-            if name in ("node", "comp"):
-                continue
             if pa.types.is_list(column.type):
-                data[name] = np.asarray(column.flatten()).reshape(len(node), -1)
-            else:
+                data[name] = np.asarray(column.flatten()).reshape(table.num_rows, -1)
+            elif name not in ("node", "comp"):
                 data[name] = np.asarray(column)
-        comp = np.unique(table.column("comp").to_pylist(), return_inverse=True)[1]
-        p, low, high = data["p"], data["low"][0], data["high"][0]
-        left, right = np.flatnonzero(p == low), np.flatnonzero(p == high)
-        u, v = [], []
-        for i in left.tolist():
-            j = right[right > i] if low == high else right
-            j = j[comp[j] != comp[i]]
-            if len(j):
-                j = j[close(data, i, j)]
-            u += [node[i]] * len(j)
-            v += [node[k] for k in j.tolist()]
-        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
-
-    return full.groupBy("bucket", "low", "high").applyInArrow(compare, "u binary, v binary")
+        comp = np.asarray(table.column("comp").combine_chunks().dictionary_encode().indices)
+        p, low, high, bucket = (data[c] for c in ("p", "low", "high", "bucket"))
+        new = np.append(True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+        run = np.cumsum(new)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def take(i: np.ndarray, j: np.ndarray) -> None:
+            differ = comp[i] != comp[j]
+            i, j = i[differ], j[differ]
+            if len(i):
+                ok = close(data, i, j)
+                found.append((i[ok], j[ok]))
+
+        size = np.bincount(run)[run]
+        live, lag = np.flatnonzero(size <= SMALL), 1
+        while len(live := live[live + lag < len(run)]) and len(live := live[run[live] == run[live + lag]]):
+            take(live, live + lag)
+            lag += 1
+        for r in np.unique(run[size > SMALL]).tolist():
+            at = np.flatnonzero(run == r)
+            left, right = at[p[at] == low[at[0]]], at[p[at] == high[at[0]]]
+            one = low[at[0]] == high[at[0]]
+            for i in left.tolist():
+                j = right[right > i] if one else right
+                take(np.full(len(j), i), j)
+        i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        node = table.column("node").combine_chunks()
+        return pa.table({"u": node.take(pa.array(i)), "v": node.take(pa.array(j))})
+
+    return full.groupBy("task").applyInArrow(compare, "u binary, v binary")

@@ -43,8 +43,6 @@ GRAM, SKETCHES, BINS = 6, 12, 4
 SHORT, SHORT_GRAM, SHORT_SKETCHES, SHORT_BINS = 54, 4, 8, 3
 #: SimHash bits that candidates may differ in: lines of edit similarity 0.9 differ in 13 on average at worst.
 REACH = 20
-#: Lines of more characters are verified by the bit-parallel distance, whose cost grows slower with the band.
-LONG = 4096
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
@@ -275,20 +273,16 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (u, v) whose normalised lines (node, text) are similar."""
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    both = both.withColumn("longer", F.greatest(F.char_length("a"), F.char_length("b")))
-    most = f"cast(floor((1 - {similarity}D) * longer + 1e-9D) as int)"
-    near = both.where("longer <= " + str(LONG)).where(F.expr(f"levenshtein(a, b, {most}) >= 0")).select("u", "v")
 
     def compare(batches):
         for b in batches:
             keep = []
-            for x, y, n in zip(*(b.column(c).to_pylist() for c in ("a", "b", "longer")), strict=True):
-                most = int((1 - similarity) * n + 1e-9)
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
                 keep.append(edit_distance(x, y, most) <= most)
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    far = both.where("longer > " + str(LONG)).select("u", "v", "a", "b", "longer").mapInArrow(compare, "u binary, v binary")
-    return near.unionByName(far)
+    return both.select("u", "v", "a", "b").mapInArrow(compare, "u binary, v binary")
 
 
 def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:

@@ -151,17 +151,40 @@ def bags(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node binary, detail array<long>")
 
 
+def _agree(a: list, i: int, b: list, j: int) -> int:
+    """How far two sequences agree from places ``i`` and ``j`` on: doubling steps, then halving."""
+    most = min(len(a) - i, len(b) - j)
+    if most <= 0 or a[i] != b[j]:
+        return 0
+    n, step = 1, 8
+    while n < most:
+        step = min(step, most - n)
+        if a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n += step
+            step *= 2
+            continue
+        while step > 1:  # they differ within this step
+            step = (step + 1) // 2
+            if a[i + n : i + n + step] == b[j + n : j + n + step]:
+                n += step
+        return n if n >= most or a[i + n] != b[j + n] else n + _agree(a, i + n, b, j + n)
+    return most
+
+
+#: Edits up to which the distance is found along diagonals, in steps that depend on the edits only.
+FEW = 12
+
+
 def edit_distance(a: list, b: list, most: int) -> int:
     """Levenshtein distance of two sequences, or ``most`` + 1 if it is larger.
 
-    A bit-parallel band (Hyyro 2003): bit ``j`` of the vectors is the cell ``j`` diagonals above
+    A few edits are found by the furthest place that every diagonal reaches (Ukkonen 1985); for more,
+    a bit-parallel band (Hyyro 2003): bit ``j`` of the vectors is the cell ``j`` diagonals above
     the lowest one kept, 2 * most + 1 diagonals in all.
     """
     if len(a) > len(b):
         a, b = b, a
-    lead = 0
-    while lead < len(a) and a[lead] == b[lead]:
-        lead += 1
+    lead = _agree(a, 0, b, 0)
     tail = 0
     while tail < len(a) - lead and a[-1 - tail] == b[-1 - tail]:
         tail += 1
@@ -172,6 +195,24 @@ def edit_distance(a: list, b: list, most: int) -> int:
     if m == 0:
         return n
     most = min(most, n)
+    reach: dict[int, int] = {}
+    for edits in range(min(most, FEW) + 1):
+        before, reach = reach, {}
+        for k in range(-min(edits, m), min(edits, n) + 1):
+            if edits == 0:
+                i = 0
+            else:
+                # a changed element, one that only b has, one that only a has
+                i = max(before.get(k, -2) + 1, before.get(k - 1, -2), before.get(k + 1, -2) + 1)
+                i = min(i, m, n - k)
+                if i < 0 or i + k < 0:
+                    continue
+            i += _agree(a, i, b, i + k)
+            reach[k] = i
+            if i >= m and i + k >= n:
+                return edits
+    if most <= FEW:
+        return most + 1
     seen: dict = {}
     for i, x in enumerate(a):
         seen[x] = seen.get(x, 0) | (1 << i)
@@ -263,8 +304,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         size, bag = data["size"], data["detail"].view(np.uint64)
         longer = np.maximum(size[j], size[i])
         most = np.floor((1 - similarity) * longer + 1e-9)
-        apart = lambda a, b: np.bitwise_count(a & ~b).sum(1)
-        return (longer - np.minimum(size[j], size[i]) <= most) & (apart(bag[i], bag[j]) <= most) & (apart(bag[j], bag[i]) <= most)
+        out = longer - np.minimum(size[j], size[i]) <= most
+        i, j, most = i[out], j[out], most[out]
+        for s in range(0, len(i), 1 << 14):
+            part = slice(s, s + (1 << 14))
+            one, two = bag[i[part]], bag[j[part]]
+            lacks = [np.bitwise_count(x).sum(1) for x in (one & ~two, two & ~one)]
+            out[np.flatnonzero(out)[part]] &= np.maximum(*lacks) <= most[part]
+        return out
 
     label = bucket_links(at, fits, lambda pairs: _verified(pairs, texts, similarity), close, "omh", bags(texts))
     joined = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
