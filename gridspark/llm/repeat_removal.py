@@ -1,8 +1,9 @@
-"""Suffix-array dedup: depth-limited most-significant-digit radix passes over suffixes.
+"""Suffix-array dedup: depth-limited most-significant-digit passes over runs of suffixes.
 
 A byte goes when a string of ``THRESHOLD`` bytes that covers it also starts anywhere else. Suffixes
 need ordering only through that depth, and groups of suffixes that agree that far are the repeated
-windows. The passes, each a hash partitioning by the next digit of the suffixes still in question:
+windows. A row for every suffix would be 14 times the input, so suffixes travel in runs and only those still
+in question go on, one digit after the other; a digit partitions, and what is alone in its group is done:
 
 1. The first digit is the window's smallest ``GRAM``-byte gram (by hash, leftmost); windows that
    share that gram at one place form a run and travel as one row. Runs whose gram occurs once are
@@ -13,8 +14,10 @@ windows. The passes, each a hash partitioning by the next digit of the suffixes
    those whose hull occurs again are done the other way.
 4. The last digit is the window itself, one span per different hull again; two or more repeat.
 
-Hashes have 64 bits. Counting is a partial aggregation and what has to meet its count meets it in
-an equi-join that adaptive skew handling can split, so one passage in a third of all documents does
+Digits are 64-bit hashes, and a group is what agrees in all digits so far: a false repeat takes an
+equal hash within one of the small groups of an earlier digit, not anywhere in the corpus. Counting is
+a partial aggregation, and counts are written before rows meet them, so that either side of the
+equi-join is a plain shuffle that adaptive skew handling splits: one passage in a third of all documents does
 not land in one task.
 
 Defined results: null is the empty text; matches never cross documents; rows equal in doc_id and text
@@ -23,7 +26,6 @@ are two documents that repeat each other; texts under 400 bytes lose nothing; ot
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import RangeHash, drop_stash, stash, text_blocks, utf8
+from gridspark.llm.common import RangeHash, release, stash, text_blocks, utf8
 
 THRESHOLD = 400
 GRAM = 200
@@ -144,11 +146,12 @@ def _windows(batches, size: int):
             owner = np.repeat(np.arange(len(p)), [sum(x["high"] - x["low"] + 1 for x in one) for one in lists])
             back = np.array([v for one in lists for x in one for v in range(x["low"], x["high"] + 1)], np.int64)
             solo = [x["solo"] for one in lists for x in one for _ in range(x["low"], x["high"] + 1)]
+            digit = [x["digit"] for one in lists for x in one for _ in range(x["low"], x["high"] + 1)]
             at = begin[owner] + high[owner] - back if len(owner) else np.zeros(0, np.int64)
             take = pa.array(owner.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(take), b.column("row").take(take), pa.array((p[owner] - back).astype(np.int32) if len(owner) else [], pa.int32()), pa.array(solo, pa.bool_()), pa.array(hashed(at, at + size).view(np.int64) if len(owner) else [], pa.int64())],
-                names=["doc_id", "row", "start", "solo", "window"],
+                [b.column("doc_id").take(take), b.column("row").take(take), pa.array((p[owner] - back).astype(np.int32) if len(owner) else [], pa.int32()), pa.array(solo, pa.bool_()), pa.array(digit, pa.int64()), pa.array(hashed(at, at + size).view(np.int64) if len(owner) else [], pa.int64())],
+                names=["doc_id", "row", "start", "solo", "digit", "window"],
             )
 
 
@@ -175,25 +178,18 @@ def _next(rows: DataFrame, digit: str) -> tuple[DataFrame, DataFrame]:
     hulls = rows.groupBy(digit, "hull").agg(F.count("*").alias("n"), solo.alias("solo"), F.min(place).alias("at"))
     hulls = stash(hulls, "hulls")
     open_ = hulls.groupBy(F.col(digit).alias("__digit")).agg(F.count("*").alias("kinds"), F.max((F.col("n") == 1) & F.col("solo")).alias("lone")).where("kinds > 1 AND lone")
-    onward = hulls.join(open_, F.col(digit) == F.col("__digit"), "left_semi").select("at.*", (F.col("solo") & (F.col("n") == 1)).alias("solo"))
+    open_ = stash(open_.select("__digit"), "open")
+    onward = hulls.join(open_, F.col(digit) == F.col("__digit"), "left_semi").select("at.*", (F.col("solo") & (F.col("n") == 1)).alias("solo"), F.col(digit).alias("digit"))
     return hulls.where("n > 1").select(F.col(digit).alias("__digit"), F.col("hull").alias("__hull")), onward
 
 
-def _release(*used: DataFrame) -> None:
-    """Delete tables that nothing reads any more, and let Spark drop the shuffles that nothing refers to."""
-    for df in used:
-        drop_stash(df)
-    gc.collect()
-    used[0].sparkSession._jvm.System.gc()
-
-
 def repeated(docs: DataFrame, size: int = THRESHOLD, gram: int = GRAM, span: int = SPAN) -> DataFrame:
     """(doc_id, row, start, end): byte ranges covered by repeated windows, unordered and overlapping."""
-    docs = _keyed(docs)
+    spark, docs = docs.sparkSession, _keyed(docs)
     every = stash(_runs(docs, size, gram), "runs")
-    twice = every.groupBy(F.col("gram").alias("twice")).agg(F.count("*").alias("n")).where("n > 1").select("twice")
+    twice = stash(every.groupBy(F.col("gram").alias("twice")).agg(F.count("*").alias("n")).where("n > 1").select("twice"), "grams")
     again = stash(every.join(twice, F.col("gram") == F.col("twice"), "left_semi"), "runs-again")
-    _release(every)
+    release(spark, every, twice)
 
     def ranges(df: DataFrame) -> DataFrame:
         return df.select("doc_id", "row", (F.col("p") - F.col("high")).alias("start"), (F.col("p") - F.col("low") + size).alias("end"))
@@ -204,17 +200,18 @@ def repeated(docs: DataFrame, size: int = THRESHOLD, gram: int = GRAM, span: int
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))
     holders = docs.where(F.octet_length("text") >= size).join(listed, same).select("doc_id", "row", "text", "runs")
     hulls = stash(holders.mapInArrow(lambda it: _cut_out(it, size), "doc_id long, row long, p int, low int, high int, solo boolean, bytes binary"), "run-bytes")
-    _release(again)
+    release(spark, again)
 
     spans = stash(hulls.mapInArrow(lambda it: _cuts(it, size, span), "doc_id long, row long, p int, low int, high int, solo boolean, core long, hull long"), "spans")
     found, onward = _next(spans, "core")
     partly = stash(ranges(spans.where("solo").join(found, (F.col("core") == F.col("__digit")) & (F.col("hull") == F.col("__hull")), "left_semi")), "ranges")
-    listed = onward.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("p").alias("__p")).agg(F.collect_list(F.struct("low", "high", "solo")).alias("spans"))
+    listed = onward.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("p").alias("__p")).agg(F.collect_list(F.struct("low", "high", "solo", "digit")).alias("spans"))
     held = hulls.join(listed, same & (F.col("p") == F.col("__p"))).select("doc_id", "row", "p", "low", "high", "bytes", "spans")
-    windows = stash(held.mapInArrow(lambda it: _windows(it, size), "doc_id long, row long, start int, solo boolean, window long"), "windows")
-    _release(spans, hulls)
-    twice = windows.groupBy(F.col("window").alias("twice")).agg(F.count("*").alias("n"), F.max("solo").alias("any")).where("n > 1 AND any").select("twice")
-    single = windows.where("solo").join(twice, F.col("window") == F.col("twice"), "left_semi").select("doc_id", "row", "start", (F.col("start") + size).alias("end"))
+    windows = stash(held.mapInArrow(lambda it: _windows(it, size), "doc_id long, row long, start int, solo boolean, digit long, window long"), "windows")
+    release(spark, spans, hulls)
+    twice = windows.groupBy(F.col("digit").alias("group"), F.col("window").alias("twice")).agg(F.count("*").alias("n"), F.max("solo").alias("any")).where("n > 1 AND any")
+    twice = stash(twice.select("group", "twice"), "twice")
+    single = windows.where("solo").join(twice, (F.col("digit") == F.col("group")) & (F.col("window") == F.col("twice")), "left_semi").select("doc_id", "row", "start", (F.col("start") + size).alias("end"))
     return whole.unionByName(partly).unionByName(single)
 
 
