@@ -184,7 +184,8 @@ def test_embeddings_against_brute_force(spark):
     odd = [None, [], [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [1.0] * 3]
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000 + k, v) for k, v in enumerate(odd)]
     for block in (1024, 8):
-        got = _rows(embedding_dedup.links(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumnsRenamed({}), block=block), "vec_id")
+        clash = [(*r, "x", 1) for r in rows]
+        got = _rows(embedding_dedup.links(spark.createDataFrame(clash, "vec_id long, embedding array<float>, node string, copies int"), block=block), "vec_id")
         u = x.astype(float)
         u /= np.linalg.norm(u, axis=1)[:, None]
         near = u @ u.T >= 0.9
@@ -200,6 +201,29 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_estimates_are_unbiased_and_bounded():
+    rng = np.random.default_rng(2)
+    x = embedding_dedup.unit(rng.normal(size=(300, 48)))
+    y = embedding_dedup.unit(x + rng.normal(0, 0.06, x.shape))
+    both = [embedding_dedup.Codes.of(v, 3, 1) for v in (x, y)]
+    again = [embedding_dedup.Codes.unpack([r.tobytes() for r in np.concatenate(c.pack(), 1)], 48, 3, 1) for c in both]
+    assert all((a.signs == b.signs).all() and np.allclose(a.rounded, b.rounded, atol=1e-6) and np.allclose(a.factors, b.factors) for a, b in zip(both, again, strict=True))
+    estimate, error = again[0].estimates(again[1])
+    truth = x @ y.T
+    assert abs((estimate - truth).mean()) < 0.003 and (np.abs(estimate - truth) <= embedding_dedup.CONFIDENCE * error).mean() > 0.9999
+    possible = again[0].possible(again[1], 0.9)
+    assert possible[truth >= 0.9].all() and possible.mean() < 0.1
+
+
+def test_embedding_ids_that_repeat_or_are_null(spark):
+    one, near, other = [1.0] * 8, [1.0] * 7 + [1.2], [1.0, -1.0] * 4
+    rows = [(5, one), (5, near), (7, other), (7, [-v for v in other]), (None, near), (None, [9.0] + [0.0] * 7), (8, None), (None, None)]
+    got = embedding_dedup.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.9999).collect()
+    key = lambda r: (str(r[0]), r[1], str(r[2]), r[3])
+    want = [(5, 2, 5, True), (5, 2, 5, True), (7, 0, 7, True), (7, 0, 7, True), (None, 2, 5, False), (None, 0, None, True), (8, 0, 8, True), (None, 0, None, True)]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
 @pytest.mark.parametrize("block", [1024, 2])
 def test_embedding_chains_are_one_component(spark, block):
     # 0 - 2 - 1 - 3: neighbours link, the others don't; the smallest neighbour alone would leave 1 and 3 apart
