@@ -250,6 +250,9 @@ def test_embedding_chains_are_one_component(spark, block):
         (None, ""), ("", ""), ("plain &amp; text", "plain & text"), ("<p>a<p>b", "a b"), ("<article><h1>T</h1><p>x<b>y</b>\n z</p><br>w</article><p>out", "T xy z w"),
         ("<body><nav>n</nav><header>h</header><main><p>m &lt;b&gt;<aside>s</aside></main><div class='cookie-notice'>c</div></body>", "m <b>"),
         ("<article>a<script>if (1<2) '</p>'</script><style>p{}</style><form>f</form><section id=comments><p>c</p></section></article>", "a"), ("<article>a<!-- x > y -->b", "ab"), ("<p>1 < 2 & 3</p>", "1 < 2 & 3"),
+        ("<article><p>a <button>Share</button> b <i hidden>c</i> <span class='skip'>d</span>e</p></article>", "a b e"), ("<p>keep <span class='ad'>buy<br>now</span> end", "keep end"),
+        ("<article class='post legal'><div class='side-by-side'>x <math><mi>y</mi></math></div><p class='legal'>z</p></article>", "x y z"), ("<article>a <a title=\"q>b</a> c</article>", "a b c"),
+        ("<script>'<main>'</script><div id='site-footer2'>f</div><div class='comment-list'>g</div><p>t</p>", "t"), ("<ul><li>a<li>b<ul><li>c</ul></ul>", "a b c"), ("<p>&amp;lt; &#x41;&nbsp;B", "&lt; A B"),
     ],
 )
 def test_main_text(page, text):
@@ -263,12 +266,29 @@ def test_pages_and_templates(spark):
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)>", " \x01 ", body))).replace("\x01", " ").split())
         assert out[r.page_id].text == want and out[r.page_id].n_chars == len(want)
     rows = [(k, f"http://h.org/{k}", f"<body><div><a>Home</a></div><div><p>story {k}</p><p>more {k}</p></div><div>All rights reserved</div></body>") for k in range(8)]
-    rows += [(9, None, None), (9, "http://h.org/9", "")]
-    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert sorted(r.text for r in got) == sorted([f"story {k} more {k}" for k in range(8)] + ["", ""])
+    rows += [(9, None, None), (9, "http://h.org/9", ""), rows[0], rows[0]]
+    got = html_extract.extract(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()
+    assert sorted(r.text for r in got) == sorted([f"story {k} more {k}" for k in [*range(8), 0, 0]] + ["", ""])
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_nest_and_leave_slots(spark):
+    rng = random.Random(7)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    rows, want = [], {}
+    for k in range(12):
+        story = [say(rng.randrange(8, 40)) for _ in range(rng.randrange(1, 6))]
+        items = "".join(f"<li>Read the item number {rng.randrange(99)}</li>" for _ in range(1 + k % 4))
+        menu = f"<div>Welcome back dear user u{k} to our site</div><div>Home News Sports Contact</div>"
+        body = "".join(f"<p>{t}</p>" for t in story)
+        rows.append((k, "https://Example.org/x", f"<html><body>{menu}<div>{body}</div><ul>{items}</ul><div>Printed on day {k} by the example press</div></body></html>"))
+        want[k] = " ".join(story)
+    rows += [(100, "https://few.org/1", "<p>same</p><p>one</p>"), (101, "https://few.org/2", "<p>same</p><p>two</p>"), (102, "https://example.org/x", f"<p>{say(200000)}</p>")]
+    got = _rows(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert {k: got[k].text for k in want} == want
+    assert (got[100].text, got[101].text) == ("same one", "same two") and got[102].n_chars > 900_000
+
+
 # --- 5 WARC ---
 
 
