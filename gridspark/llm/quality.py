@@ -2,13 +2,21 @@
 
 Each line has features of its own and of the lines before and after it; forward-backward gives
 the marginal probability that a line is good, and a document's quality is the marginals' mean
-weighted by line length, put on the probability scale by a logistic calibration. The field is fitted on
-a bounded sample of labelled rows (``TRAIN_DOCS``, by seeded hash), every line taking its
-document's label; counts and scores cover every whole text.
-
-Defined results: a null or empty text scores 0.0; repeated rows give repeated results; labels that
-are null or whose document is missing teach nothing; without any usable label of both kinds every
-text scores 0.5, empty ones 0; other columns are ignored.
+weighted by line length, put on the probability scale by a logistic calibration. Scores cover every
+whole text.
+
+Labels are of documents, those of lines are latent. The field is fitted in turns: at first every line takes
+its document's label; then the marginals of the fit so far relabel lines, so that a bad document's lines are good
+where they look good (never all of them) and a good document's are bad where they clearly look bad
+(never most of it by length). Moves are learned from the second turn on, when lines of both kinds
+follow each other. The sample is bounded:
+at most ``TRAIN_DOCS`` labelled documents, by seeded hash, and ``TRAIN_LINES`` lines of each. One in
+``HELD`` of them is not fitted but calibrates the score.
+
+Defined results: a null or empty text scores 0.0; repeated rows give repeated results, and of rows that
+share a labelled doc_id one teaches; a null doc_id counts as the empty text for ``held_out`` and teaches
+nothing; labels that are null or whose document is missing teach nothing; without any usable label of both
+kinds every text scores 0.5, empty ones 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +30,10 @@ from pyspark.sql import functions as F
 
 from gridspark.llm.common import RangeHash, text_blocks, utf8
 
-#: Labelled rows that the field is fitted on at most (the first by seeded hash).
-TRAIN_DOCS = 3000
+#: Labelled documents that the field is fitted on at most (the first by seeded hash), and lines of each.
+TRAIN_DOCS, TRAIN_LINES = 3000, 2000
+#: One in so many sampled documents calibrates, and turns of relabelling lines.
+HELD, TURNS = 4, 2
 THRESHOLD = 0.7
 
 _KINDS = np.zeros(256, np.int64)
@@ -150,12 +160,44 @@ class Field:
         p = 1 / (1 + np.exp(-(self.scale * np.log(m / (1 - m)) + self.shift)))
         return np.where(np.isnan(p), 0.0, p)
 
-    def fit(self, x: np.ndarray, length: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.1) -> Field:
+    def fit(self, x: np.ndarray, length: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 80, turns: int = TURNS) -> Field:
         if not (0 < y.sum() < len(y)):
             return self
-        self.mean, self.std = x.mean(0), np.maximum(x.std(0), 1e-6)
+        apart = np.arange(len(y)) % HELD == HELD - 1
+        if not (0 < y[apart].sum() < apart.sum() and 0 < y[~apart].sum() < (~apart).sum()):
+            apart[:] = False  # too few to leave any out
+        own, held = (_subset(x, length, first, y, pick) for pick in (~apart, apart if apart.any() else ~apart))
+        self.mean, self.std = own[0].mean(0), np.maximum(own[0].std(0), 1e-6)
+        lines = np.repeat(own[3], np.diff(own[2])).astype(int)
+        for turn in range(turns + 1):
+            self._descend(*own[:3], lines, rounds, turn > 0)
+            if turn < turns:
+                lines = self.relabelled(*own)
+        self._calibrate(*held)
+        return self
+
+    def relabelled(self, x: np.ndarray, length: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Labels of lines by their marginals, as far as the documents' labels allow."""
+        marginal = forward_backward(self.emissions(x), self.move, first)[1][:, 1]
+        lines = np.repeat(y, np.diff(first)).astype(int)
+        for k in range(len(y)):
+            own = slice(first[k], first[k + 1])
+            m = marginal[own]
+            if not len(m):
+                continue
+            if y[k] < 0.5:
+                label = m > 0.5
+                label[m.argmin()] = False
+            else:
+                label = m > 0.1
+                if (label * length[own]).sum() < 0.5 * length[own].sum():
+                    label[:] = True
+            lines[own] = label
+        return lines
+
+    def _descend(self, x: np.ndarray, length: np.ndarray, first: np.ndarray, lines: np.ndarray, rounds: int, moves: bool, rate: float = 0.1) -> None:
+        """Gradient steps (Adam) on the likelihood of the lines' labels; moves stay as they are unless ``moves``."""
         x_ = (x - self.mean) / self.std
-        lines = np.repeat(y, np.diff(first)).astype(float)
         # each text weighs the same, however many lines it has
         weight = np.repeat(1 / np.maximum(np.diff(first), 1), np.diff(first))
         full = np.diff(first) > 0
@@ -163,9 +205,9 @@ class Field:
         inner[first[:-1][full]] = False
         at = np.flatnonzero(inner)
         seen = np.zeros((2, 2))
-        np.add.at(seen, (lines[at].astype(int), lines[at].astype(int)), weight[at])
+        np.add.at(seen, (lines[at - 1], lines[at]), weight[at])
         m, s = np.zeros(len(self.w) + 5), np.zeros(len(self.w) + 5)
-        n = len(y)
+        n = len(first) - 1
         for t in range(1, rounds + 1):
             score = x_ @ self.w + self.b
             _, marginal, pair = forward_backward(np.stack([-score / 2, score / 2], 1), self.move, first)
@@ -173,7 +215,11 @@ class Field:
             g = np.concatenate([x_.T @ error / n + 1e-3 * self.w, [error.sum() / n], (((pair * weight[at][:, None, None]).sum(0) - seen) / n + 1e-2 * self.move).ravel()])
             m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
-            self.w, self.b, self.move = self.w - step[: len(self.w)], self.b - step[len(self.w)], self.move - step[-4:].reshape(2, 2)
+            self.w, self.b = self.w - step[: len(self.w)], self.b - step[len(self.w)]
+            if moves:
+                self.move = self.move - step[-4:].reshape(2, 2)
+
+    def _calibrate(self, x: np.ndarray, length: np.ndarray, first: np.ndarray, y: np.ndarray) -> None:
         raw = np.clip(self.raw_scores(x, length, first), 1e-6, 1 - 1e-6)
         ok = ~np.isnan(raw)
         feature, truth = np.log(raw[ok] / (1 - raw[ok])), y[ok]
@@ -185,7 +231,12 @@ class Field:
             d = np.linalg.solve(h, [(r * feature).sum() + 1e-3 * a, r.sum()])
             a, b = a - np.clip(d[0], -1, 1), b - np.clip(d[1], -1, 1)
         self.scale, self.shift = max(float(a), 0.01), float(b)
-        return self
+
+
+def _subset(x: np.ndarray, length: np.ndarray, first: np.ndarray, y: np.ndarray, pick: np.ndarray) -> tuple:
+    """The texts picked: features, lengths, first lines, labels."""
+    rows = np.repeat(pick, np.diff(first))
+    return x[rows], length[rows], np.concatenate([[0], np.cumsum(np.diff(first)[pick])]), y[pick]
 
 
 def held_out_column():
@@ -202,11 +253,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, seed:
     def lines(batches):
         for b in text_blocks(batches, "text"):
             f, length, first = line_features(*utf8(b.column("text")))
-            rows = [f[first[k] : first[k + 1]].astype(np.float32).tobytes() for k in range(b.num_rows)]
-            sizes = [length[first[k] : first[k + 1]].astype(np.int64).tobytes() for k in range(b.num_rows)]
+            ends = np.minimum(first[1:], first[:-1] + TRAIN_LINES)
+            rows = [f[a:z].astype(np.float32).tobytes() for a, z in zip(first[:-1], ends, strict=True)]
+            sizes = [length[a:z].astype(np.int64).tobytes() for a, z in zip(first[:-1], ends, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), pa.array(rows, pa.binary()), pa.array(sizes, pa.binary())], names=["doc_id", "y", "f", "length"])
 
-    got = texts.mapInArrow(lines, "doc_id long, y int, f binary, length binary").orderBy("doc_id", "length", "f").limit(2 * train_docs).collect()
+    taught = texts.mapInArrow(lines, "doc_id long, y int, f binary, length binary").groupBy("doc_id", "y").agg(F.min(F.struct("length", "f")).alias("l"))
+    got = taught.select("doc_id", "y", "l.*").orderBy("doc_id").collect()  # at most ``train_docs`` rows of ``TRAIN_LINES`` lines
     field = Field(3 * N_FEATURES)
     if not got:
         return field

@@ -1,11 +1,16 @@
 """Secret scans: exact base rules, and a character convolutional network over every other candidate.
 
-The base rules find assignments, access keys and long hex runs. The network reads every other
-token-like run of at least 16 characters that mixes letters and digits, with 24 characters of
-context on each side, and adds it where the calibrated probability passes a threshold chosen on
-held-out labelled findings so that at least ``RECALL`` of true secrets stay. The labelled findings
-are generated from public credential formats and from look-alikes (identifiers, dates, paths,
-numbers, pseudo-words); training is seeded and takes seconds on the driver.
+The base rules find assignments, access keys and long hex runs. Candidates of the network are all runs
+of at least 16 token characters and those of 12 to 15 that hold a letter and a digit, less what
+overlaps a base finding: that is found already and always stays.
+It reads a candidate whole, in windows of ``LENGTH`` characters that overlap by half where it is
+longer, with ``CONTEXT`` characters on each side; the highest probability counts, and candidates are
+added where it passes the threshold.
+
+Training findings are generated from public credential formats and from look-alikes (identifiers, dates,
+paths, numbers, pseudo-words). Calibration and threshold come from labelled findings of other formats, which the
+network has not seen: the threshold is the highest that keeps ``RECALL`` of their secrets. Training is
+seeded and takes seconds on the driver.
 
 Defined results: a null text is empty and has no findings; repeated rows give repeated results;
 other columns are ignored.
@@ -29,13 +34,13 @@ from gridspark.llm.common import text_blocks, utf8
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-_TOKEN = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}")
+_TOKEN = re.compile(rb"[A-Za-z0-9+/_.=-]{12,}")
+#: Runs of so many token characters are candidates whatever they hold; shorter ones need a letter and a digit.
+SURE, LEAST = 16, 12
 KINDS = ("assign", "access", "hex", "model")
 CONTEXT = 24
 LENGTH = 64
 RECALL = 0.97
-#: Even a recall-constrained threshold may not fall below this probability: clean text stays clean.
-FLOOR = 0.5
 _HEX_BYTES = np.zeros(256, bool)
 _HEX_BYTES[list(b"0123456789abcdef")] = True
 _TOKEN_BYTES = np.zeros(256, bool)
@@ -52,13 +57,18 @@ _N_CLASSES = int(_CLASSES.max()) + 1
 _WIDTH = 5
 
 
+def _windows(start: int, end: int) -> list[tuple[int, int]]:
+    """A candidate in windows of ``LENGTH`` characters, the last one at its end."""
+    if end - start <= LENGTH:
+        return [(start, end)]
+    return [(a, a + LENGTH) for a in [*range(start, end - LENGTH, LENGTH // 2), end - LENGTH]]
+
+
 def _encode(texts: list[bytes], starts: list[int], ends: list[int]) -> np.ndarray:
-    """Class ids of (context, candidate, context), two planes: the id, doubled for the candidate's own characters."""
+    """Class ids of (context, window, context); the window's own characters have ids of their own."""
     out = np.zeros((len(texts), 2 * CONTEXT + LENGTH), np.int64)
     for k, (t, a, z) in enumerate(zip(texts, starts, ends, strict=True)):
         left, body, right = t[max(0, a - CONTEXT) : a], t[a:z], t[z : z + CONTEXT]
-        if len(body) > LENGTH:
-            body = body[: LENGTH // 2] + body[-LENGTH // 2 :]
         out[k, CONTEXT - len(left) : CONTEXT] = _CLASSES[np.frombuffer(left, np.uint8)]
         out[k, CONTEXT : CONTEXT + len(body)] = _CLASSES[np.frombuffer(body, np.uint8)] + _N_CLASSES
         out[k, CONTEXT + len(body) : CONTEXT + len(body) + len(right)] = _CLASSES[np.frombuffer(right, np.uint8)]
@@ -77,7 +87,7 @@ class CharNet:
             "o": rng.normal(0, 0.1, 2 * filters),
             "d": np.zeros(1),
         }
-        self.scale, self.shift, self.threshold = 1.0, 0.0, FLOOR
+        self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
 
     def forward(self, x: np.ndarray):
         e = self.w["e"][x]
@@ -94,6 +104,15 @@ class CharNet:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) * self.scale + self.shift, -40, 40)))
 
+    def of_candidates(self, found: list[tuple[bytes, int, int]]) -> np.ndarray:
+        """The probability of each candidate (text, start, end): that of its likeliest window."""
+        out = np.zeros(len(found))
+        cut = [(k, t, a, z) for k, (t, start, end) in enumerate(found) for a, z in _windows(start, end)]
+        for i in range(0, len(cut), 256):
+            k, texts, starts, ends = zip(*cut[i : i + 256], strict=True)
+            np.maximum.at(out, np.array(k), self.probability(_encode(texts, starts, ends)))
+        return out
+
     def step(self, x: np.ndarray, y: np.ndarray, state: dict, rate: float) -> None:
         logit, (x, cols, z, top, pooled, n) = self.forward(x)
         g = (1 / (1 + np.exp(-logit)) - y) / len(y)
@@ -123,90 +142,88 @@ class CharNet:
 _SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ción que ment ung sch ver keit".split()
 
 
-def findings(n: int, seed: int) -> list[tuple[bytes, int, int, int]]:
-    """Labelled findings (text, start, end, is secret) made from public credential formats and look-alikes."""
+_ONSETS = "b br ch d dr f fl g gr h j k kl l m n p pr qu r s sch sh sp st t th tr v w z".split()
+_CODAS = ["", "", "", *"ch ck ft l ll m n nd ng nt r rn rt s ss st t tz x".split()]
+
+
+def findings(n: int, seed: int, other: bool = False) -> list[tuple[bytes, int, int, int]]:
+    """Labelled findings (text, start, end, is secret) made from public credential formats and look-alikes.
+
+    ``other``: formats, look-alikes and surroundings that the first kind has none of.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda chars, k: "".join(rng.choice(list(chars), k))
-    word = lambda k=3: "".join(rng.choice(_SYLLABLES, rng.integers(1, k + 1)))
-    mixed = string.ascii_letters + string.digits
-
-    def secret() -> str:
-        kind = rng.integers(0, 8)
-        if kind == 0:
-            return "ghp_" + pick(mixed, 36)
-        if kind == 1:
-            return "sk_live_" + pick(mixed, 24)
-        if kind == 2:
-            return "eyJ" + pick(mixed + "_-", 30) + "." + pick(mixed + "_-", 40)
-        if kind == 3:
-            return base64.b64encode(rng.bytes(int(rng.integers(18, 48)))).decode()
-        if kind == 4:
-            return "xoxb-" + pick(string.digits, 12) + "-" + pick(mixed, 24)
-        if kind == 5:
-            return rng.bytes(int(rng.integers(12, 33))).hex().upper()
-        if kind == 6:
-            return "AIza" + pick(mixed + "_-", 35)
-        return pick(mixed, int(rng.integers(20, 48)))
-
-    def plain() -> str:
-        kind = rng.integers(0, 9)
-        if kind == 0:
-            return pick(string.digits, int(rng.integers(16, 24)))
-        if kind == 1:
-            return f"{word()}.{rng.integers(1, 99)}.{word()}{rng.integers(1, 99)}.example.com"
-        if kind == 2:
-            return f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}.{rng.integers(10, 24)}.{rng.integers(10, 60)}"
-        if kind == 3:
-            return "_".join(word() for _ in range(rng.integers(3, 6))) + str(rng.integers(1, 999))
-        if kind == 4:
-            return "/" + "/".join(word() for _ in range(rng.integers(3, 6))) + f"/{rng.integers(1, 9999)}.html"
-        if kind == 5:
-            return word(8).capitalize() + word(8) + str(rng.integers(1, 99))
-        if kind == 6:
-            h = rng.bytes(16).hex()
-            return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"
-        if kind == 7:
-            return f"{word(4)}-{word(4)}-{word(4)}-{rng.integers(1, 9999)}"
-        return "+".join(str(rng.integers(100, 99999)) for _ in range(4)) + word()
-
+    spoken = lambda: str(rng.choice(_ONSETS) + rng.choice(list("aeiou")) + rng.choice(_CODAS))
+    syllable = lambda: str(rng.choice(_SYLLABLES)) if rng.random() < 0.5 else spoken()
+    word = lambda k=3: "".join(syllable() for _ in range(rng.integers(1, k + 1)))
+    long = lambda low, high: "".join(syllable() for _ in range(12))[: some(low, high)]
+    some = lambda low, high: int(rng.integers(low, high))
+    mixed, lower = string.ascii_letters + string.digits, string.ascii_lowercase + string.digits
+    if other:
+        secrets = [
+            lambda: "glpat-" + pick(mixed, 20), lambda: "SG." + pick(mixed, 22) + "." + pick(mixed, 43), lambda: "npm_" + pick(mixed, 36), lambda: "pk_test_" + pick(mixed, 24),
+            lambda: "hvs." + pick(mixed, 24), lambda: pick(lower, some(24, 40)), lambda: pick(string.ascii_uppercase + "234567", 32), lambda: base64.urlsafe_b64encode(rng.bytes(some(16, 80))).decode(),
+            lambda: pick(mixed, some(14, 20)),
+        ]
+        plains = [
+            lambda: f"10.{some(1000, 9999)}/{word()}.{some(1, 9999)}", lambda: f"{word(4)}{word(4)}{word(4)}{word(4)}", lambda: f"{some(1, 255)}.{some(1, 255)}.{some(1, 255)}.{some(1, 255)}/{some(1, 30)}",
+            lambda: f"{word().capitalize()}{word().capitalize()}{word().capitalize()}Error{some(1, 9)}", lambda: f"v{some(1, 20)}.{some(1, 20)}.{some(1, 20)}-{word()}.{some(1, 9)}", lambda: f"{word()}_{some(1990, 2030)}_{some(10, 13)}_{some(10, 29)}.csv",
+            lambda: "-" * some(16, 60), lambda: f"{word(5)}-{word(5)}-{word(5)}", lambda: f"+{some(10, 99)}-{some(100, 999)}-{some(100, 999)}-{some(1000, 9999)}", lambda: "=".join(word() for _ in range(5)), lambda: f"/{word()}/{word()}/{word()}_{word()}.{word(1)}",
+            lambda: long(16, 30), lambda: long(16, 20).upper() + ".", lambda: long(16, 20).capitalize() + "-" + word(),
+        ]
+        leads = [" use ", " bearer=", " (", " X-Auth ", " id ", " see ", " file "]
+    else:
+        secrets = [
+            lambda: "ghp_" + pick(mixed, 36), lambda: "sk_live_" + pick(mixed, 24), lambda: "eyJ" + pick(mixed + "_-", 30) + "." + pick(mixed + "_-", 40), lambda: base64.b64encode(rng.bytes(some(18, 48))).decode(),
+            lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(mixed, 24), lambda: rng.bytes(some(12, 33)).hex().upper(), lambda: "AIza" + pick(mixed + "_-", 35), lambda: pick(mixed, some(13, 48)), lambda: pick(lower, some(16, 40)),
+        ]
+        plains = [
+            lambda: pick(string.digits, some(14, 24)), lambda: f"{word()}.{some(1, 99)}.{word()}{some(1, 99)}.example.com", lambda: f"{some(1990, 2030)}-{some(10, 13)}-{some(10, 29)}.{some(10, 24)}.{some(10, 60)}",
+            lambda: "_".join(word() for _ in range(some(3, 6))) + str(some(1, 999)), lambda: "/" + "/".join(word() for _ in range(some(3, 6))) + f"/{some(1, 9999)}.html", lambda: word(8).capitalize() + word(8) + str(some(1, 99)),
+            lambda: (lambda h: f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}")(rng.bytes(16).hex()), lambda: f"{word(4)}-{word(4)}-{word(4)}-{some(1, 9999)}", lambda: "+".join(str(some(100, 99999)) for _ in range(4)) + word(),
+            lambda: "".join(word(4) for _ in range(5)), lambda: str(rng.choice(list("-=_."))) * some(12, 80), lambda: word() + "." * some(3, 8) + word(6), lambda: "".join(word(2).capitalize() for _ in range(some(4, 7))),
+            lambda: long(16, 24), lambda: long(16, 24).upper(), lambda: long(16, 24).capitalize(),
+        ]
+        leads = [" key ", " Authorization: Bearer ", " export AUTH", " credential: ", ' "id": "', " pwd ", " https:"]
     out = []
     for _ in range(n):
-        y = int(rng.integers(0, 2))
-        body = secret() if y else plain()
-        while len(body) < 16:
+        y = some(0, 2)
+        kinds = secrets if y else plains
+        body = kinds[some(0, len(kinds))]()
+        while len(body) < LEAST:
             body += pick(mixed if y else string.digits, 4)
-        left, right = (" ".join(word() for _ in range(rng.integers(0, 7))) for _ in range(2))
+        left, right = (" ".join(word() for _ in range(some(0, 7))) for _ in range(2))
         if rng.random() < 0.3:
-            left += str(rng.choice([" key ", " Authorization: Bearer ", " export AUTH", " credential: ", ' "id": "', " pwd ", " https:"]))
-        text = (left + " " + body + " " + right).encode()
+            left += str(rng.choice(leads))
         at = len((left + " ").encode())
-        out.append((text, at, at + len(body.encode()), y))
+        out.append((f"{left} {body} {right}".encode(), at, at + len(body.encode()), y))
     return out
 
 
 @functools.lru_cache(maxsize=2)
-def trained(seed: int = 5, n: int = 2400, epochs: int = 8) -> CharNet:
-    """The network fitted on generated findings, Platt-scaled and thresholded on a held-out third."""
+def trained(seed: int = 5, n: int = 2400, epochs: int = 10) -> CharNet:
+    """The network fitted on generated findings, Platt-scaled and thresholded on those of other formats."""
     rows = findings(n, seed)
-    x = _encode([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+    # one window of a long finding teaches, its first
+    x = _encode(*zip(*((t, *_windows(a, z)[0]) for t, a, z, _ in rows), strict=True))
     y = np.array([r[3] for r in rows], float)
-    cut = 2 * n // 3
     net, state, rng = CharNet(seed), {}, np.random.default_rng(seed)
     for epoch in range(epochs):
-        order = rng.permutation(cut)
-        for i in range(0, cut, 64):
+        order = rng.permutation(n)
+        for i in range(0, n, 64):
             net.step(x[order[i : i + 64]], y[order[i : i + 64]], state, 0.01 if epoch < epochs - 2 else 0.002)
-    held, truth = net.logits(x[cut:]), y[cut:]
+    held = findings(n // 2, seed + 1, other=True)
+    truth = np.array([r[3] for r in held], float)
+    p = np.clip(net.of_candidates([r[:3] for r in held]), 1e-9, 1 - 1e-9)
+    logit = np.log(p / (1 - p))
     a, b = 1.0, 0.0
     for _ in range(400):
-        p = 1 / (1 + np.exp(-np.clip(a * held + b, -40, 40)))
-        a -= 0.1 * (((p - truth) * held).mean() + 0.01 * (a - 1))
+        p = 1 / (1 + np.exp(-np.clip(a * logit + b, -40, 40)))
+        a -= 0.1 * (((p - truth) * logit).mean() + 0.01 * (a - 1))
         b -= 0.1 * (p - truth).mean()
     net.scale, net.shift = float(a), float(b)
-    p = net.probability(x[cut:])
-    # no higher than recall allows, and no higher than it takes to pass over the held-out look-alikes
-    clean = float(p[truth == 0].max()) + 0.01
-    net.threshold = max(FLOOR, min(clean, float(np.quantile(p[truth == 1], 1 - RECALL))))
+    secret = net.of_candidates([r[:3] for r in held])[truth == 1]
+    net.threshold = float(np.quantile(secret, 1 - RECALL))
     return net
 
 
@@ -242,30 +259,25 @@ def scan_batch(b: pa.RecordBatch, net: CharNet) -> list[list[tuple[int, int, int
     data = raw.tobytes()
     of = lambda at: np.unique(np.searchsorted(offsets, at, side="right") - 1).tolist()
     hexed = set(of(_runs(_HEX_BYTES[raw], 24)))
-    tokened = of(_runs(_TOKEN_BYTES[raw], 16))
+    tokened = of(_runs(_TOKEN_BYTES[raw], LEAST))
     assigned = set(of(np.flatnonzero((raw == 58) | (raw == 61))))
     access = b"AKIA" in data
     spans: list[list] = [[] for _ in range(b.num_rows)]
     for k in sorted(hexed | assigned) if not access else range(b.num_rows):
         spans[k] = base_spans(data[offsets[k] : offsets[k + 1]])
-    texts, starts, ends, rows = [], [], [], []
+    found, rows = [], []
     for k in tokened:
         text, taken = data[offsets[k] : offsets[k + 1]], spans[k]
         for m in _TOKEN.finditer(text):
             body = m.group()
-            if not (any(48 <= c <= 57 for c in body) and body.upper() != body.lower()):
+            if len(body) < SURE and not (any(48 <= c <= 57 for c in body) and body.upper() != body.lower()):
                 continue
             if any(s < m.end() and m.start() < e for s, _, e in taken):
                 continue
-            texts.append(text)
-            starts.append(m.start())
-            ends.append(m.end())
+            found.append((text, m.start(), m.end()))
             rows.append(k)
-    for i in range(0, len(texts), 256):
-        part = slice(i, i + 256)
-        p = net.probability(_encode(texts[part], starts[part], ends[part]))
-        for j in np.flatnonzero(p >= net.threshold).tolist():
-            spans[rows[i + j]].append((starts[i + j], 3, ends[i + j]))
+    for j in np.flatnonzero(net.of_candidates(found) >= net.threshold).tolist():
+        spans[rows[j]].append((found[j][1], 3, found[j][2]))
     return spans
 
 
