@@ -7,7 +7,8 @@ block selects windows, which are then compared byte by byte. Many lanes of a tex
 step, so the scan stays vectorised.
 
 Defined results: a null text has no words; an item without words never occurs; a repeated item
-counts once per distinct ``item_id``; an empty benchmark hits nothing; other columns are ignored.
+counts once per distinct ``item_id``; items without an id are one item, listed as the empty string; an
+empty benchmark hits nothing; rows of documents that repeat give a row each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import BLOCK_BYTES, mix64, stash, text_blocks, utf8
 
 WINDOW = 8
-#: Benchmark rows that one pass over the documents searches for; more rows are more passes.
-ITEMS_A_PASS = 20_000
+#: Benchmark rows and bytes of their texts that one pass over the documents searches for, about; more are more passes.
+ITEMS_A_PASS, BYTES_A_PASS = 20_000, 32 << 20
 TABLE_BITS = 20
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -164,9 +165,10 @@ def _digests(b: pa.RecordBatch, size: int, n_words, starts, ends, ids) -> pa.Rec
 
 
 def _passes(benchmark: DataFrame, items_a_pass: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark in parts of about ``items_a_pass`` rows; only one part is on the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL").distinct()
-    passes = max(1, -(-items.count() // items_a_pass))
+    """The benchmark in parts of about ``items_a_pass`` rows and ``BYTES_A_PASS`` bytes; only one part is on the driver at a time."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
+    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(1, -(-rows // items_a_pass), -(-size // BYTES_A_PASS))
     for k in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         yield passes, sorted(((r[0], r[1] or "") for r in part.collect()))

@@ -5,8 +5,9 @@ Every source gets a target in words; blocks of equal size go to sources by highe
 shard whole passes come first and then documents in a seeded order until the quota is spent.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is a source of its
-own, after all others; repeated rows each count; an empty table gives an empty result; columns
-other than ``doc_id``, ``text`` and ``source`` are ignored.
+own, after all others; repeated rows each count and each take their own share; an empty table gives an
+empty result; columns other than ``doc_id``, ``text`` and ``source`` are ignored, and in a mixture a column
+``taken`` is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from gridspark.llm.common import stash
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a shard, on average; bounds what one window partition sorts.
 SHARD_DOCS = 2000
-#: Words of a block; blocks become larger once a corpus has more than MAX_BLOCKS of them.
+#: Words of a block.
 BLOCK_WORDS = 64
 SEED = 11
 
@@ -116,10 +117,22 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple = (3, 1, 2), most: f
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with its columns kept and ``taken`` added: how often and how far each document is used."""
-    key = lambda df: df.groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
-    taken = key(mix(docs, **how)).withColumnRenamed("doc_id", "__id").withColumnRenamed("size", "__size")
+    taken = stash(mix(docs, **how).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "taken"), "taken")
+    docs = docs.drop("taken")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (size == F.col("__size"))).drop("__id", "__size")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (size == F.col("__size"))
+    twice = stash(taken.groupBy(F.col("__id").alias("__of"), F.col("__size").alias("__long")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "taken-twice")
+    if not twice.limit(1).count():
+        return docs.join(taken, same).drop("__id", "__size")
+    # rows that share an id and a size are numbered on both sides, so that each gets one share
+    number = lambda *by: F.row_number().over(Window.partitionBy("__id", "__size").orderBy(*by))
+    again = F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__long"))
+    sized = docs.withColumns({"__id": F.col("doc_id"), "__size": size})
+    once = sized.join(twice, again, "left_anti").drop("__id", "__size").join(taken.join(twice, again, "left_anti"), same).drop("__id", "__size")
+    rows = sized.join(twice, again, "left_semi").withColumn("__n", number(F.xxhash64("text", "source")))
+    shares = taken.join(twice, again, "left_semi").withColumn("__m", number("taken")).select(F.col("__id").alias("__of"), F.col("__size").alias("__long"), "__m", "taken")
+    numbered = rows.join(shares, again & (F.col("__n") == F.col("__m"))).drop("__id", "__size", "__of", "__long", "__n", "__m")
+    return once.unionByName(numbered)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -356,7 +356,7 @@ def _contamination(docs, items, size=8):
     for i, t in items:
         w = low(t)
         for k in range(max(1, len(w) - size + 1) if w else 0):
-            windows[tuple(w[k : k + size])].add(str(i))
+            windows[tuple(w[k : k + size])].add("" if i is None else str(i))
     out = []
     for t in docs:
         w, hit, ids = low(t), set(), set()
@@ -374,7 +374,7 @@ def test_decontamination_against_brute_force(spark, a_pass):
     rng = random.Random(2)
     words = ["a", "bb", "the", "Ärger", "x1", "zzz"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 60))) for _ in range(40)] + [None, "", "!!", "a"]
-    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate([1, 2, 3, 7, 8, 9, 12, 15])] + [(50, None), (51, "..."), (52, texts[0])] + [(60, texts[1].upper()), (60, texts[1])]
+    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate([1, 2, 3, 7, 8, 9, 12, 15])] + [(None, "a the bb"), (None, "x1 zzz x1")] + [(50, None), (51, "..."), (52, texts[0])] + [(60, texts[1].upper()), (60, texts[1])]
     d = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, n_hit int")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = _rows(decontamination.contamination(d, b, items_a_pass=a_pass))
@@ -465,6 +465,14 @@ def test_mixing_targets_and_odd_rows(spark, odd):
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mixture(odd).columns == [*odd.columns, "taken"]
 
 
+def test_mixture_shares_of_repeated_rows(spark, odd):
+    again = odd.unionByName(odd).unionByName(odd.where("doc_id = 3")).withColumn("taken", F.lit("x"))
+    out, shares = mixing.mixture(again), mixing.mix(again)
+    assert out.columns == again.columns and out.count() == again.count()
+    totals = lambda df: sorted((str(r[0]), r[1]) for r in df.groupBy("doc_id").agg(F.sum("taken")).collect())
+    assert totals(out) == totals(shares)
+
+
 def test_sainte_lague_against_the_definition(spark):
     from pyspark.sql import functions as F
 
@@ -692,3 +700,15 @@ def test_pipeline_keeps_schema_and_takes_effect(spark):
         n = docs.count()
     assert n > 50 and os.path.exists(SF)
     assert corpus_pipeline.run(spark, SF).count() == n
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd):
+    import corpus_pipeline
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert quality.keep_good(odd.limit(0), quality.fit(odd, labels)).count() == 0
+    for docs in (odd, odd.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:]):
+            got = common.stash(stage(spark, docs, SF), "test")
+            assert got.columns == (docs.columns if k + 2 < len(corpus_pipeline.STAGES) else [*docs.columns, "taken"])
+            docs = got
