@@ -24,32 +24,45 @@ def cell_index(x: Column, start: float, stop: float, size: int) -> Column:
     return F.least(F.greatest(raw, F.lit(0)), F.lit(size - 1)).cast("long")
 
 
-def longitude_region(region=None):
-    """(region in its chosen convention, whether that is 0..360): the driver's half of longitude continuity."""
-    w, e, s, n = (float(v) for v in region)
-    for v in (w, e):
-        if not -180 <= v <= 360:
-            raise ValueError(f"Longitude {v} is outside of -180..360")
-    for v in (s, n):
-        if not -90 <= v <= 90:
-            raise ValueError(f"Latitude {v} is outside of -90..90")
-    if s > n:
-        raise ValueError(f"South is beyond north in region {region}")
-    if abs(e - w) > 360:
-        raise ValueError(f"East and west are more than 360 degrees apart: {region}")
+def longitude_region(region):
+    """(region in its chosen convention, whether that is 0..360): the driver's half of longitude continuity.
+
+    The convention is 0..360, unless the region would be torn apart there because it holds the
+    zero meridian; a full circle is 0..360 whatever its ends.
+    """
+    w, e, s, n = map(float, region)
+    rules = {
+        "Longitudes lie in -180..360": -180 <= min(w, e) and max(w, e) <= 360,
+        "Latitudes lie in -90..90": -90 <= min(s, n) and max(s, n) <= 90,
+        "South is not beyond north": s <= n,
+        "East and west are 360 degrees apart at most": abs(e - w) <= 360,
+    }
+    for rule, holds in rules.items():
+        if not holds:
+            raise ValueError(f"{rule}, not in {region}")
     if math.isclose(abs(e - w), 360):
         return (0.0, 360.0, s, n), True
-    w, e = w % 360, e % 360
-    if w > e:
-        e = (e + 180) % 360 - 180
-        w = (w + 180) % 360 - 180
-        return (w, e, s, n), False
-    return (w, e, s, n), True
+    torn = w % 360 > e % 360
+    least = -180.0 if torn else 0.0
+    return (*((v - least) % 360 + least for v in (w, e)), s, n), not torn
+
+
+def _within(x: Column, low: float, high: float, what: str, value: Column) -> Column:
+    """``value``, and an error in the row where ``x`` is outside of a range (null and nan pass)."""
+    fine = x.isNull() | F.isnan(x) | x.between(low, high)
+    return F.when(fine, value).otherwise(F.raise_error(F.concat(F.lit(f"{what} outside of {low:g}..{high:g}: "), x.cast("string"))).cast("double"))
 
 
 def wrap_longitude(lon: Column, positive: bool) -> Column:
-    """Longitudes in 0..360 or in -180..180 (end excluded)."""
-    return F.pmod(lon, F.lit(360.0)) if positive else F.pmod(lon + 180.0, F.lit(360.0)) - 180.0
+    """Longitudes in 0..360 or in -180..180 (end excluded); those outside of -180..360 are an error."""
+    lon = lon.cast("double")
+    least = F.lit(0.0 if positive else -180.0)
+    return _within(lon, -180, 360, "Longitude", F.pmod(lon - least, F.lit(360.0)) + least)
+
+
+def checked_latitude(lat: Column) -> Column:
+    """Latitudes as they are; those outside of -90..90 are an error."""
+    return _within(lat.cast("double"), -90, 90, "Latitude", lat.cast("double"))
 
 
 def checkerboard(e: Column, n: Column, amplitude: float, w_east: float, w_north: float) -> Column:

@@ -57,7 +57,8 @@ def convex_hull(df: DataFrame, coords=("easting", "northing")) -> list[tuple[flo
 
     points = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(coords, "en", strict=False)]).where("e IS NOT NULL AND n IS NOT NULL")
     hulls = points.mapInArrow(partial, schema)
-    merged = hulls.coalesce(16).mapInArrow(partial, schema).coalesce(1).mapInArrow(partial, schema)
+    # an exchange before each merge: hulls are made where the points are, and only their corners move
+    merged = hulls.repartition(16).mapInArrow(partial, schema).repartition(1).mapInArrow(partial, schema)
     return monotone_chain([(r["e"], r["n"]) for r in merged.collect()])
 
 

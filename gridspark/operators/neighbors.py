@@ -86,9 +86,9 @@ def median_distance(df: DataFrame, k_nearest: int = 1, id_col: str = "point_id",
 def within_distance(targets: DataFrame, points: DataFrame, maxdist: float, keys, target_coords=("easting", "northing"), point_coords=("easting", "northing")) -> DataFrame:
     """``targets`` with ``mask``: is a point no farther than ``maxdist``?
 
-    Points go to the cells (of that width) around them, once per cell, and meet targets by cell:
-    an equi-join. Points of one cell that many targets share are the only hot spot, and those are
-    thinned to a cell's distinct positions first.
+    A cell whose diagonal is ``maxdist`` decides for all its targets when it holds a point, and only whether
+    it does is joined. Targets in cells without one, the rim and the empty space, meet the distinct positions
+    of points in wider cells around them: an equi-join that crowded cells take no part in but for their rim.
     """
     if maxdist <= 0:
         raise ValueError(f"maxdist is positive, not {maxdist}")
@@ -96,7 +96,11 @@ def within_distance(targets: DataFrame, points: DataFrame, maxdist: float, keys,
     spots = points.select(*[F.col(c).cast("double").alias(n) for c, n in zip(point_coords, ("__pe", "__pn"), strict=False)]).where("__pe IS NOT NULL AND __pn IS NOT NULL").distinct()
     spots = spots.withColumn("__x", F.explode(_cells("__pe", reach, 1))).withColumn("__y", F.explode(_cells("__pn", reach, 1)))
     asked = targets.select(*keys, *[F.col(c).cast("double").alias(n) for c, n in zip(target_coords, ("__qe", "__qn"), strict=False)])
-    asked = asked.withColumns({"__x": _cells("__qe", reach), "__y": _cells("__qn", reach)})
+    inner = reach * math.sqrt(0.5) * (1 - 1e-12)
+    full = points.select(_cells(point_coords[0], inner).alias("__fx"), _cells(point_coords[1], inner).alias("__fy")).distinct().withColumn("__full", F.lit(True))
+    asked = asked.withColumns({"__fx": _cells("__qe", inner), "__fy": _cells("__qn", inner)}).join(full, ["__fx", "__fy"], "left").drop("__fx", "__fy")
+    sure = asked.where("__full").select(*keys)
+    asked = asked.where("__full IS NULL").withColumns({"__x": _cells("__qe", reach), "__y": _cells("__qn", reach)})
     hit = F.hypot(F.col("__pe") - F.col("__qe"), F.col("__pn") - F.col("__qn")) <= reach
-    hits = asked.join(spots, ["__x", "__y"]).where(hit).select(*keys).distinct().withColumn("__hit", F.lit(True))
+    hits = asked.join(spots, ["__x", "__y"]).where(hit).select(*keys).unionByName(sure).distinct().withColumn("__hit", F.lit(True))
     return targets.join(hits, list(keys), "left").withColumn("mask", F.coalesce("__hit", F.lit(False))).drop("__hit")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from abc import ABC, abstractmethod
 from dataclasses import dataclass
 
@@ -41,11 +42,13 @@ class FittedGridder(ABC):
         df = self.transform(frame.df, frame.coords, predicted)
         return frame.on(df.withColumns({d: F.col(d) - F.col(p) for d, p in zip(frame.data, predicted, strict=True)}).drop(*predicted))
 
-    def score(self, frame: SpatialFrame, scoring: str | None = None) -> float:
-        """R squared by default, averaged over components."""
+    def score(self, frame: SpatialFrame, scoring: str | Callable | None = None) -> float:
+        """R squared by default, averaged over components; a function gets the fitted gridder and the frame."""
         if scoring is None:
             warnings.warn("The default score will become the negative root mean squared error", FutureWarning, stacklevel=2)
             scoring = "r2"
+        if callable(scoring):
+            return float(scoring(self, frame))
         predicted = [f"__p{k}" for k in range(len(frame.data))]
         return metric(self.transform(frame.clean(), frame.coords, predicted), scoring, frame.data, predicted, frame.weights)
 

@@ -260,5 +260,8 @@ class ScipyGridder(Gridder):
         kinds = {"linear": Linear, "nearest": KNeighbors, "cubic": Cubic}
         if self.method not in kinds:
             raise ValueError(f"Invalid interpolation method {self.method!r}; known: {sorted(kinds)}")
-        args = {k: v for k, v in (self.extra_args or {}).items() if k == "rescale" and self.method != "nearest"}
+        args = dict(self.extra_args or {})
+        known = {"rescale"} if self.method != "nearest" else set()
+        if unknown := sorted(set(args) - known):
+            raise ValueError(f"{self.method!r} takes no {unknown}; known: {sorted(known)}")
         return kinds[self.method](**args).fit(frame)

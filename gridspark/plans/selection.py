@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import warnings
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,7 @@ from gridspark.operators.blocks import block_split
 from gridspark.plans.base import Gridder, region_of
 from gridspark.plans.solve import Moments, metric
 from gridspark.plans.trend import FittedTrend, Trend
+from gridspark.scratch import settle
 from gridspark.spec import SpatialFrame
 
 
@@ -23,9 +25,11 @@ def partition_by_sum(values, parts: int) -> np.ndarray:
     values = np.ravel(values)
     if parts > values.size:
         raise ValueError(f"{values.size} values can't make {parts} parts")
+    # a cut comes after all values whose running sum is within so many whole shares
     running = np.cumsum(values)
-    cuts = np.searchsorted(running, np.arange(1, parts) * (running[-1] // parts), side="right")
-    if len(set(cuts.tolist())) < len(cuts):
+    share = running[-1] // parts
+    cuts = np.array([np.count_nonzero(running <= k * share) for k in range(1, parts)], int)
+    if (np.diff(cuts) == 0).any():
         raise ValueError(f"No cut of the values gives {parts} parts of about equal sum")
     return cuts
 
@@ -127,6 +131,11 @@ class BlockKFold(BlockCrossValidator):
         return [blocks[order[f]] for f in folds]
 
 
+def dealt(keys, seed: int | None = None):
+    """A number in 0..2 ** 28 - 1 from an md5 of the keys: the same in every engine, for any number of rows."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed or 0)), *[F.col(k).cast("string") for k in keys])), 1, 7), 16, 10).cast("long")
+
+
 @dataclass(frozen=True)
 class KFold:
     """Folds of points by their dense rank in the order of ``id_col`` (or of the coordinates).
@@ -144,7 +153,7 @@ class KFold:
     def fold(self, df: DataFrame, coords=("easting", "northing")) -> DataFrame:
         keys = [self.id_col] if self.id_col else list(coords)
         if self.hashed:
-            return df.withColumn("fold", F.pmod(F.xxhash64(*keys, F.lit(self.random_state or 0)), F.lit(self.n_splits)).cast("int"))
+            return df.withColumn("fold", (dealt(keys, self.random_state) % self.n_splits).cast("int"))
         n = df.count()
         if self.n_splits > n:
             raise ValueError(f"{n} points can't make {self.n_splits} folds")
@@ -166,8 +175,6 @@ def with_rank(df: DataFrame, keys) -> DataFrame:
 
     Range partitions are sorted and counted; a running sum over the few partition counts gives offsets.
     """
-    from gridspark.scratch import settle
-
     parts = settle(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()))
     counts = parts.groupBy("__part").count()
     offsets = counts.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__offset"))
@@ -182,11 +189,21 @@ def with_lookup(df: DataFrame, keys, values: list, name: str) -> DataFrame:
     return with_rank(df, keys).join(table, "__rank").drop("__rank")
 
 
-def train_test_split(frame: SpatialFrame, spacing=None, shape=None, test_size=0.1, train_size=None, random_state=None, id_col=None, **how) -> tuple[SpatialFrame, SpatialFrame]:
-    """(train, test): random points, or random blocks of points if spacing or shape is given."""
+def train_test_split(frame: SpatialFrame, spacing=None, shape=None, test_size=0.1, train_size=None, random_state=None, id_col=None, hashed=False, **how) -> tuple[SpatialFrame, SpatialFrame]:
+    """(train, test): random points, or random blocks of points if spacing or shape is given.
+
+    Exact draws of points need the number of rows on the driver; ``hashed`` deals each point by a hash of
+    its id (or coordinates) instead, so that the shares hold on average, for any number.
+    """
     if spacing is not None or shape is not None:
         cv = BlockShuffleSplit(spacing, shape, 1, test_size, train_size, random_state, **how)
         train, test = cv.splits(frame.df, frame.coords)[0]
+    elif hashed:
+        place = dealt([id_col] if id_col else list(frame.coords), random_state) / F.lit(float(1 << 28))
+        last = 1.0 if train_size is None else test_size + train_size
+        if not (0 < test_size < last <= 1):
+            raise ValueError(f"Hashed shares are fractions, not {test_size} to test and {train_size} to train")
+        train, test = frame.df.where((place >= test_size) & (place < last)), frame.df.where(place < test_size)
     else:
         n = frame.df.count()
         role = np.zeros(n, int)
@@ -197,9 +214,35 @@ def train_test_split(frame: SpatialFrame, spacing=None, shape=None, test_size=0.
     return frame.on(train), frame.on(test)
 
 
-def cross_val_score(gridder: Gridder, frame: SpatialFrame, cv=None, scoring: str | None = None, delayed: bool = False):
+#: Rows that a splitter by positions may see: their coordinates are on the driver.
+MAX_POSITIONS = 1_000_000
+
+
+def index_splits(cv, df: DataFrame, coords=("easting", "northing")) -> list[tuple[DataFrame, DataFrame]]:
+    """(train, test) DataFrames of ``cv.split(X)``, which gives positions of X's rows: coordinates in their order.
+
+    Such a splitter needs all coordinates on the driver and is refused above ``MAX_POSITIONS`` rows.
+    """
+    ranked = settle(with_rank(df, list(coords[:2])))
+    rows = ranked.select("__rank", *coords[:2]).orderBy("__rank").limit(MAX_POSITIONS + 1).collect()
+    if len(rows) > MAX_POSITIONS:
+        raise ValueError(f"More than {MAX_POSITIONS} rows for a splitter by positions: use KFold(hashed=True) or a block splitter")
+    out = []
+    for train, test in cv.split(np.array([tuple(r)[1:] for r in rows], float)):
+        role = np.zeros(len(rows), int)
+        role[train], role[test] = 1, 2
+        table = df.sparkSession.createDataFrame(list(enumerate(role.tolist())), "__rank long, __role int")
+        marked = ranked.join(table, "__rank").drop("__rank")
+        out.append(tuple(marked.where(F.col("__role") == k).drop("__role") for k in (1, 2)))
+    return out
+
+
+def cross_val_score(gridder: Gridder, frame: SpatialFrame, cv=None, scoring: str | Callable | None = None, delayed: bool = False):
     """Scores of every split: fit on its train part, score on its test part; ``delayed`` gives functions to call.
 
+    ``scoring`` is a name or a function of (fitted gridder, test frame). ``cv`` gives DataFrames
+    (``splits``) or, as other libraries' do, positions of rows (``split``): see ``index_splits``.
+
     Trends over point folds need no fit per fold: the power sums of each fold come from one
     aggregation, and a fold's training sums are the total less its own.
     """
@@ -207,14 +250,15 @@ def cross_val_score(gridder: Gridder, frame: SpatialFrame, cv=None, scoring: str
         warnings.warn("The default score will become the negative root mean squared error", FutureWarning, stacklevel=2)
         scoring = "r2"
     cv = KFold(5, shuffle=True, random_state=0) if cv is None else cv
-    if isinstance(gridder, Trend) and isinstance(cv, KFold) and not delayed:
+    if isinstance(gridder, Trend) and isinstance(cv, KFold) and isinstance(scoring, str) and not delayed:
         return _trend_scores(gridder, frame, cv, scoring)
 
     def run(train, test):
         model = gridder.fit(frame.on(train))
         return model.score(frame.on(test), scoring)
 
-    jobs = [lambda a=a, b=b: run(a, b) for a, b in cv.splits(frame.df, frame.coords)]
+    parts = cv.splits(frame.df, frame.coords) if hasattr(cv, "splits") else index_splits(cv, frame.df, frame.coords)
+    jobs = [lambda a=a, b=b: run(a, b) for a, b in parts]
     return jobs if delayed else np.array([job() for job in jobs])
 
 

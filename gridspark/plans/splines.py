@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +81,9 @@ def _gram(df: DataFrame, columns, matrix, n_params: int, components: int, weight
             yield pa.RecordBatch.from_pydict({"part": [out.tobytes()]}, schema=pa.schema([("part", pa.binary())]))
 
     parts = df.select(*columns).mapInArrow(partial, "part binary")
+    # an exchange before each addition: the partial sums of all tasks are made first, then added in groups
     for width in (64, 8):
-        parts = parts.coalesce(width).mapInArrow(add, "part binary")
+        parts = parts.repartition(width).mapInArrow(add, "part binary")
     sums = sum(np.frombuffer(r["part"], float) for r in parts.collect())
     k = p * p
     return sums[:k].reshape(p, p), sums[k : k + p], sums[k + p : k + 2 * p], sums[k + 2 * p : k + 3 * p], sums[-1]
@@ -176,15 +179,14 @@ class FittedSpline(FittedGridder):
 
 
 def predict_by_join(points: DataFrame, forces: DataFrame, mindist: float, id_col="point_id", coords=("easting", "northing"), name="scalars") -> DataFrame:
-    """Predictions as a join with a table of forces and a sum: all in generated code, any number of forces.
-
-    Few forces are broadcast by the planner; more are a nested-loop product that the planner splits by partitions.
-    """
+    """Predictions as a broadcast join with a table of at most ``MAX_FORCES`` forces and a sum, all in generated code."""
     from gridspark.functions.columns import biharmonic as kernel
 
+    if forces.limit(MAX_FORCES + 1).count() > MAX_FORCES:
+        raise ValueError(f"More than {MAX_FORCES} forces")
     f = forces.select(F.col("easting").alias("__fe"), F.col("northing").alias("__fn"), F.col("force").alias("__f"))
     g = kernel(F.col(coords[0]) - F.col("__fe"), F.col(coords[1]) - F.col("__fn"), mindist)
-    return points.select(id_col, *coords).crossJoin(f).groupBy(id_col).agg(F.sum(g * F.col("__f")).alias(name))
+    return points.select(id_col, *coords).crossJoin(F.broadcast(f)).groupBy(id_col).agg(F.sum(g * F.col("__f")).alias(name))
 
 
 @dataclass(frozen=True)
@@ -241,23 +243,38 @@ class FittedVectorSpline2D(FittedGridder):
 
 @dataclass(frozen=True)
 class SplineCV(Gridder):
-    """A spline whose mindist and damping have the best mean cross-validation score; dampings vary fastest."""
+    """A spline whose mindist and damping have the best mean cross-validation score; dampings vary fastest.
+
+    ``delayed`` runs the splits of all candidates side by side, in ``threads`` threads of the driver, so that
+    small fits share the cluster; scores and choice are the same.
+    """
 
     mindists: tuple = (None,)
     dampings: tuple = (1e-10, 1e-5, 1e-1)
     force_coords: np.ndarray | None = None
     cv: object = None
-    scoring: str | None = None
+    scoring: str | Callable | None = None
+    delayed: bool = False
+    threads: int = 8
 
     def fit(self, frame: SpatialFrame) -> FittedSplineCV:
         from gridspark.plans.selection import cross_val_score
 
         options = list(product(self.mindists or (None,), self.dampings))
-        scores = [float(np.mean(cross_val_score(Spline(m, d, self.force_coords), frame, cv=self.cv, scoring=self.scoring))) for m, d in options]
+        folds = [cross_val_score(Spline(m, d, self.force_coords), frame, cv=self.cv, scoring=self.scoring, delayed=self.delayed) for m, d in options]
+        if self.delayed:
+            with ThreadPool(self.threads) as pool:
+                folds = self._side_by_side(pool, folds)
+        scores = [float(np.mean(f)) for f in folds]
         mindist, damping = options[int(np.argmax(scores))]
         best = Spline(mindist, damping, self.force_coords).fit(frame)
         return FittedSplineCV(spline_=best, scores_=scores, mindist_=mindist, damping_=damping, region_=best.region_)
 
+    @staticmethod
+    def _side_by_side(pool, folds: list[list]) -> list[list[float]]:
+        done = iter(pool.map(lambda job: job(), [job for jobs in folds for job in jobs]))
+        return [[next(done) for _ in jobs] for jobs in folds]
+
 
 @dataclass(frozen=True, kw_only=True)
 class FittedSplineCV(FittedGridder):

@@ -538,29 +538,18 @@ def partition_by_sum_cases(spark, sf_dir):
     return spark.createDataFrame(rows, "parts int, k int, cut int")
 
 
-def _test_ids(n: int = 500) -> str:
-    return ", ".join(str(i) for i in sorted(random_split(n, np.random.RandomState(7), 0.2)[1].tolist()))
+_DEAL = "CAST('0x' || substr(md5('{}-' || vec_id), 1, 7) AS BIGINT)"
 
 
-@query(f"SELECT vec_id AS point_id, row_number() OVER (ORDER BY vec_id) - 1 IN ({_test_ids()}) AS test FROM embeddings")
+@query(f"SELECT vec_id AS point_id, {_DEAL.format(7)} / 268435456.0 < 0.2 AS test FROM embeddings")
 def train_test_split_points(spark, sf_dir):
-    # the seeded draw of this query's SQL is that of 500 points, the size of the table at sf 0.01
-    train, test = train_test_split(_scatter(spark, sf_dir), test_size=0.2, random_state=7, id_col="point_id")
+    train, test = train_test_split(_scatter(spark, sf_dir), test_size=0.2, random_state=7, id_col="point_id", hashed=True)
     return train.df.select("point_id", F.lit(False).alias("test")).unionByName(test.df.select("point_id", F.lit(True).alias("test")))
 
 
-def _fold_of(n: int = 500, k: int = 5) -> list[int]:
-    order = np.arange(n)
-    np.random.RandomState(0).shuffle(order)
-    fold = np.zeros(n, int)
-    for f, part in enumerate(equal_folds(n, k)):
-        fold[order[part]] = f
-    return fold.tolist()
-
-
-@query(f"WITH f AS (SELECT i - 1 AS k, {_fold_of()}[i] AS fold FROM range(1, 501) t(i)), p AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, embedding[3]::DOUBLE AS z FROM embeddings), j AS (SELECT fold, z FROM p JOIN f USING (k)), m AS (SELECT a.fold, (SELECT avg(z) FROM j b WHERE b.fold <> a.fold) AS c FROM (SELECT DISTINCT fold FROM j) a) SELECT CAST(fold AS INTEGER) AS fold, round(-sqrt(avg((z - c) ** 2)), 6) AS score FROM j JOIN m USING (fold) GROUP BY fold")
+@query(f"WITH j AS (SELECT CAST({_DEAL.format(3)} % 5 AS INTEGER) AS fold, embedding[3]::DOUBLE AS z FROM embeddings), m AS (SELECT a.fold, (SELECT avg(z) FROM j b WHERE b.fold <> a.fold) AS c FROM (SELECT DISTINCT fold FROM j) a) SELECT fold, round(-sqrt(avg((z - c) ** 2)), 6) AS score FROM j JOIN m USING (fold) GROUP BY fold")
 def cross_val_score_trend(spark, sf_dir):
-    scores = cross_val_score(Trend(0), _scatter(spark, sf_dir), cv=KFold(5, True, 0, "point_id"), scoring="neg_root_mean_squared_error")
+    scores = cross_val_score(Trend(0), _scatter(spark, sf_dir), cv=KFold(5, random_state=3, id_col="point_id", hashed=True), scoring="neg_root_mean_squared_error")
     return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(scores)], "fold int, score double")
 
 
@@ -569,12 +558,15 @@ def cross_val_score_trend(spark, sf_dir):
 _SURFER = "DSAA\n2 6\n1 1000\n2 2000\n11 61\n11 21 31 41 51 61\n61 51 41 31 21 1.70141e38\n"
 
 
-@query("SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CASE WHEN r = 0 THEN 1.0 ELSE 1000.0 END::DOUBLE AS northing, round(2 + c * 1998 / 5.0::DOUBLE, 6) AS easting, CASE WHEN r = 0 THEN 11.0 + 10 * c WHEN c < 5 THEN 61.0 - 10 * c END::DOUBLE AS scalars FROM range(2) a(r), range(6) b(c)")
+_SURFER_SQL = "SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CASE WHEN r = 0 THEN 1.0 ELSE 1000.0 END::DOUBLE AS northing, round(2 + c * 1998 / 5.0::DOUBLE, 6) AS easting, CASE WHEN r = 0 THEN 11.0 + 10 * c WHEN c < 5 THEN 61.0 - 10 * c END::DOUBLE AS scalars FROM range(2) a(r), range(6) b(c)"
+
+
+@query(_SURFER_SQL)
 def surfer_grid(spark, sf_dir):
     return _rounded(load_surfer(spark, io.StringIO(_SURFER)).df, {"easting": 6})
 
 
-@query()
+@query(_SURFER_SQL)
 def surfer_source(spark, sf_dir):
     from gridspark.scratch import folder
 
@@ -582,7 +574,7 @@ def surfer_source(spark, sf_dir):
     spark.createDataFrame([(_SURFER.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     spark.dataSource.register(SurferSource)
     name = [f for f in spark.read.format("binaryFile").load(path).select("path").toPandas()["path"] if "part-" in f][0]
-    return spark.read.format("surfer").load(name).drop("file")
+    return _rounded(spark.read.format("surfer").load(name).drop("file"), {"easting": 6})
 
 
 @query("SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, block, count(*) AS n, round(avg(z), 6) AS scalars FROM (WITH p AS (SELECT ts, CAST(user_id AS DOUBLE) AS e, value AS n, CAST(event_id AS DOUBLE) AS z FROM events) SELECT ts, z, CAST(least(greatest(floor(n / 125.0::DOUBLE), 0), 3) * 3 + least(greatest(floor(e / 50.0::DOUBLE), 0), 2) AS BIGINT) AS block FROM p) GROUP BY ALL")

@@ -94,8 +94,14 @@ class SurferSource(DataSource):
         return SurferReader(self.options)
 
 
-def load_surfer(spark: SparkSession, source, axis_order: str = "reference") -> GridFrame:
+#: Spark types of the values by name.
+_DTYPES = {"float64": "double", "double": "double", "float32": "float", "float": "float"}
+
+
+def load_surfer(spark: SparkSession, source, dtype: str = "float64", axis_order: str = "reference") -> GridFrame:
     """A grid from a path that Spark can read, or from an open text file (left open)."""
+    if dtype not in _DTYPES:
+        raise ValueError(f"Unknown type {dtype!r}; known: {sorted(_DTYPES)}")
     if hasattr(source, "readline"):
         text, attrs = source.read(), {}
     else:
@@ -107,4 +113,5 @@ def load_surfer(spark: SparkSession, source, axis_order: str = "reference") -> G
     w, e, s, n = head["region"]
     spec = GridSpec.make((w, e, s, n), shape=head["shape"])
     df = spark.createDataFrame([(i, j, y, x, v) for i, j, y, x, v in _rows(text, axis_order)], "row int, col int, northing double, easting double, scalars double")
+    df = df.withColumn("scalars", df["scalars"].cast(_DTYPES[dtype]))
     return GridFrame(df, spec, ("scalars",), {"gridID": head["gridID"], **attrs})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import lzma
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMAS = {
@@ -31,7 +32,9 @@ def read_sample(spark: SparkSession, name: str, folder: str | None = None) -> Da
     reader = spark.read.schema(SCHEMAS[name]).option("header", True)
     try:
         return reader.csv(f"{folder}/{name}.csv")
-    except Exception as missing:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         packed = spark.read.format("binaryFile").load(f"{folder}/{name}.csv.xz")
         if not packed.limit(1).count():
             raise missing
