@@ -278,3 +278,15 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
 
 def op3(spark, sf_dir: str) -> DataFrame:
     return links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP3_SQL = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+l AS (SELECT a.r AS u, b.r AS w FROM ok a JOIN ok b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reach(u, w) AS (SELECT r, r FROM v UNION SELECT reach.u, l.w FROM reach JOIN l ON reach.w = l.u),
+named AS (SELECT u, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.w GROUP BY u),
+degree AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN named ON v.r = named.u LEFT JOIN degree ON v.r = degree.u
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9,
     "op10_near_dedup": near_dedup.op10,
 }
-SQL = {"op5_warc": warc.OP5_SQL, "op8_mixing": mixing.OP8_SQL}
+SQL = {"op3_embedding_dedup": embedding_dedup.OP3_SQL, "op5_warc": warc.OP5_SQL, "op6_decontamination": decontamination.OP6_SQL, "op8_mixing": mixing.OP8_SQL}

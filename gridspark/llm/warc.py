@@ -5,8 +5,8 @@ its range for the gzip magic, takes a place for a member when its first bytes in
 header, owns the records that start inside its range, and follows the last one past the range's end.
 
 Defined results: a null html is an empty payload; a null url is written as an empty target; rows
-with a null page_id are records like others; repeated rows of one page_id give one record each; an
-empty table gives archives without records; other columns are ignored.
+with a null page_id are records like others; repeated rows of one page_id give one record each, and where
+the largest page_id of a payload repeats, each of its rows is a response; an empty table gives archives without records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -110,10 +111,16 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) ->
 
 
 def _head_at(data: bytes) -> bool:
+    """Whether a gzip member begins here whose text is a WARC header, as far as it is there: version line, then fields."""
     try:
-        return zlib.decompressobj(31).decompress(data, 16).startswith(b"WARC/")
+        head = zlib.decompressobj(31).decompress(data, 4096)
     except zlib.error:
         return False
+    lines, complete = head.split(b"\r\n"), b"\r\n\r\n" in head
+    if not re.fullmatch(rb"WARC/\d+\.\d+", lines[0]):
+        return False
+    fields = lines[1 : lines.index(b"", 1)] if complete else lines[1:-1]
+    return all(re.match(rb"[A-Za-z0-9-]+:", x) for x in fields) and (not complete or any(x.lower().startswith(b"content-length:") for x in fields))
 
 
 def members(file, start: int, stop: int, size: int) -> Iterator[tuple[int, bytes]]:
@@ -192,9 +199,12 @@ def read_archives(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYT
     """Records of all archives below ``folder``, read in byte ranges of ``split_bytes``."""
     store, at = open_store(folder)
     found = [x for x in store.get_file_info(pafs.FileSelector(at, recursive=True)) if x.path.endswith(".warc.gz")]
-    splits = [(x.path, s, min(s + split_bytes, x.size), x.size) for x in found for s in range(0, x.size, split_bytes)]
-    table = spark.createDataFrame(splits, "path string, start long, stop long, size long")
-    table = table.repartition(max(1, min(len(splits), 4 * spark.sparkContext.defaultParallelism)), F.xxhash64("path", "start"))
+    # a row per archive from the driver; the ranges are made, and dealt out in turn, by Spark
+    files = spark.createDataFrame([(x.path, x.size) for x in found if x.size], "path string, size long")
+    cut = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"), "size")
+    table = cut.withColumn("stop", F.least(F.col("start") + split_bytes, F.col("size")))
+    ranges = sum(-(-x.size // split_bytes) for x in found)
+    table = table.repartition(max(1, min(ranges, 64 * spark.sparkContext.defaultParallelism)))
     scheme = folder
 
     def id_of(urn: str | None):
