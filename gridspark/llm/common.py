@@ -256,7 +256,7 @@ def shared_keys(rows: DataFrame, columns, names: list[str], wide: bool, what: st
 BLOCK = 4096
 
 
-def bucket_links(at: DataFrame, fits, verify, close, what: str, detail: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def bucket_links(at: DataFrame, fits, verify, close, decide, what: str, detail: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """(node, component) of what similar pairs of a bucket connect; nodes without a link are not listed.
 
     ``at`` has (bucket, node, size, and whatever ``fits`` compares); ``fits(a, b)`` is a cheap
@@ -265,9 +265,11 @@ def bucket_links(at: DataFrame, fits, verify, close, what: str, detail: DataFram
     1. Every node meets the smallest of its buckets' smallest members: one pair a node, so a group of
        copies that shares many buckets costs one comparison a member.
     2. Members of buckets that still hold several components meet their bucket's smallest member.
-    3. Of what is then still apart, every pair of a bucket that ``close`` doesn't rule out is compared.
+    3. Of what is then still apart, every pair of a bucket that ``close`` doesn't rule out is compared where
+       the bucket's members meet, by ``decide``, unless earlier links of the task connect it already.
 
-    Nothing is capped: the third turn is exact, and a task of it holds two blocks of a bucket at most.
+    Nothing is capped: the third turn is exact, a task of it holds two blocks of a bucket at most, and
+    it returns no more links than it has components.
     """
     extra = [c for c in at.columns if c not in ("bucket", "node", "size")]
     item = F.struct("size", "node", *extra)
@@ -279,14 +281,12 @@ def bucket_links(at: DataFrame, fits, verify, close, what: str, detail: DataFram
     tested = stash(ordered(met).distinct(), what + "-pairs")
     label = components(verify(tested), what + "-classes")
 
-    def merge(label: DataFrame, pairs: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
-        fresh = stash(ordered(pairs).distinct().join(tested, ["u", "v"], "left_anti"), what + "-pairs")
-        links = stash(verify(fresh), what + "-links")
-        if not links.limit(1).count():
-            return label, tested.unionByName(fresh)
-        merged = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), what + "-classes")
+    def merge(label: DataFrame, links: DataFrame) -> DataFrame:
+        links = stash(links, what + "-links")
+        if links.limit(1).count():
+            label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), what + "-classes")
         drop_stash(links)
-        return merged, tested.unionByName(fresh)
+        return label
 
     def apart(rows: DataFrame, label: DataFrame) -> DataFrame:
         """The members of buckets with several components, each with its own and the smallest member's."""
@@ -297,25 +297,26 @@ def bucket_links(at: DataFrame, fits, verify, close, what: str, detail: DataFram
     second = apart(members, label)
     drop_stash(members)
     pairs = second.where((F.col("comp") != F.col("hub.comp")) & fits(one, F.col("hub.item"))).select(one["node"].alias("u"), F.col("hub.item.node").alias("v"))
-    label, tested = merge(label, pairs, tested)
+    fresh = stash(ordered(pairs).distinct().join(tested, ["u", "v"], "left_anti"), what + "-pairs")
+    label = merge(label, verify(fresh))
     third = apart(second, label)
     drop_stash(second)
-    label, _ = merge(label, block_pairs(third.select("bucket", "item.*", "comp"), close, detail, block), tested)
+    label = merge(label, block_links(third.select("bucket", "item.*", "comp"), close, decide, detail, block))
     drop_stash(third)
     return label
 
 
-#: Members of small buckets that one task of ``block_pairs`` looks at, about, and the largest small bucket.
+#: Members of small buckets that one task of ``block_links`` looks at, about, and the largest small bucket.
 TASK_MEMBERS, SMALL = 20_000, 256
 
 
-def block_pairs(members: DataFrame, close, detail: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """Pairs (u, v) of a bucket's members in different components that ``close`` does not rule out.
+def block_links(members: DataFrame, close, decide, detail: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) that connect what similar members of a bucket connect, of members in different components.
 
     ``members`` has (bucket, node, size, comp, ...), ``detail`` more columns for each node.
     ``close(table, i, j)`` gets a task's columns as arrays and says for which k row ``i[k]`` may be
-    similar to row ``j[k]``. Small buckets share a task; large ones are cut into blocks by hash,
-    and a task compares two blocks.
+    similar to row ``j[k]``; ``decide(table, i, j)`` says it of one pair for certain. Small buckets share a
+    task; large ones are cut into blocks by hash, and a task compares two blocks.
     """
     counts = members.groupBy("bucket").agg(F.count("*").alias("n"))
     mine = members.join(counts.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"), (F.col("n") > SMALL).alias("large")), "bucket")
@@ -334,20 +335,33 @@ def block_pairs(members: DataFrame, close, detail: DataFrame | None = None, bloc
             column = table.column(name).combine_chunks()
             if pa.types.is_list(column.type):
                 data[name] = np.asarray(column.flatten()).reshape(table.num_rows, -1)
+            elif pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+                data[name] = column
             elif name not in ("node", "comp"):
                 data[name] = np.asarray(column)
         comp = np.asarray(table.column("comp").combine_chunks().dictionary_encode().indices)
         p, low, high, bucket = (data[c] for c in ("p", "low", "high", "bucket"))
         new = np.append(True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
         run = np.cumsum(new)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[int, int]] = []
+        tree = list(range(int(comp.max()) + 1))
+
+        def root(c: int) -> int:
+            while tree[c] != c:
+                tree[c] = c = tree[tree[c]]
+            return c
 
         def take(i: np.ndarray, j: np.ndarray) -> None:
             differ = comp[i] != comp[j]
             i, j = i[differ], j[differ]
-            if len(i):
-                ok = close(data, i, j)
-                found.append((i[ok], j[ok]))
+            if not len(i):
+                return
+            ok = close(data, i, j)
+            for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                x, y = root(comp[a]), root(comp[b])
+                if x != y and decide(data, a, b):
+                    tree[x] = y
+                    found.append((a, b))
 
         size = np.bincount(run)[run]
         live, lag = np.flatnonzero(size <= SMALL), 1
@@ -361,8 +375,8 @@ def block_pairs(members: DataFrame, close, detail: DataFrame | None = None, bloc
             for i in left.tolist():
                 j = right[right > i] if one else right
                 take(np.full(len(j), i), j)
-        i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         node = table.column("node").combine_chunks()
-        return pa.table({"u": node.take(pa.array(i)), "v": node.take(pa.array(j))})
+        u, v = (node.take(pa.array([f[k] for f in found], pa.int64())) for k in (0, 1))
+        return pa.table({"u": u, "v": v})
 
     return full.groupBy("task").applyInArrow(compare, "u binary, v binary")

@@ -282,7 +282,8 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 OP3_SQL = f"""
 WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+fine AS (SELECT r FROM (SELECT r, unnest(e) AS x FROM v) GROUP BY r HAVING count(x) = count(*) AND bool_and(isfinite(x)) AND bool_or(x <> 0)),
+ok AS (SELECT * FROM v WHERE r IN (SELECT r FROM fine)),
 l AS (SELECT a.r AS u, b.r AS w FROM ok a JOIN ok b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
 reach(u, w) AS (SELECT r, r FROM v UNION SELECT reach.u, l.w FROM reach JOIN l ON reach.w = l.u),
 named AS (SELECT u, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.w GROUP BY u),

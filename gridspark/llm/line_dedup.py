@@ -270,16 +270,18 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.mapInArrow(pick, "node binary, text string").dropDuplicates(["node"])
 
 
+def similar_lines(x: str, y: str, similarity: float = SIMILARITY) -> bool:
+    most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+    return edit_distance(x, y, most) <= most
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (u, v) whose normalised lines (node, text) are similar."""
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
 
     def compare(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
-                most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
-                keep.append(edit_distance(x, y, most) <= most)
+            keep = [similar_lines(x, y, similarity) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("u", "v", "a", "b").mapInArrow(compare, "u binary, v binary")
@@ -307,7 +309,10 @@ def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SI
         longer = np.maximum(size[j], size[i])
         return ((longer <= SHORT) | (np.bitwise_count(sim[j] ^ sim[i]) <= REACH)) & (np.minimum(size[j], size[i]) >= similarity * longer - 1e-9)
 
-    label = bucket_links(at, fits, lambda pairs: verified(pairs, texts, similarity), close, "lines")
+    def decide(data, i, j):
+        return similar_lines(data["text"][i].as_py(), data["text"][j].as_py(), similarity)
+
+    label = bucket_links(at, fits, lambda pairs: verified(pairs, texts, similarity), close, decide, "lines", texts)
     # of a group the node with the first occurrence stays
     named = label.join(nodes.select("node", "first"), "node")
     best = named.groupBy("component").agg(F.min("first").alias("best"))

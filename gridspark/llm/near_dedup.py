@@ -133,7 +133,7 @@ def _labels(ordered: np.ndarray) -> np.ndarray:
 
 
 def bags(texts: DataFrame) -> DataFrame:
-    """(node, detail): a bitmap of occurrence-labelled words for every row of (node, text)."""
+    """(node, text, detail): a bitmap of occurrence-labelled words for every row of (node, text)."""
 
     def run(batches):
         for b in text_blocks(batches, "text"):
@@ -146,9 +146,9 @@ def bags(texts: DataFrame) -> DataFrame:
                 out[k, (labelled % np.uint64(BAG * 64)).astype(np.int64)] = 1
             flat = np.packbits(out, axis=1, bitorder="little").view(np.int64).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BAG), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("node"), lists], names=["node", "detail"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("text"), lists], names=["node", "text", "detail"])
 
-    return texts.mapInArrow(run, "node binary, detail array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node binary, text string, detail array<long>")
 
 
 def _agree(a: list, i: int, b: list, j: int) -> int:
@@ -313,7 +313,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             out[np.flatnonzero(out)[part]] &= np.maximum(*lacks) <= most[part]
         return out
 
-    label = bucket_links(at, fits, lambda pairs: _verified(pairs, texts, similarity), close, "omh", bags(texts))
+    def decide(data, i, j):
+        a, b = (words(data["text"][k].as_py().encode("utf-8", "surrogatepass")) for k in (i, j))
+        return similar(a, b, similarity)
+
+    label = bucket_links(at, fits, lambda pairs: _verified(pairs, texts, similarity), close, decide, "omh", bags(texts))
     joined = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
     best = joined.groupBy("component").agg(F.min(place).alias("best")).select("component", F.col("best.doc_id").alias("class_id"), F.col("best.node").alias("first"))

@@ -68,7 +68,7 @@ def test_bucket_links_past_hubs_that_fit_nothing(spark):
     at = spark.createDataFrame(rows, "bucket long, node binary, size int")
     fits = lambda a, b: F.least(a["size"], b["size"]) >= 0.8 * F.greatest(a["size"], b["size"])
     close = lambda data, i, j: np.minimum(data["size"][j], data["size"][i]) >= 0.8 * np.maximum(data["size"][j], data["size"][i])
-    got = common.bucket_links(at, fits, lambda pairs: pairs, close, "test").collect()
+    got = common.bucket_links(at, fits, lambda pairs: pairs, close, lambda data, i, j: True, "test").collect()
     assert {bytes(r.node): bytes(r.component) for r in got} == {b"b": b"b", b"c": b"b"}
 
 
@@ -88,7 +88,7 @@ def test_bucket_links_are_the_links_of_all_pairs(spark, block):
     close = lambda data, i, j: np.abs(data["size"][j] - data["size"][i]) <= 20
     sizes = spark.createDataFrame(list(nodes.items()), "node binary, size int")
     verify = lambda pairs: pairs.join(sizes.toDF("u", "a"), "u").join(sizes.toDF("v", "b"), "v").where("abs(a - b) <= 2").select("u", "v")
-    got = common.bucket_links(spark.createDataFrame(at, "bucket long, node binary, size int"), fits, verify, close, "test", block=block).collect()
+    got = common.bucket_links(spark.createDataFrame(at, "bucket long, node binary, size int"), fits, verify, close, lambda data, i, j: alike(data["size"][i], data["size"][j]), "test", block=block).collect()
     got = {bytes(r.node): bytes(r.component) for r in got}
     assert {n: got.get(n, n) for n in nodes} == label
 
