@@ -316,7 +316,8 @@ def block_links(members: DataFrame, close, decide, detail: DataFrame | None = No
     ``members`` has (bucket, node, size, comp, ...), ``detail`` more columns for each node.
     ``close(table, i, j)`` gets a task's columns as arrays and says for which k row ``i[k]`` may be
     similar to row ``j[k]``; ``decide(table, i, j)`` says it of one pair for certain. Small buckets share a
-    task; large ones are cut into blocks by hash, and a task compares two blocks.
+    task; large ones are cut into blocks by hash, and a task compares two blocks. A pair that shares
+    several buckets is decided in the least of them.
     """
     counts = members.groupBy("bucket").agg(F.count("*").alias("n"))
     mine = members.join(counts.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"), (F.col("n") > SMALL).alias("large")), "bucket")
@@ -326,13 +327,16 @@ def block_links(members: DataFrame, close, decide, detail: DataFrame | None = No
     tasks = max(1, members.count() // TASK_MEMBERS)
     task = F.when(F.col("large"), F.xxhash64("bucket", "low", "high")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
     spread = spread.withColumn("task", task).drop("o", "parts", "large")
-    full = spread if detail is None else spread.join(detail, "node")
+    full = spread.join(members.groupBy("node").agg(F.collect_set("bucket").alias("shared")), "node")
+    full = full if detail is None else full.join(detail, "node")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("bucket", "ascending"), ("low", "ascending"), ("high", "ascending"), ("node", "ascending")])
         data = {}
         for name in table.column_names:
             column = table.column(name).combine_chunks()
+            if name == "shared":
+                continue
             if pa.types.is_list(column.type):
                 data[name] = np.asarray(column.flatten()).reshape(table.num_rows, -1)
             elif pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
@@ -343,6 +347,13 @@ def block_links(members: DataFrame, close, decide, detail: DataFrame | None = No
         p, low, high, bucket = (data[c] for c in ("p", "low", "high", "bucket"))
         new = np.append(True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
         run = np.cumsum(new)
+        shared, sets = table.column("shared").combine_chunks(), {}
+
+        def buckets(k: int) -> set:
+            if k not in sets:
+                sets[k] = set(shared[k].as_py())
+            return sets[k]
+
         found: list[tuple[int, int]] = []
         tree = list(range(int(comp.max()) + 1))
 
@@ -359,7 +370,7 @@ def block_links(members: DataFrame, close, decide, detail: DataFrame | None = No
             ok = close(data, i, j)
             for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
                 x, y = root(comp[a]), root(comp[b])
-                if x != y and decide(data, a, b):
+                if x != y and min(buckets(a) & buckets(b)) == bucket[a] and decide(data, a, b):
                     tree[x] = y
                     found.append((a, b))
 
