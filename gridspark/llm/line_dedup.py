@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.llm.common import SECOND_BASE, RangeHash, bucket_links, mix64, release, shared_keys, stash, text_blocks, utf8
+from gridspark.llm.common import SECOND_BASE, RangeHash, bucket_links, fitting, mix64, release, shared_keys, stash, text_blocks, utf8
 from gridspark.llm.decontamination import words
 from gridspark.llm.near_dedup import _NORMAL, edit_distance
 
@@ -275,13 +275,48 @@ def similar_lines(x: str, y: str, similarity: float = SIMILARITY) -> bool:
     return edit_distance(x, y, most) <= most
 
 
+#: Counts of hashed character pairs that a line is described by.
+PAIR_BINS = 128
+
+
+def gram_counts(texts: pa.Array) -> np.ndarray:
+    """How many pairs of neighbour characters of every text fall into each bin (texts x ``PAIR_BINS``, 255 at most)."""
+    out = np.zeros((len(texts), PAIR_BINS), np.uint8)
+    for s in range(0, len(texts), 2048):
+        part = texts.slice(s, 2048)
+        size = np.asarray(pc.utf8_length(part)).astype(np.int64)
+        codes = np.frombuffer("".join(part.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.arange(len(part)), size)
+        pair = np.flatnonzero(owner[1:] == owner[:-1])
+        value = (codes[pair] * np.uint32(0x9E3779B1) + codes[pair + 1] * np.uint32(0x85EBCA6B)) >> np.uint32(25)
+        counts = np.bincount(owner[pair] * PAIR_BINS + value, minlength=len(part) * PAIR_BINS)
+        out[s : s + len(part)] = np.minimum(counts, 255).reshape(-1, PAIR_BINS)
+    return out
+
+
+def allowed(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether ``most`` edits can lead from row ``i`` of counts ``a`` to row ``j`` of ``b``: an edit takes and makes two pairs at most."""
+    out = np.zeros(len(i), bool)
+    for s in range(0, len(i), 1 << 13):
+        part = slice(s, s + (1 << 13))
+        x, y = a[i[part]], b[j[part]]
+        more = np.maximum(x, y)
+        out[part] = np.maximum((more - y).sum(1, dtype=np.int32), (more - x).sum(1, dtype=np.int32)) <= 2 * most[part]
+    return out
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (u, v) whose normalised lines (node, text) are similar."""
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
 
     def compare(batches):
-        for b in batches:
-            keep = [similar_lines(x, y, similarity) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
+        for b in text_blocks(batches, "a"):
+            a, z = b.column("a"), b.column("b")
+            longer = np.maximum(np.asarray(pc.utf8_length(a)), np.asarray(pc.utf8_length(z)))
+            every = np.arange(b.num_rows)
+            keep = allowed(gram_counts(a), every, gram_counts(z), every, np.floor((1 - similarity) * longer + 1e-9))
+            for k in np.flatnonzero(keep).tolist():
+                keep[k] = similar_lines(a[k].as_py(), z[k].as_py(), similarity)
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("u", "v", "a", "b").mapInArrow(compare, "u binary, v binary")
@@ -293,11 +328,10 @@ def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SI
     place = F.struct("doc_id", "row", "line")
     nodes = stash(_lines(docs).groupBy("node").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n_chars", "h", "sim", "keys")]), "lines")
     fuzzy = nodes.where(F.size("keys") > 0)
-    near = [shared_keys(fuzzy, keys, [c], False, "line-candidates") for keys, c in ((block_keys(distance), "sim"), (own_keys, "keys"))]
-    release(spark)
-    near = near[0].unionByName(near[1])
-    at = near.join(nodes.select("h", "node", "n_chars", "sim"), "h").select("bucket", "node", F.col("n_chars").alias("size"), "sim")
-    texts = stash(_texts(docs, nodes.join(near.select("h").distinct(), "h", "left_semi").select("node", "first")), "line-texts")
+    near = []
+    for keys, c in ((block_keys(distance), "sim"), (own_keys, "keys")):
+        release(spark)
+        near.append(shared_keys(fuzzy, keys, [c], False, "line-candidates"))
     release(spark)
 
     def fits(a, b):
@@ -307,18 +341,31 @@ def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SI
     def close(data, i, j):
         size, sim = data["size"], data["sim"].view(np.uint64)
         longer = np.maximum(size[j], size[i])
-        return ((longer <= SHORT) | (np.bitwise_count(sim[j] ^ sim[i]) <= REACH)) & (np.minimum(size[j], size[i]) >= similarity * longer - 1e-9)
+        ok = ((longer <= SHORT) | (np.bitwise_count(sim[j] ^ sim[i]) <= REACH)) & (np.minimum(size[j], size[i]) >= similarity * longer - 1e-9)
+        if "text" not in data:
+            return ok
+        if "grams" not in data:
+            data["grams"] = gram_counts(data["text"])
+        left = np.flatnonzero(ok)
+        ok[left] = allowed(data["grams"], i[left], data["grams"], j[left], np.floor((1 - similarity) * longer[left] + 1e-9))
+        return ok
 
     def decide(data, i, j):
         return similar_lines(data["text"][i].as_py(), data["text"][j].as_py(), similarity)
 
+    both = near[0].unionByName(near[1])
+    at = both.join(nodes.select("h", "node", "n_chars", "sim"), "h").select("bucket", "node", F.col("n_chars").alias("size"), "sim")
+    at = stash(fitting(at, both, close), "lines-near")
+    release(spark, *near)
+    texts = stash(_texts(docs, nodes.join(at.select("node").distinct(), "node", "left_semi").select("node", "first")), "line-texts")
+    release(spark)
     label = bucket_links(at, fits, lambda pairs: verified(pairs, texts, similarity), close, decide, "lines", texts)
     # of a group the node with the first occurrence stays
     named = label.join(nodes.select("node", "first"), "node")
     best = named.groupBy("component").agg(F.min("first").alias("best"))
     gone = stash(named.join(best, "component").where("first != best").select("node"), "lines-gone")
     kept = stash(nodes.select("node", "first").join(gone, "node", "left_anti").groupBy("first.doc_id", "first.row").agg(F.collect_list("first.line").alias("lines")), "lines-kept")
-    release(spark, nodes, texts, gone, label)
+    release(spark, nodes, at, texts, gone, label)
     return kept
 
 

@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,23 @@ def test_bucket_links_are_the_links_of_all_pairs(spark, block):
     assert {n: got.get(n, n) for n in nodes} == label
 
 
+@pytest.mark.parametrize("small", [4, 256])
+def test_fitting_members_of_buckets(spark, small):
+    rng = random.Random(8)
+    at = [(b, f"{b}-{k}".encode(), rng.randrange(1, 2000)) for b in range(400) for k in range(rng.choice((1, 2, 3, 9)))]
+    of = collections.defaultdict(list)
+    for b, n, v in at:
+        of[b].append((n, v))
+    want = {(b, n) for b, n, v in at if len(of[b]) > small or any(m != n and abs(v - w) <= 40 for m, w in of[b])}
+    df = spark.createDataFrame(at, "bucket long, node binary, size int")
+    got = common.fitting(df, df, lambda data, i, j: abs(data["size"][i] - data["size"][j]) <= 40, small)
+    for batch in ("10000", "7"):  # buckets go on from one batch to the next
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        found = [(r.bucket, bytes(r.node)) for r in got.collect()]
+        assert len(found) == len(set(found)) and set(found) == want and 0 < len(want) < len(at)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_shared_keys(spark, wide):
     rng = random.Random(8)
@@ -597,6 +615,27 @@ def test_fuzzy_lines_at_the_similarity_asked_for(spark):
     assert len(rows) - len(kept) >= 0.97 * pairs
 
 
+def test_lines_that_meet_by_chance_need_no_text(spark, monkeypatch):
+    rng = random.Random(21)
+    lines = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(20)) for _ in range(600)]
+    wanted, texts = [], line_dedup._texts
+    monkeypatch.setattr(line_dedup, "_texts", lambda docs, nodes: wanted.append(nodes.count()) or texts(docs, nodes))
+    rows = list(enumerate([*lines, lines[0][:-1] + "é"]))
+    # keys of one 13-bit block: some 200 of these lines share one, a tenth of them within REACH bits
+    kept = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), distance=4)
+    assert {r.doc_id for r in kept.collect()} == set(range(600)) and 2 <= wanted[0] <= 60
+
+
+def test_pair_counts_bound_the_distance():
+    rng = random.Random(22)
+    texts = ["".join(rng.choices("abc ж𝄞", k=rng.randrange(1, 40))) for _ in range(60)] + ["ab" * 400, "ab" * 396]
+    counts = line_dedup.gram_counts(pa.array(texts))
+    i, j = (x.ravel() for x in np.indices((len(texts), len(texts))))
+    far = np.array([near_dedup.edit_distance(texts[a], texts[b], 900) for a, b in zip(i, j, strict=True)])
+    assert line_dedup.allowed(counts, i, counts, j, far).all()
+    assert not line_dedup.allowed(counts, i, counts, j, far // 4).all()
+
+
 def test_fuzzy_short_lines(spark):
     rng = random.Random(12)
     rows = []
