@@ -22,6 +22,7 @@ columns other than ``text`` are untouched.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +44,10 @@ GRAM, SKETCHES, BINS = 6, 12, 4
 SHORT, SHORT_GRAM, SHORT_SKETCHES, SHORT_BINS = 54, 4, 8, 3
 #: SimHash bits that candidates may differ in: lines of edit similarity 0.9 differ in 13 on average at worst.
 REACH = 20
+#: Tables of pigeonhole blocks that are searched in one turn; a turn's shuffle is on disk at once.
+TURN = 5
+#: Parts of the documents that lines are looked up in, one after the other, for the same reason.
+PARTS = 2
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
@@ -128,6 +133,31 @@ def half_keys(z: np.ndarray, start: np.ndarray, end: np.ndarray, hashed: RangeHa
     return out
 
 
+def pair_parities(z: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of every line: of its pairs of neighbour characters in each of 64 hashed bins, whether their number is odd.
+
+    An edit takes two pairs and makes two at most, so lines ``d`` edits apart differ in 4 * ``d`` bits at most.
+    """
+    out = np.zeros(len(start), np.uint64)
+    lead = np.flatnonzero((z & 0xC0) != 0x80)
+    wide = np.diff(lead, append=len(z))
+    at = np.concatenate([z, np.zeros(4, np.uint8)])
+    code = np.ndarray((len(z),), "<u4", at, strides=(1,))[lead]
+    if len(lead) < len(z):
+        code = code & (np.uint32(0xFFFFFFFF) >> (32 - 8 * np.minimum(wide, 4)).astype(np.uint32))
+    else:
+        code = code & np.uint32(255)
+    value = (code[:-1] * np.uint32(0x9E3779B1) + code[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(26)
+    bit = np.append(np.uint64(1) << value.astype(np.uint64), np.uint64(0))
+    first, last = np.searchsorted(lead, start), np.searchsorted(lead, end) - 1  # pairs first .. last - 1
+    busy = np.flatnonzero(last > first)
+    if len(busy):
+        # what lies between two lines is reduced too, and left out
+        edges = np.stack([first[busy], last[busy]], 1).ravel()
+        out[busy] = np.bitwise_xor.reduceat(bit, edges)[::2]
+    return out
+
+
 _LANES = np.uint64(0x0001000100010001)
 
 
@@ -162,7 +192,7 @@ _PLACES = [*range(SKETCHES + SHORT_SKETCHES), *[SKETCHES + SHORT_SKETCHES] * 2,
 
 
 def line_keys(raw: np.ndarray, at: np.ndarray) -> dict:
-    """Of all lines with words: index, 128-bit node, characters, SimHash, and keys with their offsets."""
+    """Of all lines with words: index, 128-bit node, characters, SimHash, parities of pairs, and keys with their offsets."""
     z, start, end = normal_lines(raw, at)
     index = np.flatnonzero(end > start)
     start, end = start[index], end[index]
@@ -183,11 +213,11 @@ def line_keys(raw: np.ndarray, at: np.ndarray) -> dict:
     put(fuzzy, 0, min_keys(*grams)[fuzzy])
     put(short, SKETCHES, min_keys(*line_grams(z, start[short], end[short], SHORT_GRAM), SHORT_SKETCHES, SHORT_BINS))
     put(tiny, SKETCHES + SHORT_SKETCHES, half_keys(z, start[tiny], end[tiny], hashed))
-    return {"index": index, "node": node, "n": n, "sim": simhash(*grams), "keys": keys, "offsets": offsets}
+    return {"index": index, "node": node, "n": n, "sim": simhash(*grams), "par": pair_parities(z, start, end), "keys": keys, "offsets": offsets}
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line, n_chars, node, h, sim, keys) of every line with words; no keys where it is compared for equality only."""
+    """(doc_id, row, line, n_chars, node, h, sim, par, keys) of every line with words; no keys where it is compared for equality only."""
 
     def run(batches):
         for b in text_blocks(batches, "text"):
@@ -205,12 +235,13 @@ def _lines(docs: DataFrame) -> DataFrame:
                     pa.BinaryArray.from_buffers(pa.binary(), count, [None, pa.py_buffer((np.arange(count + 1) * 16).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(k["node"]))]),
                     pa.array(k["node"][:, 0].view(np.int64).copy()),
                     pa.array(k["sim"].view(np.int64)),
+                    pa.array(k["par"].view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(k["offsets"].astype(np.int32)), pa.array(k["keys"].view(np.int32))),
                 ],
-                names=["doc_id", "row", "line", "n_chars", "node", "h", "sim", "keys"],
+                names=["doc_id", "row", "line", "n_chars", "node", "h", "sim", "par", "keys"],
             )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, row long, line int, n_chars int, node binary, h long, sim long, keys array<int>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, row long, line int, n_chars int, node binary, h long, sim long, par long, keys array<int>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -221,12 +252,12 @@ def _tables(distance: int) -> list:
     return list(combinations(_BLOCKS, len(_BLOCKS) - distance))
 
 
-def block_keys(distance: int = DISTANCE):
-    """The columns of pigeonhole blocks for ``shared_keys``."""
+def block_keys(distance: int = DISTANCE, tables: slice = slice(None)):
+    """The columns of pigeonhole blocks, or of some tables of them, for ``shared_keys``."""
 
     def columns(b: pa.RecordBatch):
         sim = np.asarray(b.column("sim")).view(np.uint64)
-        for t, chosen in enumerate(_tables(distance)):
+        for t, chosen in list(enumerate(_tables(distance)))[tables]:
             key = np.zeros(len(sim), np.uint64)
             for low, wide in chosen:
                 key = (key << np.uint64(wide)) | ((sim >> np.uint64(low)) & np.uint64((1 << wide) - 1))
@@ -326,22 +357,18 @@ def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SI
     """(doc_id, row, lines): the line numbers that stay, of all lines with words."""
     spark = docs.sparkSession
     place = F.struct("doc_id", "row", "line")
-    nodes = stash(_lines(docs).groupBy("node").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n_chars", "h", "sim", "keys")]), "lines")
-    fuzzy = nodes.where(F.size("keys") > 0)
-    near = []
-    for keys, c in ((block_keys(distance), "sim"), (own_keys, "keys")):
-        release(spark)
-        near.append(shared_keys(fuzzy, keys, [c], False, "line-candidates"))
-    release(spark)
+    nodes = stash(_lines(docs).groupBy("node").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n_chars", "h", "sim", "par", "keys")]), "lines")
 
     def fits(a, b):
         longer = F.greatest(a["size"], b["size"])
-        return ((longer <= SHORT) | (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= REACH)) & (F.least(a["size"], b["size"]) >= similarity * longer - 1e-9)
+        apart = lambda c: F.bit_count(a[c].bitwiseXOR(b[c]))
+        return ((longer <= SHORT) | (apart("sim") <= REACH)) & (F.least(a["size"], b["size"]) >= similarity * longer - 1e-9) & (apart("par") <= 4 * F.floor((1 - similarity) * longer + 1e-9))
 
     def close(data, i, j):
-        size, sim = data["size"], data["sim"].view(np.uint64)
+        size, sim, par = data["size"].astype(np.int64), data["sim"].view(np.uint64), data["par"].view(np.uint64)
         longer = np.maximum(size[j], size[i])
         ok = ((longer <= SHORT) | (np.bitwise_count(sim[j] ^ sim[i]) <= REACH)) & (np.minimum(size[j], size[i]) >= similarity * longer - 1e-9)
+        ok &= np.bitwise_count(par[j] ^ par[i]) <= 4 * np.floor((1 - similarity) * longer + 1e-9)
         if "text" not in data:
             return ok
         if "grams" not in data:
@@ -353,19 +380,35 @@ def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SI
     def decide(data, i, j):
         return similar_lines(data["text"][i].as_py(), data["text"][j].as_py(), similarity)
 
-    both = near[0].unionByName(near[1])
-    at = both.join(nodes.select("h", "node", "n_chars", "sim"), "h").select("bucket", "node", F.col("n_chars").alias("size"), "sim")
+    fuzzy = nodes.where(F.size("keys") > 0).withColumnRenamed("n_chars", "size")
+    near = []
+    for low in range(0, len(_tables(distance)), TURN):
+        release(spark)
+        near.append(shared_keys(fuzzy, block_keys(distance, slice(low, low + TURN)), ["sim"], False, "line-candidates", close, {"size": "<i4", "sim": "<i8", "par": "<i8"}))
+    release(spark)
+    near.append(shared_keys(fuzzy, own_keys, ["keys"], False, "line-candidates"))
+    release(spark)
+    both = reduce(DataFrame.unionByName, near)
+    at = both.join(nodes.select("h", "node", "n_chars", "sim", "par"), "h").select("bucket", "node", F.col("n_chars").alias("size"), "sim", "par")
     at = stash(fitting(at, both, close), "lines-near")
     release(spark, *near)
-    texts = stash(_texts(docs, nodes.join(at.select("node").distinct(), "node", "left_semi").select("node", "first")), "line-texts")
-    release(spark)
+    # the keys are not read any more
+    slim = stash(nodes.select("node", "first"), "lines-first")
+    release(spark, nodes)
+    wanted = stash(slim.join(at.select("node").distinct(), "node", "left_semi"), "line-wanted")
+    found = []
+    for part in range(PARTS):
+        release(spark)
+        found.append(stash(_texts(docs.where(F.pmod(F.xxhash64("text"), F.lit(PARTS)) == part), wanted), "line-texts"))
+    texts = reduce(DataFrame.unionByName, found)
+    release(spark, wanted)
     label = bucket_links(at, fits, lambda pairs: verified(pairs, texts, similarity), close, decide, "lines", texts)
     # of a group the node with the first occurrence stays
-    named = label.join(nodes.select("node", "first"), "node")
+    named = label.join(slim, "node")
     best = named.groupBy("component").agg(F.min("first").alias("best"))
     gone = stash(named.join(best, "component").where("first != best").select("node"), "lines-gone")
-    kept = stash(nodes.select("node", "first").join(gone, "node", "left_anti").groupBy("first.doc_id", "first.row").agg(F.collect_list("first.line").alias("lines")), "lines-kept")
-    release(spark, nodes, at, texts, gone, label)
+    kept = stash(slim.join(gone, "node", "left_anti").groupBy("first.doc_id", "first.row").agg(F.collect_list("first.line").alias("lines")), "lines-kept")
+    release(spark, slim, at, *found, gone, label)
     return kept
 
 

@@ -547,6 +547,47 @@ def test_line_dedup_odd_tables(spark, odd):
     assert got[0].text == " same line here\n\nend" and 7 not in got
 
 
+@pytest.mark.parametrize("small", [4, 256])
+def test_shared_keys_of_rows_that_meet_by_chance(spark, small):
+    rng = random.Random(9)
+    rows = [(k, [rng.choice([7, rng.randrange(300)]), rng.randrange(100)], rng.randrange(1, 2000)) for k in range(700)]
+    columns = lambda b: ((t, np.arange(b.num_rows), np.asarray(b.column("keys").flatten()).reshape(-1, 2)[:, t].astype(np.uint64)) for t in range(2))
+    close = lambda data, i, j: np.abs(data["size"][i] - data["size"][j]) <= 40
+    df = spark.createDataFrame(rows, "h long, keys array<long>, size int").repartition(5)
+    got = sorted((r.h, r.bucket) for r in common.shared_keys(df, columns, ["keys"], False, "test", close, {"size": "<i4"}, small).collect())
+    want, met = [], 0
+    for t in range(2):
+        of = collections.defaultdict(list)
+        for h, keys, size in rows:
+            of[keys[t]].append((h, size))
+        met += sum(len(m) for m in of.values() if len(m) > 1)
+        want += [(h, (t << 34) + key) for key, m in of.items() for h, v in m if len(m) > small or any(h != g and abs(v - w) <= 40 for g, w in m)]
+    assert got == sorted(want) and len(want) < met
+
+
+def test_lines_that_meet_by_chance_are_not_written(spark, monkeypatch):
+    rng = random.Random(23)
+    lines = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=30)) for _ in range(600)]
+    written, search = [], line_dedup.shared_keys
+    monkeypatch.setattr(line_dedup, "shared_keys", lambda *a: (found := search(*a), written.append(found.select("h").distinct().count()))[0])
+    rows = list(enumerate([*lines, lines[0][:-1] + "é"]))
+    # any two lines of 54 characters or less that share a key of one 13-bit block were candidates
+    kept = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), distance=4)
+    assert {r.doc_id for r in kept.collect()} == set(range(600)) and all(n <= 20 for n in written)
+
+
+def test_pair_parities_bound_the_distance():
+    rng = random.Random(24)
+    texts = ["".join(rng.choices("abc жé𝄞", k=rng.randrange(1, 30))).strip() or "a" for _ in range(60)]
+    texts = [line_dedup.normalised(t) or "a" for t in texts]
+    texts += [line_dedup.normalised(t[: len(t) // 2] + rng.choice(["", "b", "жc"]) + t[len(t) // 2 + 1 :]) or "a" for t in texts]
+    raw = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    bits = line_dedup.line_keys(raw, line_dedup.lines_of(raw, np.array([0, len(raw)]))[0])["par"]
+    apart = {(i, j): int(bits[i] ^ bits[j]).bit_count() for i in range(120) for j in range(120)}
+    assert all(n <= 4 * near_dedup.edit_distance(texts[i], texts[j], 99) for (i, j), n in apart.items())
+    assert sum(n > 4 for n in apart.values()) > 5000
+
+
 def test_line_keys_of_pigeonhole_blocks(spark):
     rng = random.Random(3)
     values = [rng.getrandbits(64) for _ in range(300)]
