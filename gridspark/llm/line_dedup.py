@@ -306,6 +306,107 @@ def similar_lines(x: str, y: str, similarity: float = SIMILARITY) -> bool:
     return edit_distance(x, y, most) <= most
 
 
+class Letters:
+    """Texts as ranks of their characters, eight bytes of them from any place on as one word."""
+
+    def __init__(self, *columns: pa.Array):
+        texts = pa.chunked_array([c.cast(pa.large_string()) for c in columns]).combine_chunks()
+        self.size = np.asarray(pc.utf8_length(texts)).astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        seen = np.zeros(int(codes.max(initial=0)) + 1, np.uint32)
+        seen[codes] = 1
+        rank = np.cumsum(seen, dtype=np.uint32)  # of many characters a place holds fewer
+        self.bits = 8 if rank[-1] < 1 << 8 else 16 if rank[-1] < 1 << 16 else 32
+        ranks = np.concatenate([rank[codes], np.zeros(8, np.uint32)]).astype(f"<u{self.bits // 8}")
+        self.word = np.ndarray((len(codes) + 1,), "<u8", ranks, strides=(self.bits // 8,)).copy()
+
+    def agree(self, x: np.ndarray, y: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """How many characters from places ``x`` and ``y`` on are the same, ``room`` at most."""
+        per = 64 // self.bits
+        differ = self.word[x] ^ self.word[y]
+        same = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) // np.uint8(self.bits)
+        out = np.minimum(same, room)
+        live, done = np.flatnonzero((same == per) & (room > per)), per
+        while len(live):
+            differ = self.word[x[live] + done] ^ self.word[y[live] + done]
+            same = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) // np.uint8(self.bits)
+            out[live] = np.minimum(done + same.astype(np.int64), room[live])
+            done += per
+            live = live[(same == per) & (room[live] > done)]
+        return out
+
+
+#: Edits from which on a pair is decided alone, and cells of furthest places that are computed together.
+MANY_EDITS, CELLS = 400, 1 << 17
+
+
+def within(letters: Letters, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether ``most`` edits lead from text ``i`` to text ``j``, of many pairs at once.
+
+    The furthest place that every diagonal reaches with so many edits (Ukkonen 1985), on the diagonals
+    from which the last one can still be reached.
+    """
+    out = np.zeros(len(i), bool)
+    swap = letters.size[i] > letters.size[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    order = np.flatnonzero(letters.size[j] - letters.size[i] <= most)
+    order = order[np.argsort(most[order], kind="stable")]
+    while len(order):
+        least = int(most[order[0]])
+        n = min(max(1, CELLS // (2 * least + 3)), int(np.searchsorted(most[order], 2 * least + 2, side="right")))
+        mine, order = order[:n], order[n:]
+        out[mine] = _within(letters, i[mine], j[mine], most[mine])
+    return out
+
+
+def _within(letters: Letters, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    out, row, none = np.zeros(len(i), bool), np.arange(len(i)), np.int32(-(1 << 29))
+    x, y = letters.start[i], letters.start[j]
+    m, n, most = (v.astype(np.int32) for v in (letters.size[i], letters.size[j], most))
+    # beside the first and the last diagonal, 0 and n - m, half of what is left of the edits
+    half = (most - (n - m)) // 2
+    goal = n - m + half
+    d = np.arange(int((goal + half).max()) + 1, dtype=np.int32) - half[:, None]
+    detour, top = np.abs(d - (n - m)[:, None]), np.minimum(m[:, None], n[:, None] - d)
+    far = np.full((len(i), d.shape[1] + 2), none)
+    far[np.arange(len(row)), half + 1] = -1
+    for edits in range(int(most.max()) + 1):
+        # the diagonals that so many edits reach, and that the others lead on from
+        low = int(np.maximum(np.maximum(half - edits, goal - most + edits), 0).min())
+        high = int(np.minimum(half + edits, goal + most - edits).max()) + 1
+        part = (slice(None), slice(low, high))
+        # a changed character, one that only the longer has, one that only the shorter has
+        new = np.maximum(far[:, low + 1 : high + 1], far[:, low + 2 : high + 2])
+        new += 1
+        np.maximum(new, far[:, low:high], out=new)
+        np.minimum(new, top[part], out=new)
+        r, c = np.nonzero((new >= 0) & (new + d[part] >= 0) & (detour[part] <= (most - edits)[:, None]))
+        at, k, limit = new[r, c], d[r, c + low], top[r, c + low]
+        reached = at + letters.agree(x[r] + at, y[r] + at + k, limit - at).astype(np.int32)
+        new.fill(none)
+        new[r, c] = reached
+        far[:, low + 1 : high + 1] = new
+        done = far[np.arange(len(row)), goal + 1] >= m
+        out[row[done]] = True
+        stay = ~done & (most > edits)
+        if not stay.any():
+            break
+        if not stay.all():
+            row, m, x, y, most, half, d, detour, goal, top, far = (v[stay] for v in (row, m, x, y, most, half, d, detour, goal, top, far))
+    return out
+
+
+def similar_pairs(letters: Letters, i: np.ndarray, j: np.ndarray, text, similarity: float = SIMILARITY) -> np.ndarray:
+    """``similar_lines`` of many pairs; ``text(k)`` is the text of number k."""
+    most = np.floor((1 - similarity) * np.maximum(letters.size[i], letters.size[j]) + 1e-9).astype(np.int64)
+    out, few = np.zeros(len(i), bool), most < MANY_EDITS
+    out[few] = within(letters, i[few], j[few], most[few])
+    for k in np.flatnonzero(~few).tolist():
+        out[k] = similar_lines(text(i[k]), text(j[k]), similarity)
+    return out
+
+
 #: Counts of hashed character pairs that a line is described by.
 PAIR_BINS = 128
 
@@ -346,8 +447,11 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
             longer = np.maximum(np.asarray(pc.utf8_length(a)), np.asarray(pc.utf8_length(z)))
             every = np.arange(b.num_rows)
             keep = allowed(gram_counts(a), every, gram_counts(z), every, np.floor((1 - similarity) * longer + 1e-9))
-            for k in np.flatnonzero(keep).tolist():
-                keep[k] = similar_lines(a[k].as_py(), z[k].as_py(), similarity)
+            left = np.flatnonzero(keep)
+            if len(left):
+                some = [c.take(pa.array(left)) for c in (a, z)]
+                n = len(left)
+                keep[left] = similar_pairs(Letters(*some), np.arange(n), np.arange(n) + n, lambda k: some[k // n][k % n].as_py(), similarity)  # noqa: B023
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("u", "v", "a", "b").mapInArrow(compare, "u binary, v binary")
@@ -378,7 +482,9 @@ def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SI
         return ok
 
     def decide(data, i, j):
-        return similar_lines(data["text"][i].as_py(), data["text"][j].as_py(), similarity)
+        if "letters" not in data:
+            data["letters"] = Letters(data["text"])
+        return similar_pairs(data["letters"], i, j, lambda k: data["text"][k].as_py(), similarity)
 
     fuzzy = nodes.where(F.size("keys") > 0).withColumnRenamed("n_chars", "size")
     near = []
@@ -402,7 +508,7 @@ def kept_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SI
         found.append(stash(_texts(docs.where(F.pmod(F.xxhash64("text"), F.lit(PARTS)) == part), wanted), "line-texts"))
     texts = reduce(DataFrame.unionByName, found)
     release(spark, wanted)
-    label = bucket_links(at, fits, lambda pairs: verified(pairs, texts, similarity), close, decide, "lines", texts)
+    label = bucket_links(at, fits, lambda pairs: verified(pairs, texts, similarity), close, decide, "lines", texts, many=True)
     # of a group the node with the first occurrence stays
     named = label.join(slim, "node")
     best = named.groupBy("component").agg(F.min("first").alias("best"))

@@ -576,6 +576,40 @@ def test_lines_that_meet_by_chance_are_not_written(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == set(range(600)) and all(n <= 20 for n in written)
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh жж𝄞", "".join(map(chr, range(100, 900))), "".join(map(chr, [*range(100, 0xD000), *range(0xE000, 0x20000)]))])
+def test_distances_of_many_pairs(letters):
+    rng = random.Random(25)
+    texts = ["", "a", letters]
+    for _ in range(60):
+        text = rng.choices(letters, k=rng.randrange(80))
+        other = list(text)
+        for _ in range(rng.randrange(9)):
+            k = rng.randrange(len(other) + 1)
+            other[k : k + rng.randrange(2)] = rng.choices(letters, k=rng.randrange(3))
+        texts += ["".join(text), "".join(other)]
+    i = np.array([*range(3, 123, 2), *(rng.choice([0, 1, *range(3, 123)]) for _ in range(900))])
+    j = np.array([*range(4, 124, 2), *(rng.choice([0, 1, *range(3, 123)]) for _ in range(900))])[: len(i)]
+    j = np.minimum(j, len(texts) - 1)
+    most = np.array([rng.choice([0, 1, 2, 5, 9, 20, 60]) for _ in i])
+    got = line_dedup.within(line_dedup.Letters(pa.array(texts)), i, j, most)
+    want = [near_dedup.edit_distance(texts[a], texts[b], k) <= k for a, b, k in zip(i.tolist(), j.tolist(), most.tolist(), strict=True)]
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_block_links_of_many_pairs_at_once(spark):
+    rng = random.Random(26)
+    nodes = {f"{k:03}".encode(): rng.randrange(1, 400) for k in range(120)}
+    rows = [(b, n, nodes[n], n) for b in range(12) for n in rng.sample(sorted(nodes), 25)]
+    rows += [(99, b"x%03d" % k, 1000 + 9 * k - 8 * (k % 7 == 0), b"x%03d" % k) for k in range(400)]
+    at = spark.createDataFrame(rows, "bucket long, node binary, size int, comp binary")
+    close = lambda data, i, j: np.abs(data["size"][j] - data["size"][i]) <= 20
+    decide = lambda data, i, j: np.abs(data["size"][j] - data["size"][i]) <= 2
+    for block in (7, 150, 4096):
+        many, one = (common.components(common.block_links(at, close, decide, block=block, many=x)) for x in (True, False))
+        got, want = ({bytes(r.node): bytes(r.component) for r in x.collect()} for x in (many, one))
+        assert got == want and len(set(got.values())) > 60
+
+
 def test_pair_parities_bound_the_distance():
     rng = random.Random(24)
     texts = ["".join(rng.choices("abc жé𝄞", k=rng.randrange(1, 30))).strip() or "a" for _ in range(60)]
