@@ -48,6 +48,8 @@ REACH = 20
 TURN = 5
 #: Parts of the documents that lines are looked up in, one after the other, for the same reason.
 PARTS = 2
+#: Bytes of text whose lines are looked at together: arrays of eight bytes a character that fit a core's cache, and a worker keeps little of.
+LINE_BYTES = 1 << 18
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
@@ -216,32 +218,33 @@ def line_keys(raw: np.ndarray, at: np.ndarray) -> dict:
     return {"index": index, "node": node, "n": n, "sim": simhash(*grams), "par": pair_parities(z, start, end), "keys": keys, "offsets": offsets}
 
 
+def line_rows(batches, limit: int = LINE_BYTES):
+    """The rows of ``_lines`` for batches of (doc_id, row, text)."""
+    for b in text_blocks(batches, "text", limit):
+        raw, offsets = utf8(b.column("text"))
+        at, first = lines_of(raw, offsets)
+        k = line_keys(raw, at)
+        owner = np.searchsorted(first, k["index"], side="right") - 1
+        take, count = pa.array(owner), len(owner)
+        yield pa.RecordBatch.from_arrays(
+            [
+                b.column("doc_id").take(take),
+                b.column("row").take(take),
+                pa.array((k["index"] - first[owner]).astype(np.int32)),
+                pa.array(k["n"].astype(np.int32)),
+                pa.BinaryArray.from_buffers(pa.binary(), count, [None, pa.py_buffer((np.arange(count + 1) * 16).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(k["node"]))]),
+                pa.array(k["node"][:, 0].view(np.int64).copy()),
+                pa.array(k["sim"].view(np.int64)),
+                pa.array(k["par"].view(np.int64)),
+                pa.ListArray.from_arrays(pa.array(k["offsets"].astype(np.int32)), pa.array(k["keys"].view(np.int32))),
+            ],
+            names=["doc_id", "row", "line", "n_chars", "node", "h", "sim", "par", "keys"],
+        )
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, line, n_chars, node, h, sim, par, keys) of every line with words; no keys where it is compared for equality only."""
-
-    def run(batches):
-        for b in text_blocks(batches, "text"):
-            raw, offsets = utf8(b.column("text"))
-            at, first = lines_of(raw, offsets)
-            k = line_keys(raw, at)
-            owner = np.searchsorted(first, k["index"], side="right") - 1
-            take, count = pa.array(owner), len(owner)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id").take(take),
-                    b.column("row").take(take),
-                    pa.array((k["index"] - first[owner]).astype(np.int32)),
-                    pa.array(k["n"].astype(np.int32)),
-                    pa.BinaryArray.from_buffers(pa.binary(), count, [None, pa.py_buffer((np.arange(count + 1) * 16).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(k["node"]))]),
-                    pa.array(k["node"][:, 0].view(np.int64).copy()),
-                    pa.array(k["sim"].view(np.int64)),
-                    pa.array(k["par"].view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(k["offsets"].astype(np.int32)), pa.array(k["keys"].view(np.int32))),
-                ],
-                names=["doc_id", "row", "line", "n_chars", "node", "h", "sim", "par", "keys"],
-            )
-
-    return _keyed(docs).mapInArrow(run, "doc_id long, row long, line int, n_chars int, node binary, h long, sim long, par long, keys array<int>")
+    return _keyed(docs).mapInArrow(line_rows, "doc_id long, row long, line int, n_chars int, node binary, h long, sim long, par long, keys array<int>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -283,7 +286,7 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     found = _keyed(docs).join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))).select("text", "wanted")
 
     def pick(batches):
-        for b in text_blocks(batches, "text"):
+        for b in text_blocks(batches, "text", LINE_BYTES):
             raw, offsets = utf8(b.column("text"))
             at, first = lines_of(raw, offsets)
             z, start, end = normal_lines(raw, at)
@@ -525,7 +528,7 @@ def _cut(docs: DataFrame, kept: DataFrame, drop_emptied: bool) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        for b in text_blocks(batches, "text"):
+        for b in text_blocks(batches, "text", LINE_BYTES):
             text = b.column("text")
             raw, offsets = utf8(text)
             at, first = lines_of(raw, offsets)

@@ -6,6 +6,7 @@ import html
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -635,6 +636,29 @@ def test_line_keys_of_pigeonhole_blocks(spark):
     assert len(near) > 100 and all(found[i] & found[j] for i, j in near)
 
 
+def test_lines_of_long_batches_take_bounded_memory(monkeypatch):
+    class Caught:
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    monkeypatch.setattr(line_dedup, "_keyed", lambda docs: Caught)
+    run, rng = line_dedup._lines(None), random.Random(4)
+    texts = ["\n".join(" ".join("".join(rng.choices("abcdeé", k=6)) for _ in range(9)) for _ in range(rng.randrange(1, 60))) for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "row": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    tracemalloc.start()
+    found = []
+    for b in run(iter([batch])):
+        found.append(b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20, f"{peak >> 20} MB"
+    # blocks change nothing of what is found
+    raw, offsets = common.utf8(batch.column("text"))
+    at, _ = line_dedup.lines_of(raw, offsets)
+    whole, table = line_dedup.line_keys(raw, at), pa.Table.from_batches(found)
+    assert table.column("h").to_pylist() == whole["node"][:, 0].view(np.int64).tolist()
+    assert table.column("keys").combine_chunks().flatten().to_pylist() == whole["keys"].view(np.int32).tolist()
+
+
 def test_one_edit_in_a_short_line_always_shares_a_half():
     rng = random.Random(4)
     for _ in range(400):
