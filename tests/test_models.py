@@ -189,3 +189,21 @@ def test_stream_of_blocks(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.block: (r.n, r.scalars) for r in spark.table("blocks_out").collect()} == {0: (2, 3.0), 3: (1, 8.0)}
+
+
+def test_exact_spline_of_many_points_is_the_dense_one(spark, monkeypatch):
+    from gridspark.plans import splines
+
+    data = CheckerBoard(region=(0, 5000, -5000, 0)).scatter(spark, size=900, random_state=5)
+    dense = Spline().fit(SpatialFrame(data))
+    for limit in ("MAX_DENSE", "MAX_EXACT"):
+        monkeypatch.setattr(splines, limit, 300, raising=False)
+    twice = data.unionByName(data.limit(40))  # equal points count once
+    model = Spline().fit(SpatialFrame(twice))
+    at = data.drop("scalars").unionByName(data.select("point_id", (F.col("northing") - 3).alias("northing"), (F.col("easting") + 7).alias("easting")).select(*data.drop("scalars").columns))
+    at = at.unionByName(data.limit(1).select("point_id", F.lit(9e3).alias("northing"), F.lit(-9e3).alias("easting")).select(*data.drop("scalars").columns)).coalesce(2)
+    a, b = (m.transform(at).toPandas() for m in (model, dense))
+    assert (a[["easting", "northing"]] == b[["easting", "northing"]]).all(None) and len(a) == 1801
+    assert np.allclose(a.scalars, b.scalars, rtol=1e-7, atol=1e-4)
+    both = data.toPandas().merge(a, on=["easting", "northing"])
+    assert len(both) == 900 and np.allclose(both.scalars_x, both.scalars_y, rtol=1e-9, atol=1e-6)
