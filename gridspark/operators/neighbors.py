@@ -12,6 +12,10 @@ from gridspark.spec import get_region
 
 #: The finest cells hold about this many data points on average.
 PER_CELL = 4
+#: Candidates that one task ranks on average.
+PER_TASK = 250_000
+#: Tasks of a later round at most; ten times as many in the first.
+MAX_TASKS = 1000
 
 
 def _cells(x: str, size: float, ring: int = 0) -> Column:
@@ -39,13 +43,24 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int = 1, query_id: str =
     w, e, s, north = get_region(p, ("__pe", "__pn"))
     extent = max(e - w, north - s)
     size = math.sqrt(max((e - w) * (north - s), (extent * 1e-3) ** 2) * max(PER_CELL, k) / n) or 1.0
-    out, open_ = None, settle(q)
+    out, open_, asked, wider = None, settle(q), None, 1
     while True:
-        data = p.select("__p", "__pe", "__pn", _cells("__pe", size).alias("__x"), _cells("__pn", size).alias("__y"))
-        near = open_.withColumn("__x", F.explode(_cells("__qe", size, 1))).withColumn("__y", F.explode(_cells("__qn", size, 1)))
+        asked = open_.count() if asked is None else asked
+        # candidates to expect, four times as many a query with every round
+        parts = max(1, min(math.ceil(asked * min(9 * max(PER_CELL, k) * wider**2, n) / PER_TASK), 10 * MAX_TASKS if wider == 1 else MAX_TASKS))
+        # the smaller side goes to all 3 x 3 cells; queries that stay in theirs are ranked where they meet the points
+        still = asked * 4 > n
+        data, near = p.select("__p", "__pe", "__pn"), open_.select("__q", "__qe", "__qn")
+        data = data.withColumn("__x", F.explode(_cells("__pe", size, 1))).withColumn("__y", F.explode(_cells("__pn", size, 1))) if still else data.withColumns({"__x": _cells("__pe", size), "__y": _cells("__pn", size)})
+        near = near.withColumns({"__x": _cells("__qe", size), "__y": _cells("__qn", size)}) if still else near.withColumn("__x", F.explode(_cells("__qe", size, 1))).withColumn("__y", F.explode(_cells("__qn", size, 1)))
+        if still:
+            data, near = data.repartition(parts, "__x", "__y"), near.repartition(parts, "__x", "__y")
         d = F.hypot(F.col("__pe") - F.col("__qe"), F.col("__pn") - F.col("__qn"))
-        found = near.join(data, ["__x", "__y"]).select("__q", "__p", d.alias("__d"))
-        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("__q").orderBy("__d", "__p"))).where(F.col("rank") <= k)
+        found = near.join(data.hint("merge") if still else data, ["__x", "__y"]).select("__x", "__y", "__q", "__p", d.alias("__d"))
+        if not still:
+            found = found.repartition(parts, "__q")
+        of = ["__x", "__y", "__q"] if still else ["__q"]
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*of).orderBy("__d", "__p"))).where(F.col("rank") <= k).drop("__x", "__y")
         # a point at exactly one cell width may have an equal outside the cells
         last = size > 2 * _farthest(open_, (w, e, s, north))
         sure = settle(ranked.where(F.lit(last)) if last else ranked.where(F.col("__d") < size))
@@ -55,9 +70,10 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int = 1, query_id: str =
         if last:
             break
         open_ = settle(open_.join(done, "__q", "left_anti"))
-        if not open_.limit(1).count():
+        asked = open_.count()
+        if not asked:
             break
-        size *= 2
+        size, wider = size * 2, wider * 2
     return out.select(F.col("__q").alias(query_id), F.col("rank").cast("int").alias("rank"), F.col("__p").alias(point_id), F.col("__d").alias("distance"))
 
 

@@ -104,6 +104,26 @@ def test_neighbours_against_brute_force(spark):
     assert {r.median_distance for r in median_distance(lattice, 1).collect()} == {1.0}
 
 
+def test_candidates_of_neighbours_are_ranked_by_more_tasks_where_there_are_more(spark, monkeypatch):
+    from gridspark.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "PER_TASK", 1000, raising=False)
+    ranked, settle = [], neighbors.settle
+
+    def spy(df):
+        if "rank" in df.columns:
+            ranked.append(df.rdd.getNumPartitions())
+        return settle(df)
+
+    monkeypatch.setattr(neighbors, "settle", spy)
+    p = np.random.default_rng(8).uniform(0, 1000, (2000, 2))
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], "point_id long, easting double, northing double")
+    got = {r.point_id: r.median_distance for r in median_distance(df, 5).collect()}
+    assert max(ranked) >= 50
+    d = np.sort(np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1]), 1)[:, 1:6]
+    assert [got[k] for k in range(2000)] == pytest.approx(list(np.median(d, 1)))
+
+
 def test_masks(spark):
     spec = GridSpec.make((0, 5, -10, -4), spacing=1)
     grid = make_grid(spec, spec.to_df(spark).select("row", "col", F.lit(1.0).alias("scalars")))
