@@ -1,4 +1,4 @@
-"""Convex hulls, masks, and Delaunay triangulation of bounded point sets."""
+"""Convex hulls, masks, and Delaunay triangulation."""
 
 from __future__ import annotations
 
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from gridspark.operators.neighbors import within_distance
 from gridspark.spec import GridFrame
 
-#: Points that a triangulation on the driver takes at most; reduce by blocks above that.
+#: Points that the driver triangulates at once; more are triangulated by tiles on the executors.
 MAX_TRIANGULATED = 20_000
+#: Points of a tile.
+PER_TILE = 4_000
 
 
 def _cross(o, a, b):
@@ -126,27 +128,45 @@ def _orient(a, b, c) -> int:
 
 def _in_circle(a, b, c, d) -> bool:
     """Is d strictly inside the circle through a, b, c (counter-clockwise)?"""
+    return _circle(a, b, c, d) > 0
+
+
+def _in_circle_of_few(a, b, c, d) -> bool:
+    """The same where no four points are on one circle: the last of them counts as lifted a trace off it."""
+    side = _circle(a, b, c, d)
+    if side:
+        return side > 0
+    top = max(a, b, c, d)
+    if top == d:
+        return False
+    return _orient(*(d if p == top else p for p in (a, b, c))) > 0
+
+
+def _circle(a, b, c, d) -> int:
     rows = [(p[0] - d[0], p[1] - d[1]) for p in (a, b, c)]
     sq = [x * x + y * y for x, y in rows]
     (ax, ay), (bx, by), (cx, cy) = rows
     t = (ax * by * sq[2], -ax * cy * sq[1], -bx * ay * sq[2], bx * cy * sq[0], cx * ay * sq[1], -cx * by * sq[0])
     det = sum(t)
     if abs(det) > 1e-11 * sum(map(abs, t)):
-        return det > 0
+        return 1 if det > 0 else -1
     dx, dy = Fraction(d[0]), Fraction(d[1])
     rows = [(Fraction(p[0]) - dx, Fraction(p[1]) - dy) for p in (a, b, c)]
     sq = [x * x + y * y for x, y in rows]
     (ax, ay), (bx, by), (cx, cy) = rows
-    return ax * (by * sq[2] - cy * sq[1]) - bx * (ay * sq[2] - cy * sq[0]) + cx * (ay * sq[1] - by * sq[0]) > 0
+    det = ax * (by * sq[2] - cy * sq[1]) - bx * (ay * sq[2] - cy * sq[0]) + cx * (ay * sq[1] - by * sq[0])
+    return (det > 0) - (det < 0)
 
 
-def delaunay(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def delaunay(points: np.ndarray, unique: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(triangles, neighbours): counter-clockwise vertex triples and, opposite each vertex, the next triangle or -1.
 
     Incremental insertion (Bowyer 1981, Watson 1981) in Hilbert-like order with a walk from the last
     triangle; outside edges belong to ghost triangles with a vertex at infinity, so hulls are exact.
-    Of equal points only the first is used.
+    Of equal points only the first is used. With ``unique`` points on one circle are told apart by their
+    coordinates, so that triangulations of parts agree.
     """
+    in_circle = _in_circle_of_few if unique else _in_circle
     xy = [tuple(map(float, p)) for p in points]
     first: dict = {}
     for i, p in enumerate(xy):
@@ -192,7 +212,7 @@ def delaunay(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 return o > 0
             # on the hull's line: inside the edge itself
             return min(xy[u], xy[v]) < p < max(xy[u], xy[v])
-        return _in_circle(xy[u], xy[v], xy[w], p)
+        return in_circle(xy[u], xy[v], xy[w], p)
 
     done = {a, b, c}
     for i in order:
@@ -235,3 +255,100 @@ def delaunay(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     owner = {e: number.get(faces[g], -1) for e, g in edge.items() if g in faces}
     near = [[owner.get((w, v), -1), owner.get((u, w), -1), owner.get((v, u), -1)] for u, v, w in real]
     return np.array(real, np.int64), np.array(near, np.int64)
+
+
+def _neighbours(triangles: np.ndarray) -> np.ndarray:
+    """Opposite each vertex, the next triangle or -1."""
+    n = int(triangles.max(initial=0)) + 1
+    u, v = np.roll(triangles, -1, 1).ravel(), np.roll(triangles, -2, 1).ravel()
+    key, twin = u * n + v, v * n + u
+    order = np.argsort(key)
+    at = np.minimum(np.searchsorted(key[order], twin), len(key) - 1)
+    return np.where(key[order][at] == twin, order[at] // 3, -1).reshape(-1, 3)
+
+
+def _certain(points: np.ndarray, own, known) -> np.ndarray:
+    """Triangles with their middle in the box ``own`` whose circles lie in ``known``, where all points are given."""
+    try:
+        triangles, _ = delaunay(points, unique=True)
+    except ValueError:  # too few points, or all on one line
+        return np.zeros((0, 3), np.int64)
+    a, b, c = (points[triangles[:, k]] for k in range(3))
+    p, q = b - a, c - a
+    area = p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]
+    pp, qq = (p * p).sum(1), (q * q).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        center = np.stack([q[:, 1] * pp - p[:, 1] * qq, p[:, 0] * qq - q[:, 0] * pp], 1) / (2 * area[:, None])
+    radius = np.hypot(*center.T) * (1 + 1e-6)
+    # circles of slivers are not exact enough
+    fine = area > 1e-8 * np.maximum(pp, qq)
+    fine &= ((a + center - radius[:, None] > known[0]) & (a + center + radius[:, None] < known[1])).all(1)
+    triangles = triangles[fine]
+    triangles = triangles[np.arange(len(triangles))[:, None], (triangles.argmin(1)[:, None] + np.arange(3)) % 3]
+    middle = points[triangles].mean(1)
+    return triangles[((middle >= own[0]) & (middle < own[1])).all(1)]
+
+
+def delaunay_by_tiles(spark, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``delaunay`` of many different points, sorted by their coordinates.
+
+    Tiles of about equal numbers of points are triangulated by tasks, each with the points around it. A triangle whose
+    circle lies in what its tile knows is one of the whole triangulation. All others have their vertices
+    among those that are not surrounded by such triangles: few, whose triangulation fills the gaps.
+    """
+    n = len(points)
+    if n <= MAX_TRIANGULATED:
+        return delaunay(points, unique=True)
+    tiles, stack = [], [(np.arange(n), np.full(2, -np.inf), np.full(2, np.inf))]
+    while stack:
+        k, low, high = stack.pop()
+        if len(k) > PER_TILE:
+            axis = int(np.argmax(np.ptp(points[k], axis=0)))
+            cut = np.median(points[k, axis])
+            left = points[k, axis] < cut
+            if left.any():
+                for part, side, ends in ((k[left], 1, high), (k[~left], 0, low)):
+                    ends = ends.copy()
+                    ends[axis] = cut
+                    stack.append((part, *((low, ends) if side else (ends, high))))
+                continue
+        around = np.ptp(points[k], axis=0).max() * 0.3
+        # beyond a tile's own points there may be nothing: it needs no wider view there
+        known = np.maximum(low, points[k].min(0)) - around, np.minimum(high, points[k].max(0)) + around
+        near = np.flatnonzero(((points >= known[0]) & (points <= known[1])).all(1))
+        tiles.append((near.astype(np.int64).tobytes(), points[near].tobytes(), np.stack([low, high, *known]).tobytes()))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for near, xy, boxes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                near, xy, boxes = np.frombuffer(near, np.int64), np.frombuffer(xy).reshape(-1, 2), np.frombuffer(boxes).reshape(4, 2)
+                yield pa.RecordBatch.from_pydict({"t": [near[_certain(xy, boxes[:2], boxes[2:])].tobytes()]}, schema=pa.schema([("t", pa.binary())]))
+
+    df = spark.createDataFrame(tiles, "near binary, xy binary, boxes binary").repartition(len(tiles))
+    parts = [np.frombuffer(r["t"], np.int64).reshape(-1, 3) for r in df.mapInArrow(run, "t binary").toLocalIterator()]
+    sure = np.concatenate(parts)
+    sure = sure[np.lexsort(sure.T[::-1])]
+    rim = _neighbours(sure) < 0 if len(sure) else np.zeros((0, 3), bool)
+    u, v = np.roll(sure, -1, 1)[rim], np.roll(sure, -2, 1)[rim]
+    alone = np.ones(n, bool)
+    alone[sure.ravel()] = False
+    alone[u] = alone[v] = True
+    rest = np.flatnonzero(alone)
+    more, near = delaunay_by_tiles(spark, points[rest]) if len(rest) <= 0.7 * n else delaunay(points[rest], unique=True)
+    more = rest[more]
+    # the gaps: what is reached from the other sides of rims without crossing one
+    key = (np.roll(more, -1, 1) * n + np.roll(more, -2, 1)).ravel()
+    at_rim = np.isin(key, v * n + u).reshape(-1, 3)
+    inside = at_rim.any(1) if len(sure) else np.ones(len(more), bool)
+    fresh = np.flatnonzero(inside)
+    while len(fresh):
+        step = near[fresh][~at_rim[fresh]]
+        step = np.unique(step[step >= 0])
+        fresh = step[~inside[step]]
+        inside[fresh] = True
+    triangles = np.concatenate([sure, more[inside]])
+    triangles = triangles[np.arange(len(triangles))[:, None], (triangles.argmin(1)[:, None] + np.arange(3)) % 3]
+    triangles = triangles[np.lexsort(triangles.T[::-1])]
+    return triangles, _neighbours(triangles)

@@ -6,13 +6,14 @@ import warnings
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.operators.geometry import MAX_TRIANGULATED, delaunay
+from gridspark.operators.geometry import MAX_TRIANGULATED, delaunay, delaunay_by_tiles
 from gridspark.operators.neighbors import knn_join
 from gridspark.plans.base import FittedGridder, Gridder, region_of
-from gridspark.plans.splines import _bounded
+from gridspark.scratch import settle
 from gridspark.spec import SpatialFrame
 
 #: Least barycentric coordinate of a point that counts as inside.
@@ -81,14 +82,15 @@ def _triangulated(frame: SpatialFrame, rescale: bool):
     if len(frame.data) != 1:
         raise ValueError("One data component is needed; use Vector for more")
     columns = [*frame.coords[:2], frame.data[0]]
-    rows = _bounded(frame.clean().select(*columns).na.drop().dropDuplicates(columns[:2]), columns, MAX_TRIANGULATED, "A triangulation")
+    table = frame.clean().select(*columns).na.drop().dropDuplicates(columns[:2]).toArrow()
+    rows = np.stack([np.asarray(c) for c in table.columns], 1)
     rows = rows[np.lexsort(rows.T[::-1])]
     shift, scale = np.zeros(2), np.ones(2)
     if rescale:
         shift, extent = rows[:, :2].min(0), np.ptp(rows[:, :2], axis=0)
         scale = np.where(extent > 0, extent, 1.0)
     points = (rows[:, :2] - shift) / scale
-    triangles, near = delaunay(points)
+    triangles, near = delaunay(points) if len(points) <= MAX_TRIANGULATED else delaunay_by_tiles(frame.df.sparkSession, points)
     # slivers that doubles can't tell from a line hold no interior: without them, no division by their area
     a, b, c = (points[triangles[:, k]] for k in range(3))
     area = (b - a)[:, 0] * (c - a)[:, 1] - (c - a)[:, 0] * (b - a)[:, 1]
@@ -124,8 +126,8 @@ class Cubic(Gridder):
 
     def fit(self, frame: SpatialFrame) -> FittedMesh:
         points, values, triangles, near, shift, scale = _triangulated(frame, self.rescale)
-        gradients = edge_gradients(points, values, triangles, self.tolerance, self.max_rounds)
-        return FittedMesh(points=points, triangles=triangles, coefficients=bezier(points, values, gradients, triangles, near), cubic=True, shift=shift, scale=scale, region_=region_of(frame))
+        gradients = (edge_gradients if len(points) <= MAX_TRIANGULATED else gradients_by_colours)(points, values, triangles, self.tolerance, self.max_rounds)
+        return FittedMesh(points=points, triangles=triangles, coefficients=bezier_in_parts(points, values, gradients, triangles, near), cubic=True, shift=shift, scale=scale, region_=region_of(frame))
 
 
 def edge_gradients(points, values, triangles, tolerance=1e-6, max_rounds=400) -> np.ndarray:
@@ -156,7 +158,58 @@ def edge_gradients(points, values, triangles, tolerance=1e-6, max_rounds=400) ->
     return g
 
 
-def bezier(points, values, gradients, triangles, near) -> np.ndarray:
+def gradients_by_colours(points, values, triangles, tolerance=1e-6, max_rounds=400) -> np.ndarray:
+    """``edge_gradients`` of many points: vertices without a common edge have one colour and are updated at once."""
+    n = len(points)
+    edges = np.concatenate([triangles[:, [0, 1]], triangles[:, [1, 2]], triangles[:, [2, 0]]])
+    key = np.unique(np.concatenate([edges[:, 0] * n + edges[:, 1], edges[:, 1] * n + edges[:, 0]]))
+    a, b = key // n, key % n
+    first = np.searchsorted(a, np.arange(n + 1))
+    used = np.diff(first) > 0
+    start = first[:-1][used]
+    vectors = points[b] - points[a]
+    cube = np.maximum(np.hypot(*vectors.T), 1e-300) ** 3
+    systems = np.zeros((n, 2, 2))
+    for i in (0, 1):
+        for j in (0, 1):
+            systems[used, i, j] = np.add.reduceat(4 * vectors[:, i] * vectors[:, j] / cube, start)
+    inverse = np.linalg.pinv(systems)
+    rise = 6 * (values[b] - values[a])
+    rank = np.random.default_rng(0).permutation(n)
+    open_, colours = used.copy(), []
+    while open_.any():
+        top = np.full(n, -1)
+        top[used] = np.maximum.reduceat(np.where(open_[b], rank[b], -1), start)
+        one = np.flatnonzero(open_ & (rank > top))
+        open_[one] = False
+        count = first[one + 1] - first[one]
+        begin = np.cumsum(count) - count
+        colours.append((one, np.arange(count.sum()) + np.repeat(first[one] - begin, count), begin))
+    g = np.zeros((n, 2))
+    for _ in range(max_rounds):
+        change = 0.0
+        for one, e, begin in colours:
+            v = vectors[e]
+            part = ((rise[e] - 2 * (g[b[e]] * v).sum(1)) / cube[e])[:, None] * v
+            new = (inverse[one] @ np.add.reduceat(part, begin, 0)[:, :, None])[:, :, 0]
+            change = max(change, float((np.abs(new - g[one]).max(1) / np.maximum(1.0, np.abs(new).max(1))).max()))
+            g[one] = new
+        if change < tolerance:
+            break
+    return g
+
+
+def bezier_in_parts(points, values, gradients, triangles, near) -> np.ndarray:
+    """``bezier`` by parts of the triangles, so that what it needs in between is bounded."""
+    centroid = points[triangles].mean(1)
+    out = np.zeros((len(triangles), 19))
+    for s in range(0, len(triangles), 1 << 17):
+        k = slice(s, s + (1 << 17))
+        out[k] = bezier(points, values, gradients, triangles[k], near[k], centroid)
+    return out
+
+
+def bezier(points, values, gradients, triangles, near, centroids=None) -> np.ndarray:
     """The 19 coefficients of every triangle's three patches, in the order of ``_CUBIC_TERMS``."""
     out = np.zeros((len(triangles), 19))
     v, f, g = points[triangles], values[triangles], gradients[triangles]
@@ -168,7 +221,7 @@ def bezier(points, values, gradients, triangles, near) -> np.ndarray:
     m1, m2, m3 = (c210 + c201 + c300) / 3, (c120 + c030 + c021) / 3, (c102 + c012 + c003) / 3
     # the cross-boundary derivative is linear along the line between centroids: affine invariant
     ratio = np.full((len(triangles), 3), -0.5)
-    centroid = v.mean(1)
+    centroid = v.mean(1) if centroids is None else centroids
     side = np.stack([v[:, 1] - v[:, 0], v[:, 2] - v[:, 0]], 2)
     for k in range(3):
         has = near[:, k] >= 0
@@ -207,15 +260,20 @@ class FittedMesh(FittedGridder):
         low, extent = self.points.min(0), np.ptp(self.points, axis=0)
         return float(low[0]), float(low[1]), float(max(extent.max(), 1e-300)) / max(1, int(len(self.triangles) ** 0.5))
 
-    def table(self, spark) -> DataFrame:
-        """(tri, x1..y3, coefficients, cell): a row for every cell that a triangle's box touches."""
+    def tables(self, spark) -> tuple[DataFrame, DataFrame]:
+        """(tri, x1..y3, cell), a row for every cell that a triangle's box touches, and (tri, coef)."""
         x0, y0, size = self._cells()
         v = self.points[self.triangles]
-        low, high = np.floor((v.min(1) - (x0, y0)) / size).astype(int), np.floor((v.max(1) - (x0, y0)) / size).astype(int)
-        rows = [(k, *map(float, v[k].ravel()), [float(c) for c in self.coefficients[k]], *(int(z) for z in (low[k, 0], high[k, 0], low[k, 1], high[k, 1]))) for k in range(len(v))]
-        schema = "tri int, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double, coef array<double>, i0 int, i1 int, j0 int, j1 int"
-        df = spark.createDataFrame(rows, schema)
-        return df.withColumn("cx", F.explode(F.sequence("i0", "i1"))).withColumn("cy", F.explode(F.sequence("j0", "j1"))).drop("i0", "i1", "j0", "j1")
+        low, high = np.floor((v.min(1) - (x0, y0)) / size).astype(np.int32), np.floor((v.max(1) - (x0, y0)) / size).astype(np.int32)
+        tri = pa.array(np.arange(len(v), dtype=np.int32))
+        columns = {"tri": tri, **{f"{c}{k + 1}": pa.array(np.ascontiguousarray(v[:, k, i])) for k in range(3) for i, c in enumerate("xy")}}
+        columns |= {n: pa.array(np.ascontiguousarray(z)) for n, z in zip(("i0", "i1", "j0", "j1"), (low[:, 0], high[:, 0], low[:, 1], high[:, 1]), strict=True)}
+        width = self.coefficients.shape[1]
+        coef = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(self.coefficients).ravel()))
+        shapes, coefs = spark.createDataFrame(pa.table(columns)), spark.createDataFrame(pa.table({"tri": tri, "coef": coef}))
+        if len(v) > 2 * MAX_TRIANGULATED:
+            shapes, coefs = settle(shapes), settle(coefs)
+        return shapes.withColumn("cx", F.explode(F.sequence("i0", "i1"))).withColumn("cy", F.explode(F.sequence("j0", "j1"))).drop("i0", "i1", "j0", "j1"), coefs
 
     def transform(self, df, coords=("easting", "northing"), names=None):
         name = self._names(names)[0]
@@ -224,13 +282,16 @@ class FittedMesh(FittedGridder):
         x, y = (e - float(self.shift[0])) / float(self.scale[0]), (n - float(self.shift[1])) / float(self.scale[1])
         places = df.select(e.alias("__e"), n.alias("__n"), x.alias("__x"), y.alias("__y")).distinct()
         places = places.withColumns({"cx": F.floor((F.col("__x") - x0) / size).cast("int"), "cy": F.floor((F.col("__y") - y0) / size).cast("int")})
-        near = places.join(self.table(df.sparkSession), ["cx", "cy"])
+        shapes, coefs = self.tables(df.sparkSession)
+        near = places.join(shapes, ["cx", "cy"])
         c = F.col
         det = (c("x2") - c("x1")) * (c("y3") - c("y1")) - (c("x3") - c("x1")) * (c("y2") - c("y1"))
         b2 = ((c("__x") - c("x1")) * (c("y3") - c("y1")) - (c("x3") - c("x1")) * (c("__y") - c("y1"))) / det
         b3 = ((c("x2") - c("x1")) * (c("__y") - c("y1")) - (c("__x") - c("x1")) * (c("y2") - c("y1"))) / det
         near = near.withColumns({"b2": b2, "b3": b3}).withColumn("b1", 1 - c("b2") - c("b3"))
         near = near.where(F.least("b1", "b2", "b3") >= _INSIDE)
+        # a point on an edge is in several triangles: the first one counts
+        near = near.groupBy("__e", "__n").agg(F.min_by(F.struct("tri", "b1", "b2", "b3"), "tri").alias("__t")).select("__e", "__n", "__t.*").join(coefs, "tri")
         if self.cubic:
             low = F.least("b1", "b2", "b3")
             near = near.withColumn("b4", 3 * low).withColumns({b: c(b) - low for b in ("b1", "b2", "b3")})
@@ -243,8 +304,7 @@ class FittedMesh(FittedGridder):
                 value = value + term
         else:
             value = sum((F.get("coef", F.lit(k)) * c(b) for k, b in enumerate(("b1", "b2", "b3"))), F.lit(0.0))
-        # a point on an edge is in several triangles: the first one counts
-        found = near.groupBy("__e", "__n").agg(F.min_by(value, "tri").alias("__v"))
+        found = near.select("__e", "__n", value.alias("__v"))
         base = df.drop(name) if name in df.columns else df
         return base.join(found, (e == c("__e")) & (n == c("__n")), "left").drop("__e", "__n").withColumnRenamed("__v", name)
 

@@ -207,3 +207,20 @@ def test_exact_spline_of_many_points_is_the_dense_one(spark, monkeypatch):
     assert np.allclose(a.scalars, b.scalars, rtol=1e-7, atol=1e-4)
     both = data.toPandas().merge(a, on=["easting", "northing"])
     assert len(both) == 900 and np.allclose(both.scalars_x, both.scalars_y, rtol=1e-9, atol=1e-6)
+
+
+@pytest.mark.parametrize("gridder", [Linear(), Cubic()])
+def test_interpolators_of_many_points_by_tiles(spark, monkeypatch, gridder):
+    from gridspark.operators import geometry
+    from gridspark.plans import interpolators
+
+    data = CheckerBoard(region=(1000, 5000, -8000, -6000)).scatter(spark, size=1500, random_state=3)
+    at = GridSpec.make((900, 5100, -8100, -5900), shape=(30, 40)).to_df(spark).select("row", "col", "easting", "northing")
+    read = lambda m: m.transform(at).orderBy("row", "col").toPandas().scalars
+    whole = read(gridder.fit(SpatialFrame(data)))
+    for module in (geometry, interpolators):
+        monkeypatch.setattr(module, "MAX_TRIANGULATED", 300)
+    monkeypatch.setattr(geometry, "PER_TILE", 200, raising=False)
+    tiles = read(gridder.fit(SpatialFrame(data)))
+    assert len(tiles) == 1200 and 0 < tiles.isna().sum() < 300
+    assert np.allclose(whole, tiles, rtol=1e-4, atol=1e-2, equal_nan=True)

@@ -168,3 +168,19 @@ def test_delaunay_refuses_degenerate_points():
     for bad in ([(0, 0), (1, 1)], [(0, 0), (1, 1), (2, 2)], [(0, 0)] * 5):
         with pytest.raises(ValueError):
             delaunay(np.array(bad, float))
+
+
+@pytest.mark.parametrize("name", ["scatter", "lattice", "clusters"])
+def test_delaunay_by_tiles_is_the_whole_one(spark, monkeypatch, name):
+    from gridspark.operators import geometry
+
+    monkeypatch.setattr(geometry, "MAX_TRIANGULATED", 300)
+    monkeypatch.setattr(geometry, "PER_TILE", 250)
+    rng = np.random.default_rng(1)
+    points = {"scatter": rng.normal(size=(1500, 2)), "lattice": np.array([(x, y) for x in range(40) for y in range(30)], float), "clusters": np.concatenate([rng.normal(c, 0.01, (400, 2)) for c in ((0, 0), (5, 5), (0, 9))])}[name]
+    points = np.unique(points, axis=0)
+    triangles, near = geometry.delaunay_by_tiles(spark, points)
+    whole, _ = delaunay(points, unique=True)
+    assert sorted(map(sorted, triangles.tolist())) == sorted(map(sorted, whole.tolist()))
+    for t, row in enumerate(near.tolist()):
+        assert all(g < 0 or (len({*triangles[t]} & {*triangles[g]}) == 2 and triangles[t][k] not in triangles[g]) for k, g in enumerate(row))
